@@ -27,9 +27,8 @@ SLASH_DATE = r"^\d{1,2}/\d{1,2}/\d{4}$"
 DAY_FIRST = r"^(1[3-9]|[2-9]\d)/\d{1,2}/\d{4}$"
 MONTH_FIRST = r"^\d{1,2}/(1[3-9]|[2-9]\d)/\d{4}$"
 INTEGER = r"^[+-]?\d+(_\d+)*$"
-DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 COMMA_DECIMAL = r"\.[^.]*,[^.]*$"
-POINT_DECIMAL = r",[^,]*\.[^,]*$"
 LONE_COMMA_DECIMAL = r",([^,]{2})$"
 CURRENCY_SYMBOLS = "$€£¥"
 
@@ -77,7 +76,8 @@ def _money_bare(c: Mapping[str, Column]) -> Mapping[str, Column]:
 
 
 def _money_body(c: Mapping[str, Column]) -> Mapping[str, Column]:
-    return {"negative": c["bare"].startswith("-"), "body": F.regexp_replace(c["bare"], "^-", "")}
+    negative = c["bare"].startswith("-")
+    return {"negative": negative, "body": F.when(negative, c["bare"].substr(2, 2**30)).otherwise(c["bare"])}
 
 
 def _money_number(c: Mapping[str, Column]) -> Mapping[str, Column]:
@@ -85,12 +85,13 @@ def _money_number(c: Mapping[str, Column]) -> Mapping[str, Column]:
     last is one if exactly two characters follow it."""
     body = c["body"]
     plain = (
-        F.when(body.rlike(COMMA_DECIMAL), F.translate(F.translate(body, ".", ""), ",", "."))
-        .when(~body.rlike(POINT_DECIMAL) & body.rlike(LONE_COMMA_DECIMAL),
+        F.when(~body.contains(","), body)
+        .when(body.rlike(COMMA_DECIMAL), F.translate(F.translate(body, ".", ""), ",", "."))
+        .when(~body.contains(".") & body.rlike(LONE_COMMA_DECIMAL),
               F.regexp_replace(body, LONE_COMMA_DECIMAL, ".$1"))
         .otherwise(F.translate(body, ",", ""))
     )
-    return {"number": strip(F.translate(plain, "_", ""))}
+    return {"number": F.translate(plain, "_", "")}
 
 
 def _money_units(c: Mapping[str, Column]) -> Mapping[str, Column]:
