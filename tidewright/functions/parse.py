@@ -71,19 +71,11 @@ def _int_value(c: Mapping[str, Column]) -> Mapping[str, Column]:
     return {"value": F.when(text.rlike(INTEGER), F.translate(text, "_", "").try_cast("bigint"))}
 
 
-def _money_bare(c: Mapping[str, Column]) -> Mapping[str, Column]:
-    return {"bare": strip(F.translate(c["text"], CURRENCY_SYMBOLS, ""))}
-
-
-def _money_body(c: Mapping[str, Column]) -> Mapping[str, Column]:
-    negative = c["bare"].startswith("-")
-    return {"negative": negative, "body": F.when(negative, c["bare"].substr(2, 2**30)).otherwise(c["bare"])}
-
-
 def _money_number(c: Mapping[str, Column]) -> Mapping[str, Column]:
     """Of `,` and `.` the later one is the decimal mark; with commas alone, the
     last is one if exactly two characters follow it."""
-    body = c["body"]
+    negative = c["bare"].startswith("-")
+    body = F.when(negative, c["bare"].substr(2, 2**30)).otherwise(c["bare"])
     plain = (
         F.when(~body.contains(","), body)
         .when(body.rlike(COMMA_DECIMAL), F.translate(F.translate(body, ".", ""), ",", "."))
@@ -91,23 +83,20 @@ def _money_number(c: Mapping[str, Column]) -> Mapping[str, Column]:
               F.regexp_replace(body, LONE_COMMA_DECIMAL, ".$1"))
         .otherwise(F.translate(body, ",", ""))
     )
-    return {"number": F.translate(plain, "_", "")}
-
-
-def _money_units(c: Mapping[str, Column]) -> Mapping[str, Column]:
-    amount = F.when(c["number"].rlike(DECIMAL), c["number"].try_cast("decimal(38,18)"))
-    return {"units": (F.round(amount, 2) * 100).try_cast("bigint")}
+    return {"negative": negative, "number": F.translate(plain, "_", "")}
 
 
 def _money_value(c: Mapping[str, Column]) -> Mapping[str, Column]:
-    return {"value": F.when(c["negative"], -c["units"]).otherwise(c["units"])}
+    amount = F.when(c["number"].rlike(DECIMAL), c["number"].try_cast("decimal(38,18)"))
+    sign = F.when(c["negative"], -100).otherwise(100)
+    return {"value": (F.round(amount, 2) * sign).try_cast("bigint")}
 
 
 STEPS: dict[str, list[Step]] = {
     "trim": [_trim_value],
     "parse_date": [_date_text, _date_value],
     "to_int": [_int_value],
-    "to_minor_units": [_money_bare, _money_body, _money_number, _money_units, _money_value],
+    "to_minor_units": [_money_number, _money_value],
 }
 
 
@@ -116,10 +105,10 @@ def _enum_steps(allowed: Sequence[str]) -> list[Step]:
         """Case-insensitive membership; yields the registered spelling."""
         found = F.lit(None).cast("string")
         for spelling in reversed(allowed):
-            found = F.when(c["key"] == spelling.lower(), F.lit(spelling)).otherwise(found)
+            found = F.when(F.lower(c["text"]) == spelling.lower(), F.lit(spelling)).otherwise(found)
         return {"value": found}
 
-    return [lambda c: {"key": F.lower(c["text"])}, value]
+    return [value]
 
 
 def _code(function: str, c: Mapping[str, Column]) -> Column:
@@ -141,21 +130,30 @@ def parse_cells(df: DataFrame, cells: Mapping[str, Cell]) -> DataFrame:
             raise KeyError(f"unknown transform {cell.function!r}")
 
     helper = {name: f"_p{i}" for i, name in enumerate(cells)}
-    known: dict[str, dict[str, Column]] = {}
-    first = []
-    for name, cell in cells.items():
-        tag = helper[name]
-        first += [cell.raw.alias(f"{tag}_cell"), strip_to_null(cell.raw).alias(f"{tag}_text")]
-        known[name] = {"cell": F.col(f"{tag}_cell"), "text": F.col(f"{tag}_text")}
-    out = df.select("*", *first)
+    known: dict[str, dict[str, Column]] = {name: {} for name in cells}
+    kept = [F.col(c) for c in df.columns]
+
+    def project(frame: DataFrame, added: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+        carried = [known[name][part] for name in cells for part in known[name]]
+        new = []
+        for name, parts in added.items():
+            for part, column in parts.items():
+                alias = f"{helper[name]}_{part}"
+                new.append(column.alias(alias))
+                known[name][part] = F.col(alias)
+        return frame.select(*kept, *carried, *new)
+
+    def opening(cell: Cell) -> dict[str, Column]:
+        parts = {"cell": cell.raw, "text": strip_to_null(cell.raw)}
+        if cell.function == "to_minor_units":
+            parts["bare"] = strip(F.translate(cell.raw, CURRENCY_SYMBOLS, ""))
+        return parts
+
+    out = project(df, {name: opening(cell) for name, cell in cells.items()})
     for depth in range(max(len(s) for s in steps.values())):
-        added = {}
-        for name, chain in steps.items():
-            if depth < len(chain):
-                for part, column in chain[depth](known[name]).items():
-                    added[f"{helper[name]}_{part}"] = column
-                    known[name][part] = F.col(f"{helper[name]}_{part}")
-        out = out.withColumns(added)
+        out = project(
+            out, {name: chain[depth](known[name]) for name, chain in steps.items() if depth < len(chain)}
+        )
     results = [
         column
         for name, cell in cells.items()

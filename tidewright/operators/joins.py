@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import reliable
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1024
 SPREAD = 4096
@@ -34,11 +36,13 @@ def spread_lookup(
     """`facts LEFT JOIN lookup`, where `lookup` has one row per key.
 
     `lookup` carries `_facts`, the number of fact rows per key (`key_counts`).
-    The keys with at least `hot_rows` facts, never more than 1,024, meet the
-    facts in a broadcast. All other rows are joined by a shuffle in which rows
-    with a hot or null key are spread by `row_id`, so no task gets a hot key.
-    Keys past the 1,024 largest hold under 1/1024 of the rows each.
+    It is written to the checkpoint folder once, since it is read twice: for the
+    hot keys and for the join. The keys with at least `hot_rows` facts, never
+    more than 1,024, meet the facts in a broadcast. All other rows are joined by
+    a shuffle in which rows with a hot or null key are spread by `row_id`, so no
+    task gets a hot key. Keys past the 1,024 largest hold under 1/1024 of the rows.
     """
+    lookup = reliable(lookup)
     values = [c for c in lookup.columns if c not in (*on, "_facts")]
     hot = (
         lookup.where(F.col("_facts") >= hot_rows)
@@ -46,18 +50,20 @@ def spread_lookup(
         .limit(MAX_HOT_KEYS)
         .select(*on, F.struct(*values).alias("_hot"))
     )
-    tagged = facts.join(F.broadcast(hot), list(on), "left")
-    settled = F.col("_hot").isNotNull() | ~_all_set(on)
-    cold_keys = [F.when(~settled, F.col(c)).alias(f"_k{i}") for i, c in enumerate(on)]
+    settled = ~_all_set(on)
+    left = facts
+    if hot.head(1):
+        left = facts.join(F.broadcast(hot), list(on), "left")
+        settled = settled | F.col("_hot").isNotNull()
     spread = F.when(settled, 1 + F.pmod(F.xxhash64(*row_id), F.lit(SPREAD))).otherwise(0).alias("_spread")
-    left = tagged.select("*", *cold_keys, spread)
+    left = left.select("*", *[F.when(~settled, F.col(c)).alias(f"_k{i}") for i, c in enumerate(on)], spread)
     right = lookup.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)],
         F.lit(0).cast("bigint").alias("_spread"),
         F.struct(*values).alias("_cold"),
     )
     joined = left.join(right, [*[f"_k{i}" for i in range(len(on))], "_spread"], "left")
-    found = F.coalesce("_hot", "_cold")
+    found = F.coalesce("_hot", "_cold") if "_hot" in left.columns else F.col("_cold")
     return joined.select(*[F.col(c) for c in facts.columns], *[found[v].alias(v) for v in values])
 
 

@@ -17,7 +17,7 @@ from tidewright.functions.hashing import stable_id, values_hash
 from tidewright.functions.text import distinct_codes, explanation
 from tidewright.operators.joins import HOT_ROWS, key_counts, spread_lookup
 from tidewright.operators.link import link_customers, suggest_customer_fix
-from tidewright.operators.records import apply_spec, ordered_fields, require_natural_keys, tables_of
+from tidewright.operators.records import apply_spec, hold, ordered_fields, require_natural_keys, tables_of
 from tidewright.operators.validate import check_records, flag_duplicates
 
 QUARANTINE_COLUMNS = (
@@ -42,7 +42,7 @@ def annotate(
     rows = check_records(apply_spec(raw, spec), spec, as_of)
     if detect_duplicates:
         rows = flag_duplicates(rows, spec)
-    return link_customers(rows, spec, customers, hot_rows)
+    return hold(link_customers(rows, spec, customers, hot_rows), "errors")
 
 
 def accepted(annotated: DataFrame) -> DataFrame:

@@ -71,6 +71,18 @@ def error_list(candidates: list[tuple[Column, Column]]) -> Column:
     return F.concat(*[F.when(condition, F.array(e)).otherwise(none) for condition, e in candidates])
 
 
+def hold(df: DataFrame, column: str) -> DataFrame:
+    """Keep filters on `column` above the projections that compute it.
+
+    Catalyst pushes a filter through projections by writing their expressions
+    out in full, which for a chain of parsers repeats them many times over. It
+    does not push through the explode of a one-element array.
+    """
+    others = [c for c in df.columns if c != column]
+    held = df.select(*others, F.explode(F.array(column)).alias(column))
+    return held.select(*df.columns)
+
+
 def apply_spec(raw: DataFrame, spec: Mapping[str, dict]) -> DataFrame:
     """Adds `rec` (a struct per table), `link` (customer key per table), `errors`.
 
@@ -86,14 +98,12 @@ def apply_spec(raw: DataFrame, spec: Mapping[str, dict]) -> DataFrame:
         for f in fields
     }
     staged = parse_cells(raw, cells)
-    missing = {
-        f"_f_{f.name}_code": F.when(
-            F.col(f"_f_{f.name}_value").isNull() & F.col(f"_f_{f.name}_code").isNull(), "MISSING_REQUIRED"
-        ).otherwise(F.col(f"_f_{f.name}_code"))
-        for f in fields
-        if f.required
-    }
-    staged = staged.withColumns(missing)
+
+    def final_code(f: registry.CanonicalField) -> Column:
+        code = F.col(f"_f_{f.name}_code")
+        if not f.required:
+            return code
+        return F.when(F.col(f"_f_{f.name}_value").isNull(), F.coalesce(code, F.lit("MISSING_REQUIRED")))
 
     def typed(f: registry.CanonicalField) -> Column:
         made = registry.SPARK_TYPE_BY_TRANSFORM[spec[f.name]["transform"]["function"]]
@@ -105,7 +115,7 @@ def apply_spec(raw: DataFrame, spec: Mapping[str, dict]) -> DataFrame:
         for f in fields:
             if f.table != table:
                 continue
-            code = F.col(f"_f_{f.name}_code")
+            code = final_code(f)
             found.append((code.isNotNull(), error(f.name, code, F.col(f"_f_{f.name}_raw"))))
 
     records, links = [], []

@@ -13,7 +13,7 @@ from tidewright.functions.parse import Cell, parse_cells
 from tidewright.functions.text import explanation
 from tidewright.operators import dedupe, evaluate, landing, link, load, mapping, metrics, profile, quarantine, validate
 from tidewright.operators.joins import key_counts
-from tidewright.operators.records import apply_spec, entry
+from tidewright.operators.records import apply_spec, entry, hold
 from tidewright.plans import fixtures, oracle
 from tidewright.plans.fixtures import CUSTOMER_SPEC, INVOICE_SPEC, LEDGER_COLUMNS, TICKET_SPEC, table
 from tidewright.sources import pages
@@ -108,7 +108,7 @@ def built_tickets(spark, sf):
        "select split_part(e, ': ', 1) as field, count(*) as rows from (select unnest(errs) as e from checked) "
        "where e like '%: MISSING_REQUIRED' group by 1")
 def missing_required(spark, sf):
-    built = apply_spec(fixtures.raw(spark, sf, "invoices"), INVOICE_SPEC)
+    built = hold(apply_spec(fixtures.raw(spark, sf, "invoices"), INVOICE_SPEC), "errors")
     missing = built.select(F.explode("errors").alias("e")).where(F.col("e.code") == "MISSING_REQUIRED")
     return missing.groupBy(F.col("e.field").alias("field")).agg(F.count(F.lit(1)).alias("rows"))
 
@@ -119,8 +119,8 @@ def missing_required(spark, sf):
 def business_rules(spark, sf):
     built = apply_spec(fixtures.raw(spark, sf, "invoices"), INVOICE_SPEC)
     columns = load.mapped_columns(INVOICE_SPEC, "invoices")
-    broken = F.explode(validate.business_rules(F.col("rec.invoices"), columns, F.lit(AS_OF)))
-    return built.select("row_index", broken.alias("e")).select("row_index", "e.field", "e.code")
+    broken = built.withColumn("broken", validate.business_rules(F.col("rec.invoices"), columns, F.lit(AS_OF)))
+    return hold(broken, "broken").select("row_index", F.explode("broken").alias("e")).select("row_index", "e.field", "e.code")
 
 
 # parsers that do not fit their fields: text for a date, a number for a text
@@ -148,7 +148,7 @@ def duplicate_exact(spark, sf):
 
 
 @query("link_resolution", oracle.with_clause(INVOICES_CHECKED) +
-       "select tenant_id, link_key, count(*) as rows, min(customer_id) as customer_id, min(match) as match "
+       "select tenant_id, link_key, count(*) as rows, min(resolved_id) as customer_id, min(match) as match "
        "from checked where link_key is not null group by 1, 2")
 def link_resolution(spark, sf):
     built = apply_spec(fixtures.raw(spark, sf, "invoices"), INVOICE_SPEC).withColumn("link_key", link.effective_key(INVOICE_SPEC))
@@ -158,7 +158,7 @@ def link_resolution(spark, sf):
 
 
 @query("linked_invoices", oracle.with_clause(INVOICES_CHECKED) +
-       "select batch_id, row_index, link_key, customer_id from checked")
+       "select batch_id, row_index, link_key, resolved_id as customer_id from checked")
 def linked_invoices(spark, sf):
     return annotated(spark, sf, "invoices", INVOICE_SPEC).select("batch_id", "row_index", "link_key", "customer_id")
 
@@ -207,7 +207,7 @@ def load_summary(spark, sf):
 
 
 @query("error_groups", oracle.with_clause(TICKETS_CHECKED) +
-       "select c as error_code, count(*) as rows from (select unnest(list_distinct(list_transform(errs, x -> split_part(x, ': ', 2)))) as c "
+       "select c as error_code, count(*) as rows from (select unnest(list_distinct([split_part(x, ': ', 2) for x in errs])) as c "
        "from checked) group by 1")
 def error_groups(spark, sf):
     bad = load.rejected(annotated(spark, sf, "tickets", TICKET_SPEC))

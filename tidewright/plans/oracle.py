@@ -101,7 +101,9 @@ def checked(
     by_column = {(f.table, f.column): f.name for f in fields}
     for t in tables:
         if t == "invoices":
-            issued, due, amount = (by_column.get((t, c)) for c in ("issue_date", "due_date", "amount_minor_units"))
+            fit = {c: n for (u, c), n in by_column.items()
+                   if u == t and registry.SPARK_TYPE_BY_TRANSFORM[functions[n]] == registry.field(n).spark_type}
+            issued, due, amount = (fit.get(c) for c in ("issue_date", "due_date", "amount_minor_units"))
             if issued:
                 errors.append(f"case when v_{issued} > date '{fixtures.AS_OF}' then 'issue_date: BUSINESS_RULE_FUTURE_DATE' end")
             if amount:
@@ -131,19 +133,19 @@ def checked(
         f"{name}_t": f"select *, {texts} from {name}_raw",
         f"{name}_v": f"select *, {values} from {name}_t",
         f"{name}_c": f"select *, {', '.join(codes)} from {name}_v",
-        f"{name}_e": f"select *, list_filter([{listed}], x -> x is not null) as own_errs, {link_key} as link_key from {name}_c",
+        f"{name}_e": f"select *, [x for x in [{listed}] if x is not null] as own_errs, {link_key} as link_key from {name}_c",
         f"{name}_digits": "select tenant_id, regexp_replace(natural_key, '\\D', '', 'g') as d, arg_min(id, natural_key) as id "
         "from customers group by 1, 2 having regexp_replace(natural_key, '\\D', '', 'g') <> ''",
-        f"{name}_l": f"select e.*, coalesce(x.id, g.id) as customer_id, "
+        f"{name}_l": f"select e.*, coalesce(x.id, g.id) as resolved_id, "
         f"case when x.id is not null then 'exact' when g.id is not null then 'digits' end as match from {name}_e e "
         f"left join customers x on x.tenant_id = e.tenant_id and x.natural_key = e.link_key "
         f"left join {name}_digits g on x.id is null and g.tenant_id = e.tenant_id and g.d = regexp_replace(e.link_key, '\\D', '', 'g')",
-        name: f"select *, case when link_key is not null and customer_id is null "
+        name: f"select *, case when link_key is not null and resolved_id is null "
         f"then list_append(own_errs, 'customer_id: REF_INTEGRITY_ORPHAN_FK') else own_errs end as errs from {name}_l",
     }
 
 
-CODES = "array_to_string(list_sort(list_distinct(list_transform(errs, x -> split_part(x, ': ', 2)))), ',')"
+CODES = "array_to_string(list_sort(list_distinct([split_part(x, ': ', 2) for x in errs])), ',')"
 
 
 def profile_sql(cells: str, by: str = "") -> str:
