@@ -212,3 +212,326 @@ def load_summary(spark, sf):
 def error_groups(spark, sf):
     bad = load.rejected(annotated(spark, sf, "tickets", TICKET_SPEC))
     return quarantine.error_groups(bad.select(F.array_distinct("errors.code").alias("error_codes")))
+
+
+# --- loading --------------------------------------------------------------
+
+
+
+def loaded_at():
+    return F.lit("2000-06-01 00:00:00").cast("timestamp")
+
+
+def customer_rows(spark, sf, generation: int) -> DataFrame:
+    """Clean customer rows of two deliveries: the first has the even keys, the
+    second all of them, every tenth with another industry."""
+    rows = fixtures.flat(spark, sf, "customers")
+    if generation == 1:
+        rows = rows.where(F.col("row_index") % 4 == 0)
+    else:
+        rows = rows.withColumn("industry", F.when(F.col("row_index") % 20 == 0, "other").otherwise(F.col("industry")))
+    kept = ["customer_id", "company_name", "email", "industry"]
+    cells = F.create_map(*[x for c in kept for x in (F.lit(c), F.col(c))])
+    return rows.select(*LEDGER_COLUMNS, cells.alias("raw"))
+
+
+SHORT_SPEC = {n: e for n, e in CUSTOMER_SPEC.items()
+              if n in ("customer_natural_key", "legal_name", "customer_email", "industry")}
+
+
+def load_customers(spark, sf, generation, current):
+    rows = apply_spec(customer_rows(spark, sf, generation), SHORT_SPEC)
+    incoming = load.incoming_records(rows.withColumn("customer_id", F.lit(None)), SHORT_SPEC, "customers").drop("row_index")
+    return load.upsert_plan(current, incoming, "customers", load.mapped_columns(SHORT_SPEC, "customers"), loaded_at())
+
+
+CUSTOMER_GENERATIONS = {
+    "raw": fixtures.flat_sql("customers"),
+    "g1": "select * from raw where row_index % 4 = 0",
+    "g2": "select * exclude (industry), case when row_index % 20 = 0 then 'other' else industry end as industry from raw",
+}
+
+
+@query("upsert_customers", oracle.with_clause(CUSTOMER_GENERATIONS) +
+       "select g2.tenant_id, g2.customer_id as natural_key, g2.company_name as legal_name, nullif(g2.email, '') as email, "
+       "g2.industry, 'pending' as kyc_status, case when g1.customer_id is null then 'insert' "
+       "when g1.industry <> g2.industry then 'update' else 'noop' end as action "
+       "from g2 left join g1 using (tenant_id, customer_id)")
+def upsert_customers(spark, sf):
+    first = load_customers(spark, sf, 1, load.empty_table(spark, "customers")).drop("_action")
+    return load_customers(spark, sf, 2, first).select(
+        "tenant_id", "natural_key", "legal_name", "email", "industry", "kyc_status", F.col("_action").alias("action"))
+
+
+@query("rerun_is_noop", oracle.with_clause(CUSTOMER_GENERATIONS) + "select 'noop' as action, count(*) as rows from g2")
+def rerun_is_noop(spark, sf):
+    once = load_customers(spark, sf, 2, load.empty_table(spark, "customers")).drop("_action")
+    again = load_customers(spark, sf, 2, once)
+    return again.groupBy(F.col("_action").alias("action")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+CLEAN = {**INVOICES_CHECKED, "clean": "select * from checked where len(errs) = 0"}
+
+
+def clean_invoices(spark, sf):
+    return load.accepted(annotated(spark, sf, "invoices", INVOICE_SPEC))
+
+
+@query("upsert_invoices", oracle.with_clause(CLEAN) +
+       "select tenant_id, v_invoice_natural_key as natural_key, v_invoice_natural_key as invoice_number, resolved_id as customer_id, "
+       "v_invoice_amount_minor_units as amount_minor_units, v_invoice_currency as currency, v_invoice_issue_date as issue_date, "
+       "coalesce(v_invoice_status, 'open') as status, 'insert' as action from clean")
+def upsert_invoices(spark, sf):
+    incoming = load.incoming_records(clean_invoices(spark, sf), INVOICE_SPEC, "invoices").drop("row_index")
+    planned = load.upsert_plan(load.empty_table(spark, "invoices"), incoming, "invoices",
+                               load.mapped_columns(INVOICE_SPEC, "invoices"), loaded_at())
+    return planned.select("tenant_id", "natural_key", "invoice_number", "customer_id", "amount_minor_units", "currency",
+                          "issue_date", "status", F.col("_action").alias("action"))
+
+
+@query("upsert_accounts", oracle.with_clause(CLEAN) +
+       "select tenant_id, v_account_number as account_number, arg_max(resolved_id, row_index) as customer_id, 'insert' as action "
+       "from clean where v_account_number is not null group by 1, 2")
+def upsert_accounts(spark, sf):
+    incoming = load.incoming_accounts(clean_invoices(spark, sf), INVOICE_SPEC)
+    planned = load.upsert_plan(load.empty_table(spark, "accounts"), incoming, "accounts",
+                               load.mapped_columns(INVOICE_SPEC, "accounts"))
+    return planned.select("tenant_id", "account_number", "customer_id", F.col("_action").alias("action"))
+
+
+@query("schema_backfill",
+       "select coalesce(kyc_status, 'pending') as kyc_status, count(*) as rows from ("
+       "select null as kyc_status from customer union all select case s_suppkey % 3 when 0 then 'verified' when 1 then 'rejected' end from supplier"
+       ") group by 1")
+def schema_backfill(spark, sf):
+    old = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
+    status = F.when(F.col("s_suppkey") % 3 == 0, "verified").when(F.col("s_suppkey") % 3 == 1, "rejected")
+    new = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), status.alias("kyc_status"))
+    merged = load.append_evolved(old, new, {"kyc_status": F.lit("pending")})
+    return merged.groupBy("kyc_status").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --- quarantine -------------------------------------------------------------
+
+def ticket_quarantine(spark, sf):
+    bad = load.rejected(annotated(spark, sf, "tickets", TICKET_SPEC))
+    return bad.select("tenant_id", "batch_id", "row_index", "raw", F.array_sort(F.array_distinct("errors.code")).alias("error_codes"),
+                      F.lit("error").alias("severity"), explanation(F.col("errors")).alias("explanation"),
+                      F.lit(None).cast("string").alias("suggested_fix"), F.lit("open").alias("status"),
+                      F.concat_ws("-", "batch_id", "row_index").alias("id"))
+
+
+@query("quarantine_list", oracle.with_clause(TICKETS_CHECKED) +
+       f"select batch_id, row_index, {oracle.CODES} as error_codes, array_to_string(errs, '; ') as explanation from checked "
+       "where len(errs) > 0 and tenant_id = 'tenant-0'")
+def quarantine_list(spark, sf):
+    listed = quarantine.list_quarantine(ticket_quarantine(spark, sf), "tenant-0")
+    return listed.select("batch_id", "row_index", F.array_join("error_codes", ",").alias("error_codes"), "explanation")
+
+
+@query("quarantine_ignore", oracle.with_clause(TICKETS_CHECKED) +
+       "select case when list_contains(errs, 'ticket_customer_natural_key: MISSING_REQUIRED') then 'ignored' else 'open' end as status, "
+       "count(*) as rows from checked where len(errs) > 0 group by 1")
+def quarantine_ignore(spark, sf):
+    after = quarantine.ignore(ticket_quarantine(spark, sf), F.array_contains("error_codes", "MISSING_REQUIRED"))
+    return after.groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+
+
+FIXED_TICKETS = fixtures.flat_sql("tickets")
+BULK = {
+    **TICKETS_CHECKED,
+    "chosen": "select row_index from checked where tenant_id = 'tenant-0' and "
+    "list_contains([split_part(x, ': ', 2) for x in errs], 'ENUM_INVALID')",
+    **oracle.checked("tickets", TICKET_SPEC, "again", source="select r.* exclude (status), 'closed' as status from "
+                     f"({FIXED_TICKETS}) r join chosen using (row_index)", duplicates=False),
+}
+
+
+@query("bulk_resolve", oracle.with_clause(BULK) +
+       "select count(*) as processed, count(*) filter (len(errs) = 0) as loaded, count(*) filter (len(errs) > 0) as still_open from again")
+def bulk_resolve(spark, sf):
+    """Tickets with an unknown status, all corrected to `closed` at once."""
+    customers = fixtures.canonical_customers(spark, sf)
+    entries = reliable(ticket_quarantine(spark, sf))
+    chosen = quarantine.with_code(entries, "tenant-0", "ENUM_INVALID")
+    again = reliable(quarantine.reprocess(chosen, TICKET_SPEC, customers, {"status": "closed"}, AS_OF))
+    return quarantine.bulk_counts(quarantine.resolved_quarantine(entries, again, customers), chosen)
+
+
+# --- profiling ---------------------------------------------------------------
+
+STATISTICS = ("column_name", "row_count", "null_count", "null_fraction", "distinct_count", "distinct_fraction", "sample_values",
+              *[f"{n}_fraction" for n in profile.FRACTIONS])
+
+
+def shown(profiles: DataFrame) -> DataFrame:
+    out = profiles.withColumn("sample_values", F.array_join("sample_values", " | "))
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith("_fraction") else F.col(c) for c in STATISTICS])
+
+
+def _profile(extract: str) -> Query:
+    return lambda spark, sf: shown(profile.profile(profile.cells_of_raw(fixtures.raw(spark, sf, extract))))
+
+
+def _cells(extract: str) -> str:
+    columns = [c for c in fixtures.COLUMNS[extract](fixtures.DUCK) if c not in LEDGER_COLUMNS]
+    return oracle.with_clause({"raw": fixtures.flat_sql(extract), "cells": oracle.cells_sql("from raw", columns)}) + \
+        oracle.profile_sql("cells")
+
+
+for _extract in fixtures.COLUMNS:
+    query(f"profile_{_extract}", _cells(_extract))(_profile(_extract))
+
+DOCUMENT_COLUMNS = ["text", "lang", "source", "n_chars"]
+
+
+@query("profile_documents", oracle.with_clause({"cells": oracle.cells_sql("from documents", DOCUMENT_COLUMNS)}) + oracle.profile_sql("cells"))
+def profile_documents(spark, sf):
+    return shown(profile.profile(profile.cells_of_table(table(spark, sf, "documents"), DOCUMENT_COLUMNS)))
+
+
+@query("profile_by_batch", oracle.with_clause({
+    "raw": fixtures.flat_sql("customers"),
+    "cells": " union all ".join(f"select batch_id, '{c}' as column_name, {c} as value from raw" for c in ("email", "country", "kyc_status")),
+}) + "select batch_id, column_name, count(*) as row_count, count(distinct value) as distinct_count from cells group by 1, 2")
+def profile_by_batch(spark, sf):
+    raw = fixtures.raw(spark, sf, "customers")
+    picked = raw.withColumn("raw", F.map_filter("raw", lambda k, v: k.isin("email", "country", "kyc_status")))
+    return profile.profile_raw(picked).select("batch_id", "column_name", "row_count", "distinct_count")
+
+
+NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query("numeric_report", " union all ".join(
+    f"select '{c}' as column_name, count(*) as rows, count(*) - count({c}) as missing, count(*) filter ({c} = 0) as zeros, "
+    f"count(*) filter ({c} < 0) as negative, min({c})::double as minimum, max({c})::double as maximum, round(avg({c}), 4) as mean, "
+    f"round(stddev_samp({c}), 4) as std, " + ", ".join(f"quantile_disc({c}, {q})::double as p{int(q * 100):02d}" for q in profile.QUANTILES) +
+    " from lineitem" for c in NUMERIC))
+def numeric_report(spark, sf):
+    report = profile.numeric_report(table(spark, sf, "lineitem"), NUMERIC, 1_000_000)
+    return report.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
+
+
+@query("histogram", " union all ".join(
+    f"select '{c}' as column_name, bin, round(lo + bin * w, 4) as lower, round(lo + (bin + 1) * w, 4) as upper, count(*) as rows from ("
+    f"select lo, w, cast(least(floor(({c} - lo) / w), 9) as int) as bin from lineitem, "
+    f"(select min({c})::double as lo, (max({c})::double - min({c})::double) / 10 as w from lineitem)) group by lo, w, bin" for c in NUMERIC))
+def histogram(spark, sf):
+    return profile.histogram(table(spark, sf, "lineitem"), NUMERIC)
+
+
+@query("top_values", "select column_name, rank, value, rows from (select *, row_number() over (partition by column_name order by rows desc, value) as rank "
+       "from (select column_name, value, count(*) as rows from (" +
+       oracle.cells_sql("from orders", ["o_orderstatus", "o_orderpriority", "o_custkey"]) + ") group by 1, 2)) where rank <= 10")
+def top_values(spark, sf):
+    return profile.top_values(profile.cells_of_table(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"]))
+
+
+# --- landing -------------------------------------------------------------------
+
+def event_rows(spark, sf):
+    """Events as landed payloads: one per event type, cells as text."""
+    events = table(spark, sf, "events")
+    cells = {"event_id": F.col("event_id").cast("string"), "props": F.col("props"), "user": F.col("user_id").cast("string")}
+    return events.select(F.col("event_type").alias("tenant_id"), F.col("event_id").alias("row_index"),
+                         F.create_map(*[x for k, v in cells.items() for x in (F.lit(k), v)]).alias("raw"))
+
+
+ROW_JSON = ("concat('{{\"lang\":', to_json({0}lang), ',\"n_chars\":', to_json(cast({0}n_chars as varchar)), ',\"source\":', "
+            "to_json({0}source), ',\"text\":', to_json({0}text), '}}')").format("")
+
+
+@query("row_hashes", f"select doc_id, sha256({ROW_JSON}) as content_hash from documents")
+def row_hashes(spark, sf):
+    docs = table(spark, sf, "documents")
+    cells = F.create_map(*[x for c in ("text", "lang", "source", "n_chars") for x in (F.lit(c), F.col(c).cast("string"))])
+    return docs.select("doc_id", landing.row_hash(cells).alias("content_hash"))
+
+
+EVENT_JSON = ("concat('{\"event_id\":\"', event_id, '\",\"props\":', to_json(props), ',\"user\":\"', user_id, '\"}')")
+FINGERPRINTS = {
+    "h": f"select event_type, sha256(concat(event_id, '|', sha256({EVENT_JSON}))) as h from events",
+    "payloads": "select event_type as tenant_id, sha256(concat_ws('|', count(*)::varchar, " + ", ".join(
+        f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::bigint)::varchar" for i in range(4)) + ")) as file_hash, count(*) as row_count from h group by 1",
+}
+
+
+@query("payload_fingerprints", oracle.with_clause(FINGERPRINTS) + "select * from payloads")
+def payload_fingerprints(spark, sf):
+    return landing.payload_fingerprints(event_rows(spark, sf), ["tenant_id"])
+
+
+@query("batch_replay", oracle.with_clause(FINGERPRINTS) +
+       "select tenant_id, case when tenant_id < 'n' then 'b-' || tenant_id else sha256(concat_ws('|', tenant_id, 'api', file_hash)) end as batch_id, "
+       "tenant_id < 'n' as is_replay, row_count from payloads")
+def batch_replay(spark, sf):
+    incoming = landing.payload_fingerprints(event_rows(spark, sf), ["tenant_id"]).withColumn("source_id", F.lit("api"))
+    ledger = incoming.where(F.col("tenant_id") < "n").select(
+        F.concat(F.lit("b-"), "tenant_id").alias("id"), "tenant_id", "source_id", "file_hash")
+    return landing.replay_status(incoming, ledger).select("tenant_id", "batch_id", "is_replay", "row_count")
+
+
+@query("new_batches", oracle.with_clause(FINGERPRINTS) +
+       "select sha256(concat_ws('|', tenant_id, 'api', file_hash)) as id, tenant_id, 'queued' as status, row_count from payloads where tenant_id >= 'n'")
+def new_batches(spark, sf):
+    incoming = landing.payload_fingerprints(event_rows(spark, sf), ["tenant_id"]).withColumn("source_id", F.lit("api"))
+    ledger = incoming.where(F.col("tenant_id") < "n").select(
+        F.concat(F.lit("b-"), "tenant_id").alias("id"), "tenant_id", "source_id", "file_hash")
+    return landing.new_batches(landing.replay_status(incoming, ledger)).select("id", "tenant_id", "status", "row_count")
+
+
+@query("register_sources",
+       "select sha256(concat_ws('|', lang, source, 'crm')) as id, lang as tenant_id, source as name, 'crm' as kind from (select distinct lang, source from documents)")
+def register_sources(spark, sf):
+    seen = table(spark, sf, "documents").select(F.col("lang").alias("tenant_id"), F.col("source").alias("name"), F.lit("crm").alias("kind"))
+    empty = spark.createDataFrame([], "id string, tenant_id string, name string, kind string")
+    known = landing.register_sources(empty, seen.where(F.col("tenant_id") > "e"))
+    return landing.register_sources(known, seen)
+
+
+REQUESTS = ("select event_id, cast(user_id as varchar) as tenant_id, event_type as endpoint, "
+            "case when event_id % 6 = 5 then null else cast(event_id % 40 as varchar) end as key, cast(event_id % 9 as varchar) as fingerprint from events")
+
+
+@query("request_ledger", oracle.with_clause({
+    "req": REQUESTS,
+    "led": "select tenant_id, endpoint, key, arg_min(fingerprint, event_id) as was, min(event_id) as first from req where key is not null group by 1, 2, 3",
+}) + "select event_id, case when req.key is null or led.first is null then 'new' when req.fingerprint = led.was then 'replay' else 'conflict' end as status, "
+    "case when req.fingerprint = led.was then 'stored-' || led.first end as result from req left join led using (tenant_id, endpoint, key)")
+def request_ledger(spark, sf):
+    events = table(spark, sf, "events")
+    requests = events.select(
+        "event_id", F.col("user_id").cast("string").alias("tenant_id"), F.col("event_type").alias("endpoint"),
+        F.when(F.col("event_id") % 6 != 5, (F.col("event_id") % 40).cast("string")).alias("key"),
+        (F.col("event_id") % 9).cast("string").alias("fingerprint"))
+    ledger = requests.where(F.col("key").isNotNull()).groupBy("tenant_id", "endpoint", "key").agg(
+        F.min_by("fingerprint", "event_id").alias("fingerprint"), F.concat(F.lit("stored-"), F.min("event_id")).alias("result"))
+    return landing.request_outcomes(requests, ledger).select("event_id", "status", "result")
+
+
+def conversation_pages(spark, sf):
+    """Conversations as pulls of pages of four turns, one JSON document a page."""
+    turns = table(spark, sf, "conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"), F.count(F.lit(1)).alias("total"))
+    item = F.struct("turn", F.struct(F.col("role"), F.col("text")).alias("item"))
+    paged = turns.join(last, "conv_id").withColumn("page", F.floor(F.col("turn") / 4) + 1)
+    grouped = paged.groupBy("conv_id", "page", "total", "last").agg(F.array_sort(F.collect_list(item)).alias("turns"))
+    document = F.to_json(F.struct(
+        F.col("turns.item").alias("items"), "page", F.lit(4).alias("page_size"), "total",
+        (F.col("page") < F.floor(F.col("last") / 4) + 1).alias("has_next")))
+    return grouped.select("conv_id", document.alias("document"))
+
+
+@query("json_page_items", "select conv_id, turn as row_index, role, text from conversations")
+def json_page_items(spark, sf):
+    parsed = pages.parse_pages(conversation_pages(spark, sf), "document", ["conv_id"])
+    return pages.page_items(parsed, ["conv_id"]).select(
+        "conv_id", "row_index", F.col("raw")["role"].alias("role"), F.col("raw")["text"].alias("text"))
+
+
+@query("json_page_completeness", "select conv_id, count(distinct turn // 4) as page_count, count(*) as item_count, "
+       "count(distinct turn // 4) = max(turn) // 4 + 1 as complete from conversations group by 1")
+def json_page_completeness(spark, sf):
+    parsed = pages.parse_pages(conversation_pages(spark, sf), "document", ["conv_id"])
+    return pages.completeness(parsed, ["conv_id"])
