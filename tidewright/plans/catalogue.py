@@ -274,7 +274,7 @@ CLEAN = {**INVOICES_CHECKED, "clean": "select * from checked where len(errs) = 0
 
 
 def clean_invoices(spark, sf):
-    return load.accepted(annotated(spark, sf, "invoices", INVOICE_SPEC))
+    return load.accepted(reliable(annotated(spark, sf, "invoices", INVOICE_SPEC)))
 
 
 @query("upsert_invoices", oracle.with_clause(CLEAN) +
@@ -535,3 +535,322 @@ def json_page_items(spark, sf):
 def json_page_completeness(spark, sf):
     parsed = pages.parse_pages(conversation_pages(spark, sf), "document", ["conv_id"])
     return pages.completeness(parsed, ["conv_id"])
+
+
+# --- mapping -----------------------------------------------------------------
+
+KINDS = {"customers": "crm", "invoices": "billing", "tickets": "support"}
+
+
+def all_profiles(spark, sf) -> DataFrame:
+    """Profiles of the three extracts, as columns of three source kinds."""
+    parts = [
+        profile.profile(profile.cells_of_raw(fixtures.raw(spark, sf, e))).withColumn("source_kind", F.lit(kind))
+        for e, kind in KINDS.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+BY_KIND = ["source_kind"]
+POOLS = ", ".join(
+    f"('{kind}', {f.ordinal}, '{f.name}', '{f.type}')" for kind in registry.TABLES_BY_KIND for f in registry.candidate_pool(kind))
+PROFILES = {
+    f"cells_{e}": oracle.cells_sql(f"{fixtures.flat_sql(e)}",
+                                   [c for c in fixtures.COLUMNS[e](fixtures.DUCK) if c not in LEDGER_COLUMNS])
+    for e in KINDS
+}
+PROFILES["profiles"] = " union all ".join(
+    f"select '{kind}' as source_kind, * from ({oracle.profile_sql(f'cells_{e}')})" for e, kind in KINDS.items())
+
+
+@query("type_scores", oracle.with_clause(PROFILES) +
+       "select source_kind, column_name, field as canonical_field, round(case type when 'email' then email_match_fraction "
+       "when 'phone' then phone_match_fraction when 'date' then date_parse_fraction when 'integer' then int_parse_fraction "
+       "when 'money_minor_units' then float_parse_fraction when 'currency_code' then currency_code_match_fraction "
+       "when 'enum' then case when row_count = null_count then 0.5 else greatest(0, 1 - least(distinct_fraction, 1)) end else 0.5 end, 4) as type_score "
+       f"from profiles join (values {POOLS}) p(source_kind, ordinal, field, type) using (source_kind)")
+def type_scores(spark, sf):
+    candidates = mapping.with_candidates(all_profiles(spark, sf))
+    return candidates.select("source_kind", "column_name", "canonical_field",
+                             F.round(mapping.type_score(F.col("type")), 4).alias("type_score"))
+
+
+@query("rank_candidates")
+def rank_candidates(spark, sf):
+    return mapping.score_columns(reliable(all_profiles(spark, sf)), BY_KIND)
+
+
+@query("baseline_ranking")
+def baseline_ranking(spark, sf):
+    return mapping.baseline_ranking(all_profiles(spark, sf).select("source_kind", "column_name"), [])
+
+
+@query("column_mappings")
+def column_mappings(spark, sf):
+    ranked = mapping.score_columns(reliable(all_profiles(spark, sf)), BY_KIND)
+    mapped = mapping.column_mappings(ranked, BY_KIND)
+    return mapped.select(*BY_KIND, "column_name", "best_field", "confidence", "bucket", F.size("candidates").alias("candidates"))
+
+
+@query("tiebreak_requests")
+def tiebreak_requests(spark, sf):
+    profiles = reliable(all_profiles(spark, sf))
+    mapped = mapping.column_mappings(mapping.score_columns(profiles, BY_KIND), BY_KIND)
+    return mapping.tiebreak_requests(mapped, profiles, BY_KIND)
+
+
+@query("benchmark_accuracy")
+def benchmark_accuracy(spark, sf):
+    """Name-only and combined ranking of the extracts' columns against the specs
+    that load them; columns no spec uses have no true field."""
+    profiles = reliable(all_profiles(spark, sf))
+    truth = [(KINDS[e], entry_["source_column"], name)
+             for e, spec in (("customers", CUSTOMER_SPEC), ("invoices", INVOICE_SPEC), ("tickets", TICKET_SPEC))
+             for name, entry_ in spec.items()]
+    true = F.broadcast(spark.createDataFrame(truth, "source_kind string, column_name string, truth string"))
+    combined = mapping.score_columns(profiles, BY_KIND)
+    named = mapping.baseline_ranking(profiles.select("source_kind", "column_name"), [])
+    passes = {
+        "name": evaluate.rankings(named, BY_KIND),
+        "combined": evaluate.rankings(combined, BY_KIND, mapping.column_mappings(combined, BY_KIND)),
+    }
+    parts = [df.join(true, [*BY_KIND, "column_name"], "left").withColumn("pass", F.lit(n)) for n, df in passes.items()]
+    return evaluate.mapping_accuracy(parts[0].unionByName(parts[1]), ["pass"])
+
+
+# Parts stand for scored columns: one spec per brand, each part a column of it.
+def part_mappings(spark, sf):
+    names = F.array(*[F.lit(f.name) for f in registry.FIELDS.values()])
+    confidence = F.round((F.col("p_partkey") % 100) / 100, 2)
+    return table(spark, sf, "part").select(
+        F.col("p_brand").alias("tenant_id"), F.lit("any").alias("source_kind"),
+        F.concat(F.lit("col_"), F.col("p_partkey")).alias("column_name"),
+        F.get(names, F.pmod(F.col("p_partkey") * 7, F.lit(33)).cast("int")).alias("best_field"),
+        confidence.alias("confidence"), mapping.bucket(confidence).alias("bucket"))
+
+
+def part_decisions(spark, sf):
+    names = F.array(*[F.lit(f.name) for f in registry.FIELDS.values()], F.lit("UNKNOWN"), F.lit("invented"))
+    return table(spark, sf, "part").where(F.col("p_size") <= 25).select(
+        F.col("p_brand").alias("tenant_id"), F.concat(F.lit("col_"), F.col("p_partkey")).alias("column_name"),
+        F.get(names, F.pmod(F.col("p_partkey"), F.lit(35)).cast("int")).alias("field"), F.lit("table").alias("model"),
+        F.lit(0.75).alias("confidence"), F.lit("by hand").alias("reasoning"))
+
+
+FIELD_LIST = "[" + ", ".join(f"'{n}'" for n in registry.FIELDS) + ", 'UNKNOWN', 'invented']"
+PART_ENTRIES = {
+    "m": f"select p_brand as tenant_id, 'col_' || p_partkey as column_name, ({FIELD_LIST})[1 + (p_partkey * 7) % 33] as best, "
+    f"round((p_partkey % 100) / 100, 2) as conf, case when p_size <= 25 then ({FIELD_LIST})[1 + p_partkey % 35] end as decided from part",
+    "c": "select tenant_id, column_name, case when conf < 0.55 and decided is not null and decided <> 'invented' then decided else best end as field, "
+    "case when conf < 0.55 and decided is not null and decided <> 'invented' then 'llm' when conf < 0.55 then 'deterministic_fallback' "
+    "else 'deterministic' end as method from m",
+    "entries": "select tenant_id, field as canonical_field, arg_max(column_name, struct_pack(n := length(column_name), c := column_name)) as source_column, "
+    "arg_max(method, struct_pack(n := length(column_name), c := column_name)) as method from c where field <> 'UNKNOWN' group by 1, 2",
+}
+
+
+@query("build_spec", oracle.with_clause(PART_ENTRIES) + "select * from entries")
+def build_spec(spark, sf):
+    entries = mapping.spec_entries(part_mappings(spark, sf), part_decisions(spark, sf), ["tenant_id"])
+    return entries.select("tenant_id", "canonical_field", F.col("entry.source_column").alias("source_column"),
+                          F.col("entry.provenance.method").alias("method"))
+
+
+def supplier_specs(spark, sf):
+    """Stored specs: per nation and one of seven sources, a version per supplier."""
+    from pyspark.sql import Window
+
+    docs = F.map_from_arrays(
+        F.array(F.lit("legal_name"), F.lit("country")),
+        F.array(*[F.struct(F.concat(F.lit(c), F.col("s_suppkey")).alias("source_column"),
+                           F.struct(F.lit("trim").alias("function"), F.create_map().cast("map<string,string>").alias("params")).alias("transform"),
+                           F.struct(F.lit("deterministic").alias("method"), F.lit(None).cast("string").alias("model"), F.lit(0.9).alias("confidence"),
+                                    F.lit(None).cast("string").alias("reasoning")).alias("provenance")).cast(mapping.ENTRY) for c in ("n", "c")]))
+    order = Window.partitionBy("tenant_id", "source_id").orderBy("s_suppkey")
+    status = F.when(F.col("s_suppkey") % 3 == 0, "confirmed").otherwise("draft")
+    suppliers = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("t"), F.col("s_nationkey")).alias("tenant_id"),
+        F.concat(F.lit("s"), F.col("s_suppkey") % 7).alias("source_id"), "s_suppkey", docs.alias("spec"), status.alias("status"))
+    return suppliers.withColumn("version", F.row_number().over(order)).withColumn(
+        "parent_version", F.nullif(F.col("version") - 1, F.lit(0))).drop("s_suppkey")
+
+
+SPECS = ("select cast(s_suppkey as varchar) as id, 't' || s_nationkey as tenant_id, 's' || (s_suppkey % 7) as source_id, "
+         "row_number() over (partition by s_nationkey, s_suppkey % 7 order by s_suppkey) as version, "
+         "case when s_suppkey % 3 = 0 then 'confirmed' else 'draft' end as status, s_suppkey from supplier")
+
+
+@query("spec_versions", oracle.with_clause({"specs": SPECS}) +
+       "select 't' || n_nationkey as tenant_id, coalesce(max(version), 0) + 1 as version, max(version) as parent_version "
+       "from nation left join specs on specs.tenant_id = 't' || n_nationkey and source_id = 's1' group by n_nationkey")
+def spec_versions(spark, sf):
+    specs = supplier_specs(spark, sf)
+    drafts = table(spark, sf, "nation").select(
+        F.concat(F.lit("t"), F.col("n_nationkey")).alias("tenant_id"), F.lit("s1").alias("source_id"),
+        F.create_map().cast(f"map<string,{mapping.ENTRY}>").alias("spec"))
+    return mapping.next_versions(specs, drafts).select("tenant_id", "version", "parent_version")
+
+
+@query("patch_spec", oracle.with_clause({"specs": SPECS}) +
+       "select id, case when status = 'draft' then 'legal_name=new/trim/human' else 'country=c' || id || '/trim/deterministic,legal_name=n' || id || '/trim/deterministic' end as entries, "
+       "case when status = 'draft' then 'patched' else 'refused' end as patch from specs")
+def patch_spec(spark, sf):
+    """Every spec gets a new column for the name and loses the country."""
+    specs = supplier_specs(spark, sf)
+    named = F.struct(F.lit("new").alias("source_column"), F.lit(None).alias("transform"), F.lit(None).alias("provenance")).cast(mapping.ENTRY)
+    patch = F.map_from_arrays(F.array(F.lit("legal_name"), F.lit("country")), F.array(named, F.lit(None).cast(mapping.ENTRY)))
+    patched = mapping.patch_specs(specs, specs.select("id", patch.alias("patch")))
+    lines = F.transform(F.map_entries("spec"), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"]["source_column"], F.lit("/"), e["value"]["transform"]["function"], F.lit("/"), e["value"]["provenance"]["method"]))
+    return patched.select("id", F.array_join(F.array_sort(lines), ",").alias("entries"), F.col("_patch").alias("patch"))
+
+
+@query("confirm_spec", oracle.with_clause({
+    "specs": SPECS, "latest": "select tenant_id, source_id, max(version) as v from specs where status = 'draft' group by 1, 2"}) +
+    "select id, version, case when status = 'draft' and version = v then 'confirmed' when status = 'confirmed' and v is not null then 'superseded' else status end as status "
+    "from specs left join latest using (tenant_id, source_id)")
+def confirm_spec(spark, sf):
+    """The newest draft of every source is confirmed."""
+    specs = supplier_specs(spark, sf)
+    newest = specs.where(F.col("status") == "draft").groupBy("tenant_id", "source_id").agg(F.max_by("id", "version").alias("id"))
+    return mapping.confirm_specs(specs, newest).select("id", "version", "status")
+
+
+@query("spec_assignments", oracle.with_clause({"specs": SPECS}) +
+       "select id, 'n' || id as source_column, 'legal_name' as canonical_field, 'trim' as function from specs where status = 'confirmed' "
+       "union all select id, 'c' || id, 'country', 'trim' from specs where status = 'confirmed'")
+def spec_assignments(spark, sf):
+    confirmed = mapping.confirmed_specs(supplier_specs(spark, sf))
+    return mapping.assignments(confirmed).select("id", "source_column", "canonical_field", "function")
+
+
+@query("cosine_to_centroid", "with d as (select vec_id, label, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings), "
+       "c as (select label, i, avg(x::double) as m from d group by 1, 2) "
+       "select vec_id, label, round(sum(x::double * m) / (sqrt(sum(x::double * x::double)) * sqrt(sum(m * m))), 4) as score from d join c using (label, i) group by 1, 2")
+def cosine_to_centroid(spark, sf):
+    from tidewright.functions.vectors import cosine
+
+    vectors = table(spark, sf, "embeddings")
+    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centroids = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+    return vectors.join(centroids, "label").select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("centroid")), 4).alias("score"))
+
+
+@query("mapping_accuracy",
+       "with p as (select source, case when quality = 1 then 'f' || (doc_id % 5) end as truth, case when toxic = 0 then 'f' || (doc_id % 4) end as predicted, "
+       "['f' || (doc_id % 4), 'f' || (doc_id % 3), 'f' || (doc_id % 2), 'f4'] as ranked from labels join documents using (doc_id)) "
+       "select lang_source as source, mapped_columns, tp, fp, fn, round(case when mapped_columns > 0 then tp / mapped_columns else 0 end, 4) as acc_at_1, "
+       "round(case when mapped_columns > 0 then in_top / mapped_columns else 0 end, 4) as acc_at_3, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 4) as precision, "
+       "round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 4) as recall from (select source as lang_source, count(truth) as mapped_columns, "
+       "count(*) filter (truth = predicted) as tp, count(*) filter (predicted is not null and (truth is null or truth <> predicted)) as fp, "
+       "count(*) filter (truth is not null and (predicted is null or truth <> predicted)) as fn, count(*) filter (list_contains(ranked[1:3], truth)) as in_top from p group by 1)")
+def mapping_accuracy(spark, sf):
+    """Document labels as truth and prediction, per document source."""
+    joined = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    name = lambda n: F.concat(F.lit("f"), F.col("doc_id") % n)
+    cases = joined.select("source", F.when(F.col("quality") == 1, name(5)).alias("truth"), F.when(F.col("toxic") == 0, name(4)).alias("predicted"),
+                          F.array(name(4), name(3), name(2), F.lit("f4")).alias("ranked"))
+    return evaluate.mapping_accuracy(cases, ["source"])
+
+
+@query("defect_coverage", oracle.with_clause({
+    **TICKETS_CHECKED,
+    "expected": "select batch_id, row_index, [x for x in [case when row_index % 29 = 4 then 'MISSING_REQUIRED' end, case when row_index % 53 = 11 then 'DUPLICATE_EXACT' end, "
+    "case when row_index % 4 = 3 and row_index % 3 = 0 then 'ENUM_INVALID' end] if x is not null] as codes from checked_raw",
+    "e": "select batch_id, row_index, unnest(codes) as code from expected"}) +
+    "select code, count(*) as expected, count(*) filter (list_contains([split_part(x, ': ', 2) for x in errs], code)) as found, "
+    "count(*) filter (not list_contains([split_part(x, ': ', 2) for x in errs], code)) as missed from e join checked using (batch_id, row_index) group by 1")
+def defect_coverage(spark, sf):
+    """Injected ticket defects against the codes the checks produced."""
+    k = F.col("row_index")
+    wanted = [(k % 29 == 4, "MISSING_REQUIRED"), (k % 53 == 11, "DUPLICATE_EXACT"), ((k % 4 == 3) & (k % 3 == 0), "ENUM_INVALID")]
+    codes = F.array_compact(F.array(*[F.when(c, code) for c, code in wanted]))
+    expected = fixtures.raw(spark, sf, "tickets").select("batch_id", "row_index", codes.alias("codes")).where(F.size("codes") > 0)
+    return evaluate.defect_coverage(expected, ticket_quarantine(spark, sf), ["batch_id", "row_index"])
+
+
+# --- dedupe ------------------------------------------------------------------
+
+def _pairs_sql(blank_is_null: bool) -> dict[str, str]:
+    def factor(c: str, same: float, other: float) -> str:
+        value = f"case when a.{c} = b.{c} then {same} else {other} end"
+        return f"case when a.{c} = '' or b.{c} = '' then 1.0 else {value} end" if blank_is_null else value
+
+    jw = "jaro_winkler_similarity(a.legal_name, b.legal_name)"
+    name = (f"case when a.legal_name = b.legal_name then 0.85 / 0.001 when {jw} >= 0.9 then 0.5 / 0.02 when {jw} >= 0.7 then 0.3 / 0.05 else 0.02 / 0.9 end")
+    same_email = "a.email = b.email" + (" and a.email <> ''" if blank_is_null else "")
+    return {
+        **oracle.CUSTOMERS,
+        "people": "select tenant_id, id, legal_name, coalesce(email, '') as email, coalesce(country, '') as country from customers",
+        "scored": f"select a.tenant_id, a.id as customer_id_a, b.id as customer_id_b, cast(0.01 / 0.99 * ({name}) * "
+        f"({factor('email', 0.95 / 0.001, 0.05 / 0.999)}) * ({factor('country', 0.6 / 0.3, 0.4 / 0.7)}) as double) as odds "
+        f"from people a join people b on a.tenant_id = b.tenant_id and a.id < b.id and "
+        f"(substr(a.legal_name, 1, 3) = substr(b.legal_name, 1, 3) or ({same_email}))",
+        "pairs": "select tenant_id, customer_id_a, customer_id_b, round(odds / (1 + odds), 4) as match_probability from scored where odds / (1 + odds) >= 0.5",
+    }
+
+
+@query("dedupe_pairs", oracle.with_clause(_pairs_sql(False)) + "select * from pairs")
+def dedupe_pairs(spark, sf):
+    return dedupe.duplicate_candidates(fixtures.canonical_customers(spark, sf))
+
+
+@query("dedupe_pairs_blank_is_null", oracle.with_clause(_pairs_sql(True)) + "select * from pairs")
+def dedupe_pairs_blank_is_null(spark, sf):
+    return dedupe.duplicate_candidates(fixtures.canonical_customers(spark, sf), blank_is_null=True)
+
+
+def twin_pairs(spark, sf):
+    """The candidates that blank emails do not cause, as a found set."""
+    return reliable(dedupe.duplicate_candidates(fixtures.canonical_customers(spark, sf), blank_is_null=True))
+
+
+@query("dedupe_upsert", oracle.with_clause(_pairs_sql(True)) +
+       "select customer_id_a, customer_id_b, match_probability, case when customer_id_a < '8' then 'dismissed' else 'open' end as status, "
+       "customer_id_a >= '8' as new from pairs")
+def dedupe_upsert(spark, sf):
+    found = twin_pairs(spark, sf)
+    stored = found.where(F.col("customer_id_a") < "8").withColumn("match_probability", F.lit(0.5)).withColumn("status", F.lit("dismissed"))
+    return dedupe.upsert_candidates(stored, found).select(
+        "customer_id_a", "customer_id_b", "match_probability", "status", F.col("_new").alias("new"))
+
+
+@query("merge_repoint", oracle.with_clause({**_pairs_sql(True), **oracle.checked("invoices", INVOICE_SPEC)}) +
+       "select row_index, coalesce(p.customer_id_a, c.resolved_id) as customer_id from checked c "
+       "left join pairs p on p.tenant_id = c.tenant_id and p.customer_id_b = c.resolved_id where c.resolved_id is not null")
+def merge_repoint(spark, sf):
+    """All candidates merged at once; invoices follow to the surviving customer."""
+    merges = dedupe.merge_map(twin_pairs(spark, sf))
+    linked = reliable(annotated(spark, sf, "invoices", INVOICE_SPEC).select("tenant_id", "row_index", "customer_id"))
+    moved = dedupe.repoint(linked.where(F.col("customer_id").isNotNull()), merges, "row_index")
+    return moved.select("row_index", "customer_id")
+
+
+@query("merged_customers", oracle.with_clause(_pairs_sql(True)) + "select id, tenant_id from people where id not in (select customer_id_b from pairs)")
+def merged_customers(spark, sf):
+    merges = dedupe.merge_map(twin_pairs(spark, sf))
+    return dedupe.drop_merged(fixtures.canonical_customers(spark, sf), merges).select("id", "tenant_id")
+
+
+# --- metrics -----------------------------------------------------------------
+
+@query("tenant_metrics",
+       "with t as (select 'N' || n_nationkey as tenant_id, n_nationkey as k from nation union all select 'nobody', -1) "
+       "select tenant_id, 0 as batches, (select count(*) from customer where c_nationkey = k) as customers, "
+       "(select count(*) from orders join customer on o_custkey = c_custkey where c_nationkey = k) as invoices, 0 as support_tickets, "
+       "(select count(*) from supplier where s_nationkey = k) as accounts, "
+       "(select count(*) from supplier where s_nationkey = k and s_acctbal < 5000) as quarantine_open, "
+       "(select count(*) from supplier where s_nationkey = k and s_acctbal >= 5000) as quarantine_fixed, 0 as mapping_specs_confirmed from t")
+def tenant_metrics(spark, sf):
+    tenant = lambda c: F.concat(F.lit("N"), F.col(c)).alias("tenant_id")
+    customer = table(spark, sf, "customer")
+    supplier = table(spark, sf, "supplier")
+    tables = {
+        "customers": customer.select(tenant("c_nationkey")),
+        "invoices": table(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(tenant("c_nationkey")),
+        "accounts": supplier.select(tenant("s_nationkey")),
+        "quarantine": supplier.select(tenant("s_nationkey"), F.when(F.col("s_acctbal") < 5000, "open").otherwise("resubmitted").alias("status")),
+    }
+    asked = table(spark, sf, "nation").select(tenant("n_nationkey")).unionByName(spark.createDataFrame([("nobody",)], "tenant_id string"))
+    return metrics.tenant_metrics(tables, asked)

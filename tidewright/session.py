@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +29,24 @@ def local_session(app: str = "tidewright", cores: str = "*", **conf: str) -> Spa
     return session
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`. Only a local-mode
+    session that names none (tests) gets a scratch folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="tidewright-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def reliable(df: DataFrame) -> DataFrame:
-    """Materialise `df` on shared storage and cut its lineage.
+    """Write `df` to the shared folder and read it back.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a
-    local-mode session that names none (tests) gets a scratch folder.
+    Cuts the lineage with a table that outlives executors, is read by column,
+    and tells the planner its size.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="tidewright-ckpt-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidewright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
