@@ -7,6 +7,8 @@ provenance}}`. It is a small document, so it becomes one projection.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +70,9 @@ def error_list(candidates: list[tuple[Column, Column]]) -> Column:
     none = F.array().cast(ERRORS)
     if not candidates:
         return none
-    return F.concat(*[F.when(condition, F.array(e)).otherwise(none) for condition, e in candidates])
+    any_error = reduce(or_, [F.coalesce(condition, F.lit(False)) for condition, _ in candidates])
+    listed = F.concat(*[F.when(condition, F.array(e)).otherwise(none) for condition, e in candidates])
+    return F.when(any_error, listed).otherwise(none)
 
 
 def hold(df: DataFrame, column: str) -> DataFrame:
