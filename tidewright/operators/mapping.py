@@ -207,7 +207,7 @@ def spec_entries(mappings: DataFrame, decisions: DataFrame, by: list[str]) -> Da
 
 def spec_documents(entries: DataFrame, by: list[str]) -> DataFrame:
     """One spec (map of field to entry) per group."""
-    return entries.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("canonical_field", "entry")))).alias("spec"))
+    return entries.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("canonical_field", "entry"))).alias("spec"))
 
 
 def next_versions(specs: DataFrame, drafts: DataFrame) -> DataFrame:

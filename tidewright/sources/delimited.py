@@ -30,7 +30,7 @@ class Layout:
     multiline: bool
 
 
-def detect_encodings(spark: SparkSession, folder: str, fallback: str = "windows-1252") -> DataFrame:
+def detect_encodings(spark: SparkSession, folder: str, fallback: str = "ISO-8859-1") -> DataFrame:
     """(path, file_hash, encoding) per file: byte-order mark, valid UTF-8, else the fallback."""
     files = spark.read.format("binaryFile").load(folder)
     head = F.hex(F.substring("content", 1, 3))
@@ -124,6 +124,7 @@ def read_layout(spark: SparkSession, paths: Sequence[str], layout: Layout) -> Da
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BROKEN)
+        .option("columnPruning", False)
         .csv(list(paths))
         .select(*_place_columns(), *slots, BROKEN)
     )
@@ -133,20 +134,25 @@ def read_layout(spark: SparkSession, paths: Sequence[str], layout: Layout) -> Da
         "path", "block", "place", whole.alias("raw"), F.lit(None).cast("array<string>").alias("_overflow")
     )
     cells = _split_record(F.col(BROKEN), F.lit(layout.delimiter))
-    parts = rows.where(F.col(BROKEN).isNotNull()).select("path", "block", "place", cells.alias("cells"))
+    # a scan may not ask for the broken text alone, hence the look at the cells
+    broken = F.col(BROKEN).isNotNull() & (F.length(F.concat_ws("", *slots)) >= 0)
+    parts = rows.where(broken).select("path", "block", "place", cells.alias("cells"))
     ragged = F.create_map(*[p for n, i in last.items() for p in (F.lit(n), F.get("cells", F.lit(i)))])
     surplus = F.when(F.size("cells") > len(names), F.slice("cells", len(names) + 1, 2**30))
     return good.unionByName(parts.select("path", "block", "place", ragged.alias("raw"), surplus.alias("_overflow")))
 
 
-def read_folder(spark: SparkSession, folder: str, fallback_encoding: str = "windows-1252") -> DataFrame:
+def read_folder(spark: SparkSession, folder: str, fallback_encoding: str = "ISO-8859-1") -> DataFrame:
     """All files of a drop folder as raw rows, with file_hash, encoding, delimiter.
 
     One detection job, then one scan per distinct layout. What reaches the
     driver is one line per file, as in any file listing.
     """
     files = detect_encodings(spark, folder, fallback_encoding).join(detect_layouts(spark, folder), "path")
-    listed = files.select("path", "file_hash", "encoding", "delimiter", "header", "multiline").collect()
+    # lines were read as bytes in UTF-8; names in another single-byte encoding are decoded again
+    latin = F.decode(F.col("header").cast("binary"), F.lit("ISO-8859-1"))
+    header = F.when(F.col("encoding") == "ISO-8859-1", latin).otherwise(F.col("header"))
+    listed = files.select("path", "file_hash", "encoding", "delimiter", header.alias("header"), "multiline").collect()
     if not listed:
         raise ValueError(f"no non-empty file in {folder}")
     groups: dict[Layout, list[str]] = {}
