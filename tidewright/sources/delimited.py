@@ -150,7 +150,7 @@ def read_folder(spark: SparkSession, folder: str, fallback_encoding: str = "ISO-
     """
     files = detect_encodings(spark, folder, fallback_encoding).join(detect_layouts(spark, folder), "path")
     # lines were read as bytes in UTF-8; names in another single-byte encoding are decoded again
-    latin = F.decode(F.col("header").cast("binary"), F.lit("ISO-8859-1"))
+    latin = F.decode(F.col("header").cast("binary"), "ISO-8859-1")
     header = F.when(F.col("encoding") == "ISO-8859-1", latin).otherwise(F.col("header"))
     listed = files.select("path", "file_hash", "encoding", "delimiter", header.alias("header"), "multiline").collect()
     if not listed:
