@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright import registry
-from tidewright.functions.hashing import stable_id
 from tidewright.operators import dedupe, landing, load, mapping, profile, quarantine
 from tidewright.operators.joins import latest_per_key
 from tidewright.operators.records import tables_of
@@ -103,11 +102,20 @@ def land_rows(ws: Workspace, rows: DataFrame, files: DataFrame, tenant_id: str,
     return status.select("path", "batch_id", "is_replay")
 
 
-def land_folder(ws: Workspace, folder: str, tenant_id: str, source_name: str, kind: str) -> DataFrame:
-    """Land every delimited file of a drop folder, one batch per file."""
-    staged = reliable(delimited.read_folder(ws.spark, folder))
-    rows = delimited.with_row_index(staged)
+def land_folder(
+    ws: Workspace, folder: str, tenant_id: str, source_name: str, kind: str, whole_bytes: int = delimited.WHOLE_FILE_BYTES
+) -> DataFrame:
+    """Land every delimited file of a drop folder, one batch per file.
+
+    A file too large to be hashed in one task is known by the hashes of its rows
+    and their places, which add up across tasks.
+    """
+    staged = reliable(delimited.read_folder(ws.spark, folder, whole_bytes=whole_bytes))
+    rows = reliable(delimited.with_row_index(staged))
     files = staged.select("path", "file_hash", "encoding", "delimiter").distinct()
+    by_rows = landing.payload_fingerprints(rows.where(F.col("file_hash").isNull()), ["path"]).select(
+        "path", F.col("file_hash").alias("_rows_hash"))
+    files = files.join(by_rows, "path", "left").withColumn("file_hash", F.coalesce("file_hash", "_rows_hash")).drop("_rows_hash")
     return land_rows(ws, rows, files, tenant_id, source_name, kind)
 
 
@@ -230,7 +238,3 @@ def merge(ws: Workspace, pairs: DataFrame) -> DataFrame:
     ws.write("duplicate_candidates", dedupe.mark_merged(ws.read("duplicate_candidates"), pairs))
     return merges
 
-
-def stored_id(table: str, tenant_id: Column, key: Column) -> Column:
-    """The id a canonical row gets when it is first inserted."""
-    return stable_id(table, tenant_id, key)

@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE_LINES = 20
+WHOLE_FILE_BYTES = 256 * 2**20
 BROKEN = "_broken"
 
 
@@ -30,18 +31,39 @@ class Layout:
     multiline: bool
 
 
-def detect_encodings(spark: SparkSession, folder: str, fallback: str = "ISO-8859-1") -> DataFrame:
-    """(path, file_hash, encoding) per file: byte-order mark, valid UTF-8, else the fallback."""
+def detect_encodings(
+    spark: SparkSession, folder: str, fallback: str = "ISO-8859-1", whole_bytes: int = WHOLE_FILE_BYTES
+) -> DataFrame:
+    """(path, file_hash, encoding) per file: byte-order mark, valid UTF-8, else the fallback.
+
+    Files up to `whole_bytes` are hashed as they are. Larger ones are never held
+    in one task: their lines are looked at, split by split, and `file_hash` stays
+    null, to be taken from the landed rows.
+    """
+
+    def encoding(head: Column, valid: Column) -> Column:
+        return (
+            F.when(head.startswith("EFBBBF"), "UTF-8").when(head.startswith("FFFE"), "UTF-16LE")
+            .when(head.startswith("FEFF"), "UTF-16BE").when(valid, "UTF-8").otherwise(fallback)
+        )
+
     files = spark.read.format("binaryFile").load(folder)
-    head = F.hex(F.substring("content", 1, 3))
-    encoding = (
-        F.when(head == "EFBBBF", "UTF-8")
-        .when(head.startswith("FFFE"), "UTF-16LE")
-        .when(head.startswith("FEFF"), "UTF-16BE")
-        .when(F.is_valid_utf8(F.col("content").cast("string")), "UTF-8")
-        .otherwise(fallback)
+    small = files.where((F.col("length") > 0) & (F.col("length") <= whole_bytes)).select(
+        "path", F.sha2("content", 256).alias("file_hash"),
+        encoding(F.hex(F.substring("content", 1, 3)), F.is_valid_utf8(F.col("content").cast("string"))).alias("encoding"),
+    )
+    paths = [r.path for r in files.where(F.col("length") > whole_bytes).select("path").collect()]
+    if not paths:
+        return small
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                                          F.monotonically_increasing_id().alias("place"), "value")
+    large = lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+        F.hex(F.substring(F.min_by("value", F.struct("block", "place")).cast("binary"), 1, 3)).alias("head"),
+    )
+    return small.unionByName(
+        large.select("path", F.lit(None).cast("string").alias("file_hash"), encoding(F.col("head"), F.col("valid")).alias("encoding"))
     )
-    return files.where(F.col("length") > 0).select("path", F.sha2("content", 256).alias("file_hash"), encoding.alias("encoding"))
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,13 +164,15 @@ def read_layout(spark: SparkSession, paths: Sequence[str], layout: Layout) -> Da
     return good.unionByName(parts.select("path", "block", "place", ragged.alias("raw"), surplus.alias("_overflow")))
 
 
-def read_folder(spark: SparkSession, folder: str, fallback_encoding: str = "ISO-8859-1") -> DataFrame:
+def read_folder(
+    spark: SparkSession, folder: str, fallback_encoding: str = "ISO-8859-1", whole_bytes: int = WHOLE_FILE_BYTES
+) -> DataFrame:
     """All files of a drop folder as raw rows, with file_hash, encoding, delimiter.
 
     One detection job, then one scan per distinct layout. What reaches the
     driver is one line per file, as in any file listing.
     """
-    files = detect_encodings(spark, folder, fallback_encoding).join(detect_layouts(spark, folder), "path")
+    files = detect_encodings(spark, folder, fallback_encoding, whole_bytes).join(detect_layouts(spark, folder), "path")
     # lines were read as bytes in UTF-8; names in another single-byte encoding are decoded again
     latin = F.decode(F.col("header").cast("binary"), "ISO-8859-1")
     header = F.when(F.col("encoding") == "ISO-8859-1", latin).otherwise(F.col("header"))
