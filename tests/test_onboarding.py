@@ -144,3 +144,19 @@ def test_records_of_several_tables_and_refused_specs(spark):
     assert row.link.invoices == "1001" and row.link.accounts is None and row.errors == []
     with pytest.raises(InvalidSpec):
         require_natural_keys({"legal_name": entry("x", "trim")})
+
+
+def test_links_see_the_batch_own_customers(spark):
+    from tidewright.operators import load
+
+    raw = spark.createDataFrame(
+        [("t", "b", i, {"c": c, "name": n, "inv": f"INV-{i}", "ref": r}) for i, (c, n, r) in enumerate(
+            [("C-1", "A", "C-2"), ("C-2", "B", "2"), ("C-3", "", "C-1"), ("C-4", "D", "C-3")])],
+        "tenant_id string, batch_id string, row_index long, raw map<string,string>")
+    spec = {"customer_natural_key": entry("c", "trim"), "legal_name": entry("name", "trim"),
+            "invoice_natural_key": entry("inv", "trim"), "invoice_customer_natural_key": entry("ref", "trim")}
+    rows = load.annotate(raw, spec, load.empty_table(spark, "customers"), date(2026, 1, 1)).orderBy("row_index").collect()
+    codes = [[e.code for e in r.errors] for r in rows]
+    # row 2 has no name, so its customer is not there for row 3
+    assert codes == [[], [], ["MISSING_REQUIRED"], ["REF_INTEGRITY_ORPHAN_FK"]]
+    assert rows[0].customer_id == rows[1].customer_id

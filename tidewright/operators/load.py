@@ -42,9 +42,24 @@ def annotate(
     rows = check_records(apply_spec(raw, spec), spec, as_of)
     if detect_duplicates:
         rows = flag_duplicates(rows, spec)
+    tables = tables_of(spec)
+    if "customers" in tables and len(tables) > 1:
+        customers = with_own_customers(rows, customers)
     return hold(link_customers(rows, spec, customers, hot_rows), "errors")
 
 
+def with_own_customers(rows: DataFrame, customers: DataFrame) -> DataFrame:
+    """Stored customers plus those the batch itself brings in clean rows, so
+    that records may link to a customer of the same batch, in any row order."""
+    key = F.col("rec.customers.natural_key")
+    own = hold(rows, "errors").where(F.size("errors") == 0).select("tenant_id", key.alias("natural_key")).distinct()
+    known = customers.select("tenant_id", "natural_key", "id")
+    fresh = own.join(known, ["tenant_id", "natural_key"], "left_anti")
+    return known.unionByName(
+        fresh.withColumn("id", stable_id("customers", F.col("tenant_id"), F.col("natural_key")))
+    )
+
+
 def accepted(annotated: DataFrame) -> DataFrame:
     return annotated.where(F.size("errors") == 0)
 
