@@ -14,6 +14,13 @@ MAX_HOT_KEYS = 1024
 SPREAD = 4096
 
 
+def use_all_cores(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores, before costly
+    parsing; a scan with enough splits is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def _all_set(columns: Sequence[str]) -> Column:
     condition = F.lit(True)
     for c in columns:

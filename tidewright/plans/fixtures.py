@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.operators.joins import use_all_cores
 from tidewright.operators.records import spec_for
 
 AS_OF = "2000-06-01"
@@ -146,11 +147,12 @@ def flat(spark: SparkSession, sf_dir: str, extract: str) -> DataFrame:
     """An extract with one string column per source column."""
     if extract == "customers":
         twins = F.explode(F.sequence(F.lit(0), F.when(F.col("c_custkey") % 40 == 7, 1).otherwise(0)))
-        base = table(spark, sf_dir, "customer").join(
+        base = use_all_cores(table(spark, sf_dir, "customer"), "c_custkey").join(
             table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
         ).withColumn("twin", twins)
     else:
-        base = table(spark, sf_dir, {"invoices": "orders", "tickets": "events"}[extract])
+        name, key = {"invoices": ("orders", "o_orderkey"), "tickets": ("events", "event_id")}[extract]
+        base = use_all_cores(table(spark, sf_dir, name), key)
     return base.selectExpr(*[f"{sql} as {name}" for name, sql in COLUMNS[extract](SPARK).items()])
 
 
