@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +28,28 @@ def local_session(app: str = "tidewright", cores: str = "*", **conf: str) -> Spa
         builder = builder.config(key.replace("__", "."), value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     return session
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that its Python functions run wherever the driver
+    was started from."""
+    sent = getattr(spark.sparkContext, "_tidewright_sent", False)
+    if sent:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidewright-code-"), "tidewright.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._tidewright_sent = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`. Only a local-mode
     session that names none (tests) gets a scratch folder of its own."""
