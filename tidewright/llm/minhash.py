@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import reliable
 from . import words
+from .labelled import text_key
 
 
 @dataclass(frozen=True)
@@ -172,8 +173,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("text_key"))
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept; and
+    text_key and group_key (null for empty sets, which are no group), with which a filter can find one row per group."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
     profile = reliable(keyed.mapInArrow(_profile(p), PROFILE))
     sets = reliable(profile.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.min("signature").alias("signature"),
@@ -204,7 +206,8 @@ def near_duplicates(docs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     named = sets.select("set_key", "first_id").join(found.withColumnRenamed("node", "set_key"), "set_key", "left")
     named = named.withColumn("root", F.coalesce("root", "set_key"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "root").select("set_key", "component_id")
-    out = profile.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = named.join(smallest, "root").select("set_key", "component_id", F.col("root").alias("group_key"))
+    out = profile.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"),
+                      "text_key", "group_key")
