@@ -132,11 +132,11 @@ ORACLE: dict[str, str] = {
         FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op6_multi_index_hamming_topk": """
         WITH coded AS (
-            SELECT DISTINCT vec_id, list_transform(range(1, 65), i -> coalesce(embedding[i] > 0, false)) AS code
+            SELECT DISTINCT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) AS code
             FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
         pairs AS (
             SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id,
-                   min(len(list_filter(list_zip(q.code, r.code), z -> z[1] <> z[2])))::INTEGER AS distance
+                   min(len(list_filter(list_zip(q.code, r.code), lambda z: z[1] <> z[2])))::INTEGER AS distance
             FROM coded q JOIN coded r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
         SELECT query_id, rank::INTEGER AS rank, neighbour_id, distance
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs)
