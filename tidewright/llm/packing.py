@@ -139,10 +139,26 @@ class _Program:
 
     def __init__(self, sizes: np.ndarray, demand: np.ndarray, capacity: int):
         self.sizes, self.demand, self.capacity = sizes, demand.astype(float), capacity
-        fit = capacity // sizes
-        self.columns = np.diag(fit).astype(float)
-        self.inverse = np.diag(1.0 / fit)
-        self.x = self.demand / fit
+        self.columns, self.x = self._first_fit()
+        self.inverse = np.linalg.inv(self.columns)
+
+    def _first_fit(self) -> tuple[np.ndarray, np.ndarray]:
+        """A first basis: fill a sequence from the largest size down and repeat that pattern until a size runs out. A
+        later pattern never holds that size, so the patterns are independent."""
+        columns, x = np.diag((self.capacity // self.sizes).astype(float)), np.zeros(len(self.sizes))
+        left = self.demand.copy()
+        while (left > 0).any():
+            a, room = np.zeros(len(self.sizes)), self.capacity
+            for i in np.flatnonzero(left > 0)[::-1]:
+                n = min(room // self.sizes[i], max(1, int(left[i])))
+                a[i], room = n, room - n * self.sizes[i]
+            held = a > 0
+            ratio = np.where(held, left / np.where(held, a, 1), np.inf)
+            out = int(ratio.argmin())
+            columns[:, out], x[out] = a, ratio[out]
+            left = np.maximum(left - ratio[out] * a, 0)
+            left[held & (left < 1e-9)] = 0
+        return columns, x
 
     def duals(self) -> np.ndarray:
         return self.inverse.sum(axis=0)
@@ -188,14 +204,18 @@ class _Program:
         self.inverse[r] = pivot
         self.columns[:, r] = a
 
-    def solve(self, gap: float, most: int = 1000) -> None:
+    def solve(self, gap: float, most: int = 150) -> None:
+        """Column generation. Duals over the dearest pattern's price are feasible, which bounds what is left to gain;
+        so does the volume."""
+        bound = self.sizes @ self.demand / self.capacity
         for _ in range(most):
             y = self.duals()
             best, last = self.price(y)
-            if best[-1] <= 1 + gap:
+            bound = max(bound, y @ self.demand / max(1.0, best[-1]))
+            if self.x.sum() <= (1 + gap) * bound:
                 return
             worth = y + best[self.capacity - self.sizes]
-            for first in np.argsort(-worth)[:40]:
+            for first in np.argsort(-worth)[:60]:
                 a = self.pattern(last, int(first))
                 if self.duals() @ a > 1 + 1e-9:
                     self.enter(a)
