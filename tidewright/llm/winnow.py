@@ -109,7 +109,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, p: Params = DEFAULT) -> Dat
         spots = spots.union(there.join(short, "print").select("text_key", F.lit(n).alias("length"), "at"))
     spots = reliable(spots.distinct().groupBy("text_key").agg(F.collect_list(F.struct("length", "at")).alias("spots")))
 
-    once = keyed.select("text_key", "text").join(spots.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    # the list of texts with hits grows with the corpus: it is never broadcast
+    once = keyed.select("text_key", "text").join(spots.select("text_key").hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
     near = once.join(spots, "text_key").select("text_key", text_words(F.col("text")).alias("words"), "spots")
     near = near.select("text_key", "words", F.explode("spots").alias("s")).where("s.at + s.length <= size(words)")
     near = near.select("text_key", "s.length", "s.at", F.array_join(F.slice("words", F.col("s.at") + 1, F.col("s.length")), " ").alias("window"))
