@@ -2,15 +2,20 @@
 connected components by alternating large-star and small-star.
 
 Nodes are distinct shingle sets, so a group of copies is one node however many rows it has. Candidates come from
-buckets of equal bands in two rounds, and no bucket is ever expanded into all its pairs:
+buckets of equal bands, and no bucket is ever expanded into all its pairs:
 
 1. every member of a bucket is compared with the bucket's smallest member (a star);
-2. members of one bucket that still lie in different components are compared with each other.
-
-A pair inside one component needs no comparison, so both rounds find the same components as all pairs of all buckets.
-With 40 bands of 4 minima, two sets at similarity 0.75 share no bucket with probability (1 - 0.75^4)^40 = 2.5e-7, and
-less the more alike they are. Every candidate with a signature estimate six deviations or less under the threshold is
-confirmed on the full sets with integer arithmetic.
+2. members of one bucket that still lie in different components are compared with each other, if the bucket holds no
+   more than `crowded` components;
+3. members of buckets with more components are counted shingle by shingle. Those that share a shingle which at most
+   `rare` members have are compared with each other. All others can only have their common shingles in common, which
+   leaves out texts around a passage and strongly edited copies of one text: what is left is dealt anew into longer
+   bands of the stored signatures, and 1 and 2 follow in these buckets, now whatever their size.
+
+A pair inside one component needs no comparison, so the rounds find the same components as all pairs of all buckets.
+With 40 bands of 4 minima, two sets at similarity 0.75 share no bucket with probability (1 - 0.75^4)^40 = 2.5e-7, with
+200 bands of 8 places drawn from the signature about as often, and less the more alike they are. Candidates whose
+signatures agree up to six deviations under the threshold are confirmed on the full sets with integer arithmetic.
 
 Results for odd rows: null, empty and blank texts have an empty set, are linked with nothing and are their own
 component. Rows without an id belong to their text's component; if no row of a component has an id, it is null.
@@ -25,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import reliable
 from . import words
@@ -38,6 +43,10 @@ class Params:
     percent: int = 75  # link when 100 * intersection >= percent * union
     bands: int = 40
     rows: int = 4
+    crowded: int = 16  # components of a bucket that are compared pair by pair
+    rare: int = 10  # a shingle of as many of the crowded members pairs them all
+    long_bands: int = 200
+    long_rows: int = 8
     seed: int = 8
 
 
@@ -127,20 +136,91 @@ def _confirm(p: Params):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) of set keys that are links. `sets` has a signature and a text key per set."""
+def _long_bands(p: Params):
+    """The bands of a signature that join only sets alike in most of their text: bytes at places drawn once for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.default_rng(p.seed + 1)
+        places = np.stack([random.choice(p.bands * p.rows, p.long_rows, replace=False) for _ in range(p.long_bands)])
+        fold = random.integers(0, 1 << 63, p.long_rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                drawn = signature[at : at + 1024][:, places].astype(np.uint64)
+                folded = words.mix((drawn * fold).sum(axis=2, dtype=np.uint64) * np.uint64(p.long_bands) + np.arange(p.long_bands, dtype=np.uint64))
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(folded.view(np.int64).ravel()), p.long_bands).cast(pa.list_(pa.int64()))
+                kept = ["set_key", "root", "size", "common"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), bands], names=[*kept, "bands"])
+
+    return run
+
+
+def _shingles(p: Params):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for sets in shingle_sets(batch.column("text"), p.shingle):
+                keys = batch.column("set_key").slice(at, len(sets)).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+                at += len(sets)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(sets).view(np.int64))], names=["set_key", "shingle"])
+
+    return run
+
+
+def _counted(many: DataFrame, sets: DataFrame, texts: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Of the sets `many` (set_key, root): the pairs (a, b) that share a rare shingle, and the sets that common shingles
+    alone can link, with `size` and `common`, the number of their common ones."""
+    grams = reliable(many.join(texts, "set_key").select("set_key", "text").mapInArrow(_shingles(p), "set_key binary, shingle long"))
+    rare = grams.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= p.rare)
+    rare = reliable(grams.join(rare, "shingle"))
+    rooted = rare.where("n > 1").join(many, "set_key").select("shingle", "set_key", "root")
+    pairs = rooted.select("shingle", F.col("set_key").alias("a"), F.col("root").alias("root_a")).join(
+        rooted.select("shingle", F.col("set_key").alias("b"), F.col("root").alias("root_b")), "shingle")
+    pairs = pairs.where("a < b and root_a <> root_b").select("a", "b").distinct()
+    own = rare.groupBy("set_key").agg(F.count("*").alias("own"))
+    out = many.join(sets.select("set_key", "signature", F.col("n_shingles").alias("size")), "set_key").join(own, "set_key", "left")
+    out = out.withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+    return pairs, reliable(out.where(100 * F.col("common") >= p.percent * F.col("size")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) of set keys that are links. `sets` has a signature per set, `texts` a text."""
     side = lambda name: sets.select(
         F.col("set_key").alias(name), F.col("signature").alias(f"sig_{name}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b")
     likely = reliable(likely.mapInArrow(_agreement(p), "a binary, b binary"))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("set_key")).distinct().join(
-        sets.select("set_key", "text_key"), "set_key")
-    texts = reliable(keyed.join(wanted, "text_key").select("set_key", "text").dropDuplicates(["set_key"]))
     text = lambda name: texts.select(F.col("set_key").alias(name), F.col("text").alias(f"text_{name}"))
     both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     return reliable(both.mapInArrow(_confirm(p), "a binary, b binary"))
 
 
+def _shared(buckets: DataFrame) -> DataFrame:
+    """(band, set_key, leader, ...) of the rows of `buckets` whose band has several sets; the smallest leads."""
+    several = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("set_key").alias("leader")).where("n > 1")
+    return reliable(buckets.join(several.drop("n"), "band"))
+
+
+def _rooted(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    return reliable(crowd.drop("root").join(found.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
+                    .withColumn("root", F.coalesce("root", "set_key")))
+
+
+def _across(rooted: DataFrame, groups: DataFrame, p: Params) -> DataFrame:
+    """The pairs of sets that share a band of `groups` (band, root), lie in different components and have enough common
+    shingles for a link. Sets of one component are never paired, nor are leaders, which have met all members."""
+    meet = groups.select("band", F.col("root").alias("root_a")).join(
+        groups.select("band", F.col("root").alias("root_b")), "band").where("root_a < root_b")
+    member = lambda s: rooted.where("set_key <> leader").select(
+        "band", F.col("root").alias(f"root_{s}"), F.col("set_key").alias(s), F.col("size").alias(f"size_{s}"), F.col("common").alias(f"common_{s}"))
+    pairs = meet.join(member("a"), ["band", "root_a"]).join(member("b"), ["band", "root_b"]).where(_enough(p))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _enough(p: Params) -> Column:
+    return (100 + p.percent) * F.least("common_a", "common_b") >= p.percent * (F.col("size_a") + F.col("size_b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of an edge (a, b) can reach; roots themselves included.
 
@@ -178,30 +258,42 @@ def near_duplicates(docs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
     profile = reliable(keyed.mapInArrow(_profile(p), PROFILE))
     sets = reliable(profile.where("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.min("signature").alias("signature"),
+        F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"), F.min("text_key").alias("text_key"), F.min("signature").alias("signature"),
         F.min("bands").alias("bands")))
-    buckets = sets.select("set_key", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("set_key").alias("leader")).where("n > 1")
-    crowd = reliable(buckets.join(shared, "band").select("band", "set_key", "leader"))
+    # in short bands every shingle counts as common
+    whole = [F.col("n_shingles").alias("size"), F.col("n_shingles").alias("common")]
+    crowd = _shared(sets.select("set_key", *whole, F.explode("bands").alias("band")))
+    wanted = crowd.select("set_key").distinct().join(sets.select("set_key", "text_key"), "set_key")
+    texts = reliable(keyed.join(wanted, "text_key").groupBy("set_key").agg(F.first("text").alias("text")))
 
     star = crowd.where("set_key <> leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
-    links = _verified(star, sets, keyed, p)
+    links = _verified(star, sets, texts, p)
     found = components(links)
 
-    rooted = crowd.select("band", "set_key", "leader").join(found.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-        "band", "set_key", "leader", F.coalesce("root", "set_key").alias("root"))
-    rooted = reliable(rooted)
-    groups = rooted.select("band", "root").distinct()
-    split = groups.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    groups = reliable(groups.join(split, "band"))
-    meet = groups.select("band", F.col("root").alias("root_a")).join(
-        groups.select("band", F.col("root").alias("root_b")), "band").where("root_a < root_b")
-    member = lambda s: rooted.select("band", F.col("root").alias(f"root_{s}"), F.col("set_key").alias(s), F.col("leader").alias(f"leader_{s}"))
-    rest = meet.join(member("a"), ["band", "root_a"]).join(member("b"), ["band", "root_b"])
-    rest = rest.where("a <> leader_a and b <> leader_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(rest, sets, keyed, p)
-    if not more.isEmpty():
-        found = components(links.union(more))
+    rooted = _rooted(crowd, found)
+    groups = reliable(rooted.select("band", "root").distinct())
+    sizes = reliable(groups.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    few = groups.join(sizes.where(F.col("n") <= p.crowded).select("band"), "band")
+    # sets from crowded buckets, dealt anew
+    many = rooted.join(sizes.where(F.col("n") > p.crowded).select("band"), "band", "left_semi").select("set_key", "root").distinct()
+    rare_pairs, linkable = _counted(reliable(many), sets, texts, p)
+    again = linkable.select("set_key", "root", "size", "common", "signature").mapInArrow(
+        _long_bands(p), "set_key binary, root binary, size long, common long, bands array<long>")
+    long_crowd = _shared(again.select("set_key", "root", "size", "common", F.explode("bands").alias("band")))
+    leads = linkable.select(F.col("set_key").alias("leader"), F.col("root").alias("root_a"), F.col("size").alias("size_a"), F.col("common").alias("common_a"))
+    long_star = long_crowd.withColumnsRenamed({"root": "root_b", "size": "size_b", "common": "common_b"}).join(leads, "leader").where(
+        F.col("root_a") != F.col("root_b")).where(_enough(p)).select(F.col("leader").alias("a"), F.col("set_key").alias("b"))
+    second = reliable(_across(rooted, few, p).union(rare_pairs).union(long_star).distinct())
+    links = links.union(_verified(second, sets, texts, p))
+    found = components(links)
+
+    long_rooted = _rooted(long_crowd, found)
+    long_groups = reliable(long_rooted.select("band", "root").distinct())
+    split = long_groups.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    # pairs that have been compared are not compared again
+    rest = _verified(_across(long_rooted, long_groups.join(split, "band"), p).join(second, ["a", "b"], "left_anti"), sets, texts, p)
+    if not rest.isEmpty():
+        found = components(links.union(rest))
 
     named = sets.select("set_key", "first_id").join(found.withColumnRenamed("node", "set_key"), "set_key", "left")
     named = named.withColumn("root", F.coalesce("root", "set_key"))
