@@ -40,8 +40,8 @@ class Params:
     keep_from: int = 2  # smallest count of a pair in the model
     discounted: int = 5  # Good-Turing discounts counts up to this one
     block_tokens: int = 2_000_000
-    part_bytes: int = 32 << 20  # of text per part of the pairs' key space
-    word_parts: int = 6  # parts of pairs per part of words
+    part_bytes: int = 16 << 20  # of text per part of the pairs' key space
+    word_parts: int = 3  # parts of pairs per part of words
 
 
 DEFAULT = Params()
