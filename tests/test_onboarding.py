@@ -53,13 +53,13 @@ def loaded(spark, tmp_path_factory):
     return ws, batches
 
 
-def test_large_files_are_known_by_their_rows(loaded, tmp_path):
+def test_files_are_known_by_their_rows(loaded, tmp_path):
     ws, _ = loaded
     for name, text in (("a", "id,x\n1,a\n2,b\n"), ("b", "id,x\n2,b\n1,a\n")):
         folder = tmp_path / name
         folder.mkdir()
         (folder / "f.csv").write_text(text)
-        landed = [ob.land_folder(ws, str(folder), "t2", "crm", "crm", whole_bytes=1).first() for _ in range(2)]
+        landed = [ob.land_folder(ws, str(folder), "t2", "crm", "crm").first() for _ in range(2)]
         assert [r.is_replay for r in landed] == [False, True]
     assert ws.read("batches").where(F.col("tenant_id") == "t2").count() == 2
 

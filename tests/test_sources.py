@@ -64,3 +64,11 @@ def test_row_hash_ignores_key_order_only(spark):
     df = spark.createDataFrame([({"a": "1", "b": None},), ({"b": None, "a": "1"},), ({"a": "1", "b": ""},)], "raw map<string,string>")
     first, second, third = [r[0] for r in df.select(row_hash(F.col("raw"))).collect()]
     assert first == second != third
+
+
+def test_quoted_separators_and_late_lines_decide_the_delimiter(spark, tmp_path):
+    (tmp_path / "quoted.csv").write_text('id;note;x\n1;"a, b; c, d";1\n2;"e";2\n3;"f, g";3\n')
+    (tmp_path / "late.csv").write_text("a,b|c\n" + "".join(f"{i}, x|{i}\n" for i in range(50)) + "".join(f"{i}|{i}\n" for i in range(60)))
+    got = _rows(spark, tmp_path)
+    assert got["quoted.csv"][0].raw == {"id": "1", "note": "a, b; c, d", "x": "1"} and got["quoted.csv"][0].delimiter == ";"
+    assert got["late.csv"][0].delimiter == "|"

@@ -185,7 +185,7 @@ def duplicate_candidates(
 
 
 def upsert_candidates(existing: DataFrame, found: DataFrame) -> DataFrame:
-    """Next state of the candidate table, with `_new`.
+    """Next state of the candidate table, with `_new` and `_found` (in this run).
 
     Pairs are kept small id first; a known pair keeps its status and takes the
     new probability, a new one is open. Pairs no longer found stay.
@@ -200,6 +200,7 @@ def upsert_candidates(existing: DataFrame, found: DataFrame) -> DataFrame:
         stable_id("pair", *[F.col(c) for c in key]).alias("id"), *key,
         F.coalesce("_p", "match_probability").alias("match_probability"),
         F.coalesce("status", F.lit("open")).alias("status"), F.col("status").isNull().alias("_new"),
+        F.col("_p").isNotNull().alias("_found"),
     )
 
 
@@ -212,7 +213,7 @@ def dismiss(candidates: DataFrame, chosen: Column) -> DataFrame:
     return candidates.withColumn("status", F.when(chosen, "dismissed").otherwise(F.col("status")))
 
 
-def merge_map(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def merge_map(pairs: DataFrame) -> DataFrame:
     """(tenant_id, loser, winner) of merges applied together, chains closed.
 
     Every connected group of customers goes to its smallest id. Alternating
@@ -229,7 +230,7 @@ def merge_map(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         lowest = e.groupBy("tenant_id", "u").agg(F.min("v").alias("_min"), F.count(F.lit(1)).alias("_facts"))
         return spread_lookup(e, lowest, ["tenant_id", "u"], ["u", "v"])
 
-    for _ in range(max_rounds):
+    while True:  # settles in about log(size of the largest group) squared rounds
         both = edges.unionByName(edges.select("tenant_id", F.col("v").alias("u"), F.col("u").alias("v")))
         large = stars(both).select("tenant_id", "u", "v", F.least("u", "_min").alias("m")).where(F.col("v") > F.col("u"))
         large = large.select("tenant_id", F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
@@ -247,7 +248,6 @@ def merge_map(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = after
         if not changed:
             return edges.select("tenant_id", F.col("u").alias("loser"), F.col("v").alias("winner"))
-    raise RuntimeError("merge groups did not settle")
 
 
 def conflicting_merges(chosen: DataFrame, customers: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewright import registry
 from tidewright.functions.hashing import stable_id, values_hash
 from tidewright.functions.text import distinct_codes, explanation
-from tidewright.operators.joins import HOT_ROWS, key_counts, spread_lookup
+from tidewright.operators.joins import HOT_ROWS, key_counts, latest_per_key, spread_lookup
 from tidewright.operators.link import link_customers, suggest_customer_fix
 from tidewright.operators.records import apply_spec, hold, ordered_fields, require_natural_keys, tables_of
 from tidewright.operators.validate import check_records, flag_duplicates
@@ -130,7 +130,8 @@ def incoming_accounts(clean: DataFrame, spec: Mapping[str, dict]) -> DataFrame:
     """One row per account number: last values, last customer that is known."""
     columns = mapped_columns(spec, "accounts")
     rows = clean.select(
-        "tenant_id", "customer_id", *[F.col(f"rec.accounts.{c}").alias(c) for c in columns], "row_index"
+        "tenant_id", "customer_id", *[F.col(f"rec.accounts.{c}").alias(c) for c in columns],
+        F.struct("batch_id", "row_index").alias("row_index"),
     ).where(F.col("account_number").isNotNull())
     rest = [c for c in columns if c != "account_number"]
     last = [F.max_by(c, "row_index").alias(c) for c in rest]
@@ -168,7 +169,7 @@ def upsert_plan(
         both = both.where(has_old | F.col("n.customer_id").isNotNull())
         changed = has_old & has_new
     else:
-        changed = has_old & has_new & (F.col("n.content_hash") != F.col("o.content_hash"))
+        changed = has_old & has_new & ~F.col("n.content_hash").eqNullSafe(F.col("o.content_hash"))
     action = (
         F.when(fresh, "insert").when(changed, "update").when(has_old & has_new, "noop").otherwise("keep")
     )
@@ -211,15 +212,24 @@ def next_tables(
     spec: Mapping[str, dict],
     current: Mapping[str, DataFrame],
     loaded_at: Column | None = None,
+    last_wins: bool = False,
 ) -> dict[str, DataFrame]:
-    """Next state of every canonical table the spec feeds."""
+    """Next state of every canonical table the spec feeds.
+
+    With `last_wins` clean rows may repeat a key (reprocessed rows do): the last
+    row of each key counts, for each table on its own.
+    """
     clean = accepted(annotated)
     out = {}
     for table in tables_of(spec):
         if table == "accounts":
             incoming = incoming_accounts(clean, spec)
         else:
-            incoming = incoming_records(clean, spec, table).drop("row_index")
+            incoming = incoming_records(clean, spec, table)
+            if last_wins:
+                place = F.struct("source_batch_id", "row_index")
+                incoming = latest_per_key(incoming.withColumn("_place", place), ["tenant_id", "natural_key"], F.col("_place")).drop("_place")
+            incoming = incoming.drop("row_index")
         out[table] = upsert(current[table], incoming, table, mapped_columns(spec, table), loaded_at)
     return out
 

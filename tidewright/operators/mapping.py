@@ -108,9 +108,10 @@ def score_columns(
                     + TYPE_WEIGHT * F.col("type_score"), 4),
         )
     )
-    order = Window.partitionBy(*by, "column_name").orderBy(F.desc("confidence"), "ordinal")
+    kind = [c for c in ("source_kind",) if c not in by]
+    order = Window.partitionBy(*by, "column_name", *kind).orderBy(F.desc("confidence"), "ordinal")
     return scored.withColumn("rank", F.row_number().over(order)).select(
-        *by, "column_name", "source_kind", "rank", "canonical_field", "confidence",
+        *by, "column_name", *kind, "rank", "canonical_field", "confidence",
         *[F.round(c, 4).alias(c) for c in ("name_score", "embedding_score", "type_score")],
     )
 
@@ -118,9 +119,10 @@ def score_columns(
 def baseline_ranking(columns: DataFrame, by: list[str]) -> DataFrame:
     """Candidates ranked by name alone; ties keep registry order."""
     scored = with_candidates(columns).join(name_scores(columns), ["column_name", "canonical_field"])
-    order = Window.partitionBy(*by, "column_name").orderBy(F.desc("name_score"), "ordinal")
+    kind = [c for c in ("source_kind",) if c not in by]
+    order = Window.partitionBy(*by, "column_name", *kind).orderBy(F.desc("name_score"), "ordinal")
     return scored.withColumn("rank", F.row_number().over(order)).select(
-        *by, "column_name", "source_kind", "rank", "canonical_field", F.round("name_score", 4).alias("name_score")
+        *by, "column_name", *kind, "rank", "canonical_field", F.round("name_score", 4).alias("name_score")
     )
 
 

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.joins import HOT_ROWS, latest_per_key
+from tidewright.operators.joins import HOT_ROWS
 from tidewright.operators.load import QUARANTINE_COLUMNS, accepted, annotate, quarantine_rows
 
 
@@ -57,7 +57,7 @@ def reprocess(
     """Corrected rows of one source, checked again in one set-based run.
 
     Each row stands alone: a natural key that other corrected rows share is not
-    a duplicate here, the last row wins on loading (`last_of_key`). Without a
+    a duplicate here, the last row wins on loading (`next_tables` with `last_wins`). Without a
     confirmed spec nothing is attempted and the result is empty.
     """
     if spec is None:
@@ -66,13 +66,6 @@ def reprocess(
     return annotate(rows, spec, customers, as_of, detect_duplicates=False, hot_rows=hot_rows)
 
 
-def last_of_key(annotated: DataFrame, table: str) -> DataFrame:
-    """Clean reprocessed rows, the last per natural key."""
-    keyed = accepted(annotated).withColumn("_key", F.col(f"rec.{table}.natural_key"))
-    order = F.struct("batch_id", "row_index")
-    return latest_per_key(keyed.withColumn("_order", order), ["tenant_id", "_key"], F.col("_order")).drop("_key", "_order")
-
-
 def resolved_quarantine(quarantine: DataFrame, again: DataFrame, customers: DataFrame) -> DataFrame:
     """Quarantine after a reprocessing run: loaded entries become resubmitted,
     the others stay open with the corrected cells and their new errors."""

@@ -582,7 +582,7 @@ def rank_candidates(spark, sf):
 
 @query("baseline_ranking")
 def baseline_ranking(spark, sf):
-    return mapping.baseline_ranking(all_profiles(spark, sf).select("source_kind", "column_name"), [])
+    return mapping.baseline_ranking(all_profiles(spark, sf).select("source_kind", "column_name"), BY_KIND)
 
 
 @query("column_mappings")
@@ -609,7 +609,7 @@ def benchmark_accuracy(spark, sf):
              for name, entry_ in spec.items()]
     true = F.broadcast(spark.createDataFrame(truth, "source_kind string, column_name string, truth string"))
     combined = mapping.score_columns(profiles, BY_KIND)
-    named = mapping.baseline_ranking(profiles.select("source_kind", "column_name"), [])
+    named = mapping.baseline_ranking(profiles.select("source_kind", "column_name"), BY_KIND)
     passes = {
         "name": evaluate.rankings(named, BY_KIND),
         "combined": evaluate.rankings(combined, BY_KIND, mapping.column_mappings(combined, BY_KIND)),

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tidewright import registry
 from tidewright.operators import dedupe, landing, load, mapping, profile, quarantine
-from tidewright.operators.joins import latest_per_key
 from tidewright.operators.records import tables_of
 from tidewright.session import reliable
 from tidewright.sources import delimited
@@ -91,7 +90,7 @@ def land_rows(ws: Workspace, rows: DataFrame, files: DataFrame, tenant_id: str,
     )
     status = reliable(landing.replay_status(incoming, ws.read("batches")))
     # of files with equal content in one delivery, the first path is landed
-    first = latest_per_key(status.where(~F.col("is_replay")).select("batch_id", "path"), ["batch_id"], F.hash("path"))
+    first = status.where(~F.col("is_replay")).groupBy("batch_id").agg(F.min("path").alias("path"))
     landed = rows.join(first, "path").select(
         F.lit(tenant_id).alias("tenant_id"), F.lit(source_id).alias("source_id"), "batch_id", "row_index", "raw"
     )
@@ -102,20 +101,17 @@ def land_rows(ws: Workspace, rows: DataFrame, files: DataFrame, tenant_id: str,
     return status.select("path", "batch_id", "is_replay")
 
 
-def land_folder(
-    ws: Workspace, folder: str, tenant_id: str, source_name: str, kind: str, whole_bytes: int = delimited.WHOLE_FILE_BYTES
-) -> DataFrame:
+def land_folder(ws: Workspace, folder: str, tenant_id: str, source_name: str, kind: str) -> DataFrame:
     """Land every delimited file of a drop folder, one batch per file.
 
-    A file too large to be hashed in one task is known by the hashes of its rows
-    and their places, which add up across tasks.
+    A file of any size is known by the hashes of its rows and their places,
+    which add up across tasks.
     """
-    staged = reliable(delimited.read_folder(ws.spark, folder, whole_bytes=whole_bytes))
+    staged = reliable(delimited.read_folder(ws.spark, folder))
     rows = reliable(delimited.with_row_index(staged))
-    files = staged.select("path", "file_hash", "encoding", "delimiter").distinct()
-    by_rows = landing.payload_fingerprints(rows.where(F.col("file_hash").isNull()), ["path"]).select(
-        "path", F.col("file_hash").alias("_rows_hash"))
-    files = files.join(by_rows, "path", "left").withColumn("file_hash", F.coalesce("file_hash", "_rows_hash")).drop("_rows_hash")
+    files = staged.select("path", "encoding", "delimiter").distinct()
+    by_rows = landing.payload_fingerprints(rows, ["path"]).select("path", "file_hash")
+    files = files.join(by_rows, "path")
     return land_rows(ws, rows, files, tenant_id, source_name, kind)
 
 
@@ -163,9 +159,9 @@ def confirmed_spec(ws: Workspace, batch_id: str) -> tuple[dict, int]:
     return mapping.as_document({k: v.asDict(True) for k, v in row["spec"].items()}), row["version"]
 
 
-def _write_tables(ws: Workspace, annotated: DataFrame, spec: Mapping, loaded_at: Column | None) -> None:
+def _write_tables(ws: Workspace, annotated: DataFrame, spec: Mapping, loaded_at: Column | None, last_wins: bool = False) -> None:
     current = {t: ws.read(t) for t in tables_of(spec)}
-    for name, df in load.next_tables(annotated, spec, current, loaded_at).items():
+    for name, df in load.next_tables(annotated, spec, current, loaded_at, last_wins).items():
         ws.write(name, df)
 
 
@@ -210,9 +206,7 @@ def bulk_fix(
             continue
         customers = ws.read("customers")
         again = reliable(quarantine.reprocess(mine, spec, customers, corrections, as_of))
-        keyed = [t for t in tables_of(spec) if t in registry.KEYED_TABLES]
-        latest = quarantine.last_of_key(again, keyed[0]) if keyed else load.accepted(again)
-        _write_tables(ws, reliable(latest), spec, loaded_at)
+        _write_tables(ws, again, spec, loaded_at, last_wins=True)
         after = ws.write("quarantine", quarantine.resolved_quarantine(ws.read("quarantine"), again, customers))
     return quarantine.bulk_counts(after, chosen)
 
@@ -223,7 +217,7 @@ def find_duplicates(ws: Workspace, threshold: float = 0.5, blank_is_null: bool =
     table = ws.read("duplicate_candidates")
     after = reliable(dedupe.upsert_candidates(table, reliable(found)))
     ws.write("duplicate_candidates", after.select(*table.columns))
-    return after.agg(F.count(F.lit(1)).alias("candidates"), F.count_if("_new").alias("new"))
+    return after.agg(F.count_if("_found").alias("candidates"), F.count_if("_new").alias("new"))
 
 
 def merge(ws: Workspace, pairs: DataFrame) -> DataFrame:

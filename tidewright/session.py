@@ -62,12 +62,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Cuts the lineage with a table that outlives executors, is read by column,
-    and tells the planner its size.
+    and tells the planner its size. `release` removes such tables.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidewright-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that `reliable` has written in this process. Call it when the
+    results that were built on it have been written or collected."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

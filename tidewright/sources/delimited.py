@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 DELIMITERS = (",", ";", "\t", "|")
-SAMPLE_LINES = 20
-WHOLE_FILE_BYTES = 256 * 2**20
 BROKEN = "_broken"
 
 
@@ -31,39 +29,17 @@ class Layout:
     multiline: bool
 
 
-def detect_encodings(
-    spark: SparkSession, folder: str, fallback: str = "ISO-8859-1", whole_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
-    """(path, file_hash, encoding) per file: byte-order mark, valid UTF-8, else the fallback.
-
-    Files up to `whole_bytes` are hashed as they are. Larger ones are never held
-    in one task: their lines are looked at, split by split, and `file_hash` stays
-    null, to be taken from the landed rows.
-    """
-
-    def encoding(head: Column, valid: Column) -> Column:
-        return (
-            F.when(head.startswith("EFBBBF"), "UTF-8").when(head.startswith("FFFE"), "UTF-16LE")
-            .when(head.startswith("FEFF"), "UTF-16BE").when(valid, "UTF-8").otherwise(fallback)
-        )
-
-    files = spark.read.format("binaryFile").load(folder)
-    small = files.where((F.col("length") > 0) & (F.col("length") <= whole_bytes)).select(
-        "path", F.sha2("content", 256).alias("file_hash"),
-        encoding(F.hex(F.substring("content", 1, 3)), F.is_valid_utf8(F.col("content").cast("string"))).alias("encoding"),
-    )
-    paths = [r.path for r in files.where(F.col("length") > whole_bytes).select("path").collect()]
-    if not paths:
-        return small
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-                                          F.monotonically_increasing_id().alias("place"), "value")
-    large = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
-        F.hex(F.substring(F.min_by("value", F.struct("block", "place")).cast("binary"), 1, 3)).alias("head"),
-    )
-    return small.unionByName(
-        large.select("path", F.lit(None).cast("string").alias("file_hash"), encoding(F.col("head"), F.col("valid")).alias("encoding"))
+def detect_encodings(spark: SparkSession, folder: str, fallback: str = "ISO-8859-1") -> DataFrame:
+    """(path, encoding) per file, from all its lines: byte-order mark, valid UTF-8, else the fallback."""
+    found = _lines(spark, folder).groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("line")).alias("valid"),
+        F.hex(F.substring(F.min_by("line", F.struct("block", "place")).cast("binary"), 1, 3)).alias("head"),
     )
+    head = F.col("head")
+    return found.select("path", (
+        F.when(head.startswith("EFBBBF"), "UTF-8").when(head.startswith("FFFE"), "UTF-16LE")
+        .when(head.startswith("FEFF"), "UTF-16BE").when(F.col("valid"), "UTF-8").otherwise(fallback)
+    ).alias("encoding"))
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,35 +53,32 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detect_layouts(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, delimiter, header, multiline) per file, from one pass over the lines.
+    """(path, delimiter, header, multiline) per file, from all its lines.
 
-    The delimiter is the candidate that occurs equally often, and at least once,
-    in every one of the first lines; the most frequent one if several do, else a
-    comma. A line with an odd number of quotes means a cell spans lines.
+    The delimiter is the candidate that most lines hold as often as the header
+    does, quoted parts left out; of equals the one more frequent in the header,
+    else the first; a comma if the header holds none. A line with an odd number
+    of quotes means a cell spans lines.
     """
     lines = _lines(spark, folder).where(F.length(F.trim("line")) > 0)
     odd = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
     spans = lines.groupBy("path").agg(
         (F.max(odd % 2) == 1).alias("multiline"), F.min_by("line", F.struct("block", "place")).alias("header")
     )
-    # only the leading split of a file can hold its first lines
-    leading = lines.where(F.col("block") == 0).groupBy("path").agg(F.min("place").alias("first"))
-    sample = lines.where(F.col("block") == 0).join(leading, "path").where(
-        F.col("place") < F.col("first") + SAMPLE_LINES
-    )
+
+    def occurrences(line: str, d: str) -> Column:
+        bare = F.regexp_replace(line, '"[^"]*("|$)', "")
+        return F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))
+
+    heads = spans.select("path", *[occurrences("header", d).alias(f"h{i}") for i, d in enumerate(DELIMITERS)])
     counts = [
-        F.struct(
-            F.min(F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).alias("least"),
-            F.max(F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).alias("most"),
-            F.lit(-i).alias("rank"),
-            F.lit(d).alias("delimiter"),
-        )
+        F.struct(F.count_if((F.col(f"h{i}") > 0) & (occurrences("line", d) == F.col(f"h{i}"))).alias("lines"),
+                 F.max(f"h{i}").alias("often"), F.lit(-i).alias("rank"), F.lit(d).alias("delimiter")).alias(f"c{i}")
         for i, d in enumerate(DELIMITERS)
     ]
-    best = F.array_max(F.filter(F.array(*[F.col(f"c{i}") for i in range(len(counts))]),
-                                lambda c: (c["least"] > 0) & (c["least"] == c["most"])))
-    tallied = sample.groupBy("path").agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)])
-    chosen = tallied.select("path", F.coalesce(best["delimiter"], F.lit(",")).alias("delimiter"))
+    tallied = lines.join(heads, "path").groupBy("path").agg(*counts)
+    best = F.array_max(F.array(*[F.col(f"c{i}") for i in range(len(counts))]))
+    chosen = tallied.select("path", F.when(best["lines"] > 0, best["delimiter"]).otherwise(",").alias("delimiter"))
     return spans.join(chosen, "path").select("path", "delimiter", "header", "multiline")
 
 
@@ -164,19 +137,17 @@ def read_layout(spark: SparkSession, paths: Sequence[str], layout: Layout) -> Da
     return good.unionByName(parts.select("path", "block", "place", ragged.alias("raw"), surplus.alias("_overflow")))
 
 
-def read_folder(
-    spark: SparkSession, folder: str, fallback_encoding: str = "ISO-8859-1", whole_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
-    """All files of a drop folder as raw rows, with file_hash, encoding, delimiter.
+def read_folder(spark: SparkSession, folder: str, fallback_encoding: str = "ISO-8859-1") -> DataFrame:
+    """All files of a drop folder as raw rows, with encoding and delimiter.
 
     One detection job, then one scan per distinct layout. What reaches the
     driver is one line per file, as in any file listing.
     """
-    files = detect_encodings(spark, folder, fallback_encoding, whole_bytes).join(detect_layouts(spark, folder), "path")
+    files = detect_encodings(spark, folder, fallback_encoding).join(detect_layouts(spark, folder), "path")
     # lines were read as bytes in UTF-8; names in another single-byte encoding are decoded again
     latin = F.decode(F.col("header").cast("binary"), "ISO-8859-1")
     header = F.when(F.col("encoding") == "ISO-8859-1", latin).otherwise(F.col("header"))
-    listed = files.select("path", "file_hash", "encoding", "delimiter", header.alias("header"), "multiline").collect()
+    listed = files.select("path", "encoding", "delimiter", header.alias("header"), "multiline").collect()
     if not listed:
         raise ValueError(f"no non-empty file in {folder}")
     groups: dict[Layout, list[str]] = {}
@@ -187,8 +158,7 @@ def read_folder(
     for part in parts[1:]:
         rows = rows.unionByName(part)
     about = spark.createDataFrame(
-        [(f.path, f.file_hash, f.encoding, f.delimiter) for f in listed],
-        "path string, file_hash string, encoding string, delimiter string",
+        [(f.path, f.encoding, f.delimiter) for f in listed], "path string, encoding string, delimiter string",
     )
     return rows.join(about, "path")
 
