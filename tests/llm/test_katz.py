@@ -76,6 +76,26 @@ def test_scores_equal_dictionaries(spark, params):
         assert r["base_score"] == pytest.approx(model.base(text), rel=1e-9) and r["score"] == pytest.approx(model.score(text), rel=1e-9)
 
 
+@pytest.mark.parametrize("params", [katz.WHOLE, replace(katz.WHOLE, block_tokens=500, part_bytes=2000, word_parts=2)])
+def test_pairs_seen_once_are_scored_with_their_discount(spark, params):
+    rows = corpus()
+    model = Brute([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], keep_from=1)
+    once = {p for p, c in model.c2.items() if c == 1}
+    assert once and katz.Params().keep_from == 1
+    df, texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), dict(rows)
+    for got in (katz.score(df, params).collect(), katz.score(df).collect()):
+        assert len(got) == len(rows)
+        assert any(once & set(zip(["<s>", *t], t)) for t in (tokens(texts[r["doc_id"]]) for r in got if r["held_out"]))
+        for r in got:
+            assert r["score"] == pytest.approx(model.score(texts[r["doc_id"]]), rel=1e-9)
+
+
+def test_every_pair_seen_is_kept_and_histories_sum_to_one():
+    model = Brute([t for _, t in corpus()], keep_from=1)
+    for h in [*model.seen, "unknown"]:
+        assert sum(model.p(h, w) for w in model.c1) + model.p(h, "unknown") == pytest.approx(1)
+
+
 def test_every_history_sums_to_one():
     model = Brute([t for _, t in corpus()])
     for h in [*model.seen, "unknown"]:

@@ -6,13 +6,15 @@
 
 Counting and scoring both shuffle one packed row per block of texts and part of the key space, holding each distinct
 word or pair of the block once, so a word that is everywhere costs no more than a rare one. Parts grow in number with
-the corpus, so their size stays put. The model lies in two stored tables, `words` (word, n, log_p, log_alpha) and `pairs`
-(history, word, part, gain), hashed words standing for words. For scoring, the recursion is unrolled once per stored pair:
-gain = log P(w | h) - log alpha(h) - log P(w), so a text's score is the sum over its tokens of log alpha(h) + log P(w),
-plus the gain of each pair that the model keeps.
+the corpus, so their size stays put. The model lies in three stored tables, `words` (word, n, log_p, log_alpha), `pairs`
+(history, word, used, p) and `histories` (history, alpha, per_count), hashed words standing for words. For scoring, the
+recursion is unrolled once per stored pair: gain = log P(w | h) - log alpha(h) - log P(w), so a text's score is the sum over
+its tokens of log alpha(h) + log P(w), plus the gain of each pair that the model keeps. Gains are added up where they are
+looked up, as a part holds all pairs of its histories.
 
-Pairs seen once are not kept (Katz's own cut-off): the mass they would take goes to the backoff weight of their history,
-and the counts of counts that set the discounts include them. Every text is counted whole.
+Every pair is kept, those seen once with their Good-Turing discount. `keep_from=2` is Katz's own cut-off instead: the mass
+of single pairs goes to the backoff weight of their history, and the counts of counts that set the discounts include them.
+Every text is counted whole.
 
 Results for odd rows: null and empty texts are one end token. Rows without an id are scored and trained on (their id's
 checksum is not held out). Repeated rows count and are scored each. Without any training row, N = V = 0 and every
@@ -31,20 +33,21 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import reliable
+from ..session import discard, reliable
 from . import words
 
 
 @dataclass(frozen=True)
 class Params:
-    keep_from: int = 2  # smallest count of a pair in the model
+    keep_from: int = 1  # smallest count of a pair in the model
     discounted: int = 5  # Good-Turing discounts counts up to this one
     block_tokens: int = 2_000_000
     part_bytes: int = 16 << 20  # of text per part of the pairs' key space
     word_parts: int = 3  # parts of pairs per part of words
 
 
-DEFAULT = Params()
+WHOLE = Params()  # what the query runs: every pair is kept
+DEFAULT = Params(keep_from=2)  # Katz's own cut-off: pairs seen once are left to the backoff
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFA7B1C1D)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 PACKED = "kind string, part int, block long, data binary"
@@ -232,7 +235,8 @@ def _settle(spark: SparkSession) -> None:
 @dataclass
 class Model:
     words: DataFrame  # word, n, log_p, log_alpha (of the word as a history)
-    pairs: DataFrame  # history, word, gain
+    pairs: DataFrame  # history, word, used (discounted count), p (of the word alone)
+    histories: DataFrame  # history, alpha, per_count (probability for each discounted count)
     total: int  # N, training tokens
     vocabulary: int  # V, distinct training tokens
     log_unknown: float
@@ -240,7 +244,7 @@ class Model:
     parts: dict[str, int]
 
 
-def train(docs: DataFrame, p: Params = DEFAULT, parts: dict[str, int] | None = None) -> Model:
+def train(docs: DataFrame, p: Params = WHOLE, parts: dict[str, int] | None = None) -> Model:
     """The model of all texts of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     parts = parts or key_parts(docs, p)
@@ -265,8 +269,9 @@ def train(docs: DataFrame, p: Params = DEFAULT, parts: dict[str, int] | None = N
 
     end, start = (int(np.array(x).view(np.int64)) for x in (END, START))
     pairs = counted.where(F.col("kind").eqNullSafe("pairs") & (F.col("n") >= p.keep_from)).select(
-        "history", "word", "n", (_discount(F.col("n"), pair_d) * F.col("n")).alias("used"))
+        "history", "word", (_discount(F.col("n"), pair_d) * F.col("n")).alias("used"))
     pairs = reliable(pairs.join(single.select("word", "p"), "word"))
+    discard(counted)
     # how often a history was followed by anything: a word's own count, and for the start of texts that of their ends
     seen = single.select(F.when(F.col("word") == end, F.lit(start)).otherwise(F.col("word")).alias("history"), F.col("n").alias("seen"))
     sums = pairs.groupBy("history").agg(F.sum("used").alias("used"), F.sum("p").alias("taken")).join(seen, "history")
@@ -274,15 +279,13 @@ def train(docs: DataFrame, p: Params = DEFAULT, parts: dict[str, int] | None = N
     left = F.greatest(1 - F.col("used") / F.col("seen"), 0.5 / (F.col("seen") + 1))
     alphas = reliable(sums.select("history", (left / (1 - F.col("taken"))).alias("alpha"), ((1 - left) / F.col("used")).alias("per_count")))
     log_alpha = F.log10("alpha")
-    gains = pairs.join(alphas, "history").select(
-        "history", "word", (F.log10(F.col("used") * F.col("per_count")) - log_alpha - F.log10("p")).alias("gain"))
-    gains = reliable(gains)
     table = single.join(alphas.select(F.col("history").alias("word"), log_alpha.alias("log_alpha")), "word", "left").select(
         "word", "n", F.log10("p").alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
     table = reliable(table)
+    discard(single)
     at_start = alphas.where(F.col("history") == start).select(log_alpha.alias("x")).first()
     _settle(spark)
-    return Model(table, gains, int(total), int(vocabulary), float(np.log10(unknown)), at_start["x"] if at_start else 0.0, parts)
+    return Model(table, pairs, alphas, int(total), int(vocabulary), float(np.log10(unknown)), at_start["x"] if at_start else 0.0, parts)
 
 
 def key_parts(docs: DataFrame, p: Params) -> dict[str, int]:
@@ -324,10 +327,15 @@ def _answer(log_unknown: float, log_base: float):
 
     def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
         rows = []
-        key = stored.column("key").to_numpy().view(np.uint64)
+        key, history = (stored.column(c).to_numpy().view(np.uint64) for c in ("key", "history"))
+        value, n = (stored.column(c).to_numpy() for c in ("value", "n"))
+        if (n < 0).any():  # histories beside their pairs: each pair's gain is its own share plus that of its history
+            own, heads = n >= 0, np.flatnonzero(n < 0)
+            heads = heads[np.argsort(history[heads])]
+            value = value[own] + value[heads][np.searchsorted(history[heads], history[own])]
+            key, n = key[own], n[own]
         order = np.argsort(key)
-        key = key[order]
-        value, n = (stored.column(c).to_numpy()[order] for c in ("value", "n"))
+        key, value, n = key[order], value[order], n[order]
         for kind, part, block, data in zip(*(asked.column(c).to_pylist() for c in ("kind", "part", "block", "data"))):
             if kind == "texts":
                 rows.append((kind, part, block, data))
@@ -368,7 +376,7 @@ def _gather(table: pa.Table) -> pa.Table:
                      "n_known": out["known"], "base_score": out["base"], "score": out["score"]})
 
 
-def evaluate(docs: DataFrame, model: Model, p: Params = DEFAULT) -> DataFrame:
+def evaluate(docs: DataFrame, model: Model, p: Params = WHOLE) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of `docs`."""
     end = int(END.view(np.int64))
     parts = model.parts
@@ -376,26 +384,31 @@ def evaluate(docs: DataFrame, model: Model, p: Params = DEFAULT) -> DataFrame:
     # every text has one end and one start: the start's backoff weight is counted with the end
     weight = F.col("log_p") + F.when(F.col("word") == end, F.lit(model.log_alpha_start)).otherwise(F.col("log_alpha"))
     known = model.words.select(F.lit("words").alias("kind"), spread("word", parts["words"]).alias("part"), F.col("word").alias("key"),
-                               weight.alias("value"), "n")
-    gains = model.pairs.select(F.lit("pairs").alias("kind"), spread("history", parts["pairs"]).alias("part"), "history", "word", "gain")
-    gains = gains.mapInArrow(_keyed, "kind string, part int, key long, value double, n long")
+                               F.lit(0).cast("long").alias("history"), weight.alias("value"), "n")
+    own = [F.lit("pairs").alias("kind"), spread("history", parts["pairs"]).alias("part")]
+    pairs = model.pairs.select(*own, "history", "word", (F.log10("used") - F.log10("p")).alias("value")).mapInArrow(_keyed, STORED)
+    heads = model.histories.select(*own, F.lit(0).cast("long").alias("key"), "history", (F.log10("per_count") - F.log10("alpha")).alias("value"),
+                                   F.lit(-1).cast("long").alias("n"))
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ask(parts, p.block_tokens), PACKED)
     # texts' own rows go round the model by their block, so that no part receives all of them
     asked = asked.withColumn("part", F.when(F.col("kind") == "texts", F.pmod(F.xxhash64("block"), F.lit(1 << 20)).cast("int")).otherwise(F.col("part")))
     log_base = float(np.log10(model.total + model.vocabulary + 1))
-    answered = asked.groupBy("kind", "part").cogroup(known.unionByName(gains).groupBy("kind", "part")).applyInArrow(
+    answered = asked.groupBy("kind", "part").cogroup(known.unionByName(pairs).unionByName(heads).groupBy("kind", "part")).applyInArrow(
         _answer(model.log_unknown, log_base), PACKED)
     return answered.groupBy("block").applyInArrow(_gather, SCORED)
 
 
+STORED = "kind string, part int, key long, history long, value double, n long"
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         key = _pair_key(b.column("history").to_numpy().view(np.uint64), b.column("word").to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("part"), pa.array(key.view(np.int64)), b.column("gain"), pa.array(np.zeros(b.num_rows, np.int64))],
-                                         names=["kind", "part", "key", "value", "n"])
+        yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("part"), pa.array(key.view(np.int64)), b.column("history"), b.column("value"),
+                                          pa.array(np.zeros(b.num_rows, np.int64))], names=["kind", "part", "key", "history", "value", "n"])
 
 
-def score(docs: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def score(docs: DataFrame, p: Params = WHOLE) -> DataFrame:
     """Learns from the rows that are not held out and scores all rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(docs.where(~held_out(F.col("doc_id"))), p, key_parts(docs, p))
