@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable
+
 # The shapes that are recognised.
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 PHONE = r"^[\d\-\+\(\)\s]{7,20}$"
@@ -113,12 +115,39 @@ def profile_raw(raw: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame:
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-def numeric_report(df: DataFrame, columns: Sequence[str], accuracy: int = 200_000) -> DataFrame:
-    """Report of numeric columns: counts, moments, extremes, quantiles.
+def quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, p05...): the smallest value that at least this share of a column's values does not exceed.
 
-    One aggregate over the wide table, no shuffle but of partial results.
-    Quantiles are values of the column whose rank is off by at most
-    1/accuracy of the rows; the state per task is bounded by the accuracy.
+    Exact at any size. Values are counted map-side and laid out by range; the
+    sums of the ranges tell which of them hold a wanted rank, and only in
+    these are the counts added up value by value.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+                                          for c in columns])).alias("_cell")).select("_cell.*")
+    counts = value_counts(cells.where(F.col("value").isNotNull()))
+    counts = reliable(counts.repartitionByRange("column_name", "value").withColumn("_part", F.spark_partition_id()))
+    parts = counts.groupBy("column_name", "_part").agg(F.min("value").alias("_from"), F.sum("n").alias("_held"))
+    column = Window.partitionBy("column_name")
+    up_to = F.sum("_held").over(column.orderBy("_from").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = parts.select("column_name", "_part", "_held", (up_to - F.col("_held")).alias("_before"), F.sum("_held").over(column).alias("_all"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(f"p{round(q * 100):02d}").alias("_name"), F.expr(
+        f"greatest(1, (_all * {round(q * 100)} + 99) div 100)").alias("_rank")) for q in QUANTILES]))
+    wanted = parts.select("*", ranks.alias("_w")).select("*", "_w.*").where(
+        (F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_before") + F.col("_held")))
+    wanted = wanted.select("column_name", "_part", "_name", (F.col("_rank") - F.col("_before")).alias("_rank"))
+    held = counts.join(wanted.select("column_name", "_part").distinct(), ["column_name", "_part"], "left_semi")
+    last = F.sum("n").over(Window.partitionBy("column_name", "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = held.withColumn("_last", last).join(wanted, ["column_name", "_part"]).where(
+        (F.col("_rank") <= F.col("_last")) & (F.col("_rank") > F.col("_last") - F.col("n")))
+    names = [f"p{round(q * 100):02d}" for q in QUANTILES]
+    return found.groupBy("column_name").agg(*[F.max(F.when(F.col("_name") == x, F.col("value"))).alias(x) for x in names])
+
+
+def numeric_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Report of numeric columns: counts, moments, extremes, exact quantiles.
+
+    One aggregate over the wide table, and one shuffle of the columns' counted
+    values for the quantiles.
     """
     measures = []
     for c in columns:
@@ -132,7 +161,6 @@ def numeric_report(df: DataFrame, columns: Sequence[str], accuracy: int = 200_00
             F.max(x).alias(f"{c}__maximum"),
             F.avg(x).alias(f"{c}__mean"),
             F.stddev_samp(x).alias(f"{c}__std"),
-            F.percentile_approx(x, list(QUANTILES), accuracy).alias(f"{c}__q"),
         ]
     wide = df.agg(*measures)
     kept = ("rows", "missing", "zeros", "negative", "minimum", "maximum", "mean", "std")
@@ -140,11 +168,11 @@ def numeric_report(df: DataFrame, columns: Sequence[str], accuracy: int = 200_00
         F.struct(
             F.lit(c).alias("column_name"),
             *[F.col(f"{c}__{m}").alias(m) for m in kept],
-            *[F.get(f"{c}__q", F.lit(i)).alias(f"p{int(q * 100):02d}") for i, q in enumerate(QUANTILES)],
         )
         for c in columns
     ]
-    return wide.select(F.explode(F.array(*entries)).alias("_r")).select("_r.*")
+    report = wide.select(F.explode(F.array(*entries)).alias("_r")).select("_r.*")
+    return report.join(quantiles(df, columns), "column_name", "left")
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
