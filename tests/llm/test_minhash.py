@@ -1,5 +1,6 @@
 """Near duplicates against all pairs on small tables."""
 
+import math
 import random
 import re
 from dataclasses import replace
@@ -55,6 +56,15 @@ def corpus(seed=3):
     return [(i, " ".join(w)) for i, w in enumerate(rows)]
 
 
+def test_long_bands_miss_hardly_more_links_than_short_ones():
+    p, at = minhash.DEFAULT, minhash.DEFAULT.percent / 100
+    n = p.bands * p.rows
+    short = (1 - at**p.rows) ** p.bands
+    agree = [math.comb(n, k) * at**k * (1 - at) ** (n - k) for k in range(n + 1)]
+    long = sum(x * (1 - math.comb(k, p.long_rows) / math.comb(n, p.long_rows)) ** p.long_bands for k, x in enumerate(agree))
+    assert short < 2.6e-7 and long < 3.3e-7
+
+
 @pytest.mark.parametrize("params", [minhash.DEFAULT, replace(minhash.DEFAULT, crowded=2)])
 def test_links_equal_all_pairs(spark, params):
     rows = corpus()

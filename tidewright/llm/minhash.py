@@ -13,8 +13,10 @@ buckets of equal bands, and no bucket is ever expanded into all its pairs:
    bands of the stored signatures, and 1 and 2 follow in these buckets, now whatever their size.
 
 A pair inside one component needs no comparison, so the rounds find the same components as all pairs of all buckets.
-With 40 bands of 4 minima, two sets at similarity 0.75 share no bucket with probability (1 - 0.75^4)^40 = 2.5e-7, with
-200 bands of 8 places drawn from the signature about as often, and less the more alike they are. Candidates whose
+With 40 bands of 4 minima, two sets at similarity 0.75 share no bucket with probability (1 - 0.75^4)^40 = 2.5e-7. The 400
+long bands of 8 places are all drawn from one signature of 160 minima, k of which agree, so they miss a pair with
+probability sum over k of Binom(160, 0.75)(k) (1 - C(k, 8) / C(160, 8))^400 = 3.2e-7. Both are less the more alike two sets
+are. Candidates whose
 signatures agree up to six deviations under the threshold are confirmed on the full sets with integer arithmetic.
 
 Results for odd rows: null, empty and blank texts have an empty set, are linked with nothing and are their own
@@ -45,7 +47,7 @@ class Params:
     rows: int = 4
     crowded: int = 16  # components of a bucket that are compared pair by pair
     rare: int = 10  # a shingle of as many of the crowded members pairs them all
-    long_bands: int = 200
+    long_bands: int = 400
     long_rows: int = 8
     seed: int = 8
 
