@@ -111,7 +111,7 @@ def test_normal_equations_sum_over_partitions(spark):
     x, y = r.normal(size=(60, len(quality.STATISTICS))), r.integers(0, 2, 60).astype(float)
     p = replace(quality.DEFAULT, features=16)
     kernel = quality.Kernel(x.mean(axis=0), x.std(axis=0), p)
-    rows = spark.createDataFrame([(v.tolist(), t) for v, t in zip(x, y)], "stats array<double>, y double").repartition(7)
+    rows = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y)], "stats array<double>, y double").repartition(7)
     z = kernel(x)
     want = np.linalg.solve(z.T @ z + 60 * p.ridge * np.eye(17), z.T @ y)
     assert np.allclose(quality.ridge(rows, kernel, p), want, rtol=1e-6, atol=1e-8)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..session import reliable
 from . import words
+from .linear import inverse
 
 SLICE_BYTES = words.SLICE_BYTES
 
@@ -140,7 +141,7 @@ class _Program:
     def __init__(self, sizes: np.ndarray, demand: np.ndarray, capacity: int):
         self.sizes, self.demand, self.capacity = sizes, demand.astype(float), capacity
         self.columns, self.x = self._first_fit()
-        self.inverse = np.linalg.inv(self.columns)
+        self.inverse = inverse(self.columns)
 
     def _first_fit(self) -> tuple[np.ndarray, np.ndarray]:
         """A first basis: fill a sequence from the largest size down and repeat that pattern until a size runs out. A
@@ -191,7 +192,8 @@ class _Program:
         return a
 
     def enter(self, a: np.ndarray) -> None:
-        d = self.inverse @ a
+        held = np.flatnonzero(a)
+        d = (self.inverse[:, held] * a[held]).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(d > 1e-9, self.x / d, np.inf)
         r = int(ratio.argmin())

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import reliable
 from . import words
 from .labelled import held_out, share, text_key, training_labels
+from .linear import solve
 
 
 @dataclass(frozen=True)
@@ -180,7 +181,7 @@ def ridge(rows: DataFrame, kernel: Kernel, p: Params) -> np.ndarray:
     n = sum(r["n"] for r in sums)
     left = sum(np.frombuffer(r["lhs"]) for r in sums).reshape(size, size)
     right = sum(np.frombuffer(r["rhs"]) for r in sums)
-    return np.linalg.solve(left + n * p.ridge * np.eye(size), right)
+    return solve(left + n * p.ridge * np.eye(size), right)
 
 
 def isotonic(x: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
