@@ -69,6 +69,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "the same words are here twice in a row the same"), (None, "one two")], "item_id long, text string")
     got = winnow.decontaminate(odd_docs, items).collect()
     assert len(got) == odd_docs.count()
-    assert {r["doc_id"] for r in got if r["contaminated"]} == {1, 2}
+    assert {r["doc_id"] for r in got if r["contaminated"]} == {1, 2, 6}
+    assert [(r["n_hit"], r["n_items"], r["items_sha256"]) for r in got if r["doc_id"] == 6] == [(2, 0, hashlib.sha256(b"").hexdigest())]
     assert winnow.decontaminate(no_docs, items).count() == 0
     assert not any(r["contaminated"] for r in winnow.decontaminate(odd_docs, items.limit(0)).collect())

@@ -10,8 +10,9 @@ per distinct text, however many copies it has. Which joins broadcast is left to
 stored benchmark tables; common passages are spread by its skew handling.
 
 Results for odd rows: null, empty and wordless texts have no words and no hits. Items without words never match. Rows
-without an id and repeated rows get a result each; items with equal ids count once. An empty benchmark leaves all
-documents clean. Only doc_id, item_id and text are read; extra columns are ignored.
+without an id and repeated rows get a result each; items with equal ids count once. Items without an id supply windows
+and hits as any other, but have no name: they count neither in n_items nor in items_sha256. An empty benchmark leaves
+all documents clean. Only doc_id, item_id and text are read; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,9 +92,9 @@ def item_windows(items: DataFrame, p: Params) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", text_key(F.col("text")))
-    items = items.select("item_id", "text").where("item_id is not null")
+    items = items.select("item_id", "text")
     windows = reliable(item_windows(items, p))
-    known = windows.groupBy("window", "length").agg(F.collect_set("item_id").alias("items"))
+    known = windows.groupBy("window", "length").agg(F.collect_set("item_id").alias("items"))  # no entry for items without an id
     known = reliable(known)
 
     found = items.select(F.explode(fingerprints(text_words(F.col("text")), p)).alias("f")).select("f.print").distinct()
@@ -122,6 +123,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, p: Params = DEFAULT) -> Dat
         F.collect_set(F.col("item_id").cast("string")).alias("names"))
     named = named.select("text_key", F.size("names").cast("long").alias("n_items"), F.array_join(F.array_sort("names"), ",").alias("names"))
     out = keyed.select("doc_id", "text_key", F.size(text_words(F.col("text"))).cast("long").alias("n_words"))
-    out = out.join(spans.join(named, "text_key"), "text_key", "left")
+    out = out.join(spans.join(named, "text_key", "left"), "text_key", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
                       F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "text_key")
