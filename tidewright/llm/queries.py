@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import reliable, shared_folder
-from . import chat, hamming, katz, minhash, packing, quality, rollups, shards, toxicity, winnow
+from . import chat, hamming, katz, licences, merkle, minhash, packing, quality, rollups, shards, toxicity, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,18 @@ def op10_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and a replay in which every fifth document (by checksum of its id) has lost its
+    capitals."""
+    docs = table(spark, sf_dir, "documents")
+    lost = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(docs, F.when(lost, merkle.without_capitals(F.col("text"))).otherwise(F.col("text")))
+
+
+def op13_suffix_automaton_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rff_quality_classifier": op1_rff_quality_classifier,
     "op2_token_count_rollups": op2_token_count_rollups,
@@ -90,8 +102,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_katz_backoff_scores": op9_katz_backoff_scores,
     "op10_cnn_toxicity": op10_cnn_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_suffix_automaton_licences": op13_suffix_automaton_licences,
 }
 
+
+def _merkle_twin(source_levels: int = 8, top_levels: int = 6) -> str:
+    """The manifest in SQL, level by level: up to 16^8 rows in a source and 16^6 sources."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    steps = []
+
+    def climb(nodes: str, docs: str, levels: int, name: str) -> tuple[str, str]:
+        """From nodes (tree, place, digest) and docs (..., tree, place, value, proof) to the tops and the folded docs."""
+        for i in range(levels):
+            kids, up, folded = f"{name}_kids{i}", f"{name}_up{i}", f"{name}_docs{i}"
+            steps.append(f"""{kids} AS (SELECT tree, place // 16 AS place, list(digest ORDER BY place) AS kids, any_value(size) AS size
+                FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS size FROM {nodes}) GROUP BY tree, place // 16)""")
+            steps.append(f"""{up} AS (SELECT tree, place, CASE WHEN size = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS digest FROM {kids})""")
+            left, right = "array_to_string(kids[1:slot], '')", "array_to_string(kids[slot + 2:], '')"
+            steps.append(f"""{folded} AS (SELECT row_id, doc_id, leaf, subroot, tree, place,
+                CASE WHEN size = 1 THEN value ELSE sha256({left} || value || {right}) END AS value,
+                CASE WHEN size = 1 THEN proof ELSE proof || {left} || {right} END AS proof
+                FROM (SELECT d.* EXCLUDE (place), d.place // 16 AS place, d.place % 16 AS slot, kids, size
+                      FROM {docs} d JOIN {kids} k ON d.tree = k.tree AND d.place // 16 = k.place))""")
+            nodes, docs = up, folded
+        return nodes, docs
+
+    steps.append(f"""leaves AS (SELECT row_number() OVER () AS row_id, *, {leaf("text")} AS leaf, {leaf("replayed")} AS value
+        FROM (SELECT *, coalesce('s' || source, '') AS tree, CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT,
+                list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 5 = 0
+                THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS replayed FROM documents))""")
+    steps.append("""own AS (SELECT row_id, doc_id, leaf, leaf AS digest, NULL::VARCHAR AS subroot, tree, value, '' AS proof,
+        row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row_id) - 1 AS place FROM leaves)""")
+    nodes, docs = climb("own", "own", source_levels, "source")
+    steps.append(f"subroots AS (SELECT '' AS tree, tree AS source, digest, row_number() OVER (ORDER BY tree) - 1 AS place FROM {nodes})")
+    steps.append(f"""under AS (SELECT row_id, doc_id, leaf, s.digest AS subroot, '' AS tree, value, proof, s.place FROM {docs} d JOIN subroots s ON d.tree = s.source)""")
+    nodes, docs = climb("subroots", "under", top_levels, "top")
+    return f"""WITH {", ".join(steps)}
+        SELECT doc_id, leaf, subroot, n.digest AS root, sha256(proof) AS proof_sha256, value AS folded_root, value = n.digest AS verified
+        FROM {docs} d, {nodes} n"""
+
+
 #: DuckDB twins, where SQL can express the operator and run it over the whole tables.
 ORACLE: dict[str, str] = {
     "op2_token_count_rollups": r"""
@@ -125,7 +178,7 @@ ORACLE: dict[str, str] = {
             SELECT doc_id, count(DISTINCT p) AS n_hit
             FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY 1),
         named AS (
-            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+            SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS names
             FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
@@ -141,4 +194,5 @@ ORACLE: dict[str, str] = {
         SELECT query_id, rank::INTEGER AS rank, neighbour_id, distance
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs)
         WHERE rank <= 10""",
+    "op12_merkle_manifest": _merkle_twin(),
 }
