@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import reliable, shared_folder
-from . import chat, hamming, katz, licences, merkle, minhash, packing, quality, rollups, shards, toxicity, winnow
+from . import chat, hamming, katz, licences, merkle, minhash, packing, quality, rollups, shards, toxicity, whitening, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op10_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, and a replay in which every fifth document (by checksum of its id) has lost its
     capitals."""
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_katz_backoff_scores": op9_katz_backoff_scores,
     "op10_cnn_toxicity": op10_cnn_toxicity,
+    "op11_feast_whitening": op11_feast_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_suffix_automaton_licences": op13_suffix_automaton_licences,
 }
