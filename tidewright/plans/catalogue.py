@@ -14,9 +14,9 @@ from tidewright.functions.text import explanation
 from tidewright.operators import dedupe, evaluate, landing, link, load, mapping, metrics, profile, quarantine, validate
 from tidewright.operators.joins import key_counts
 from tidewright.operators.records import apply_spec, entry, hold
-from tidewright.plans import fixtures, oracle
+from tidewright.plans import drops, fixtures, oracle
 from tidewright.plans.fixtures import CUSTOMER_SPEC, INVOICE_SPEC, LEDGER_COLUMNS, TICKET_SPEC, table
-from tidewright.sources import pages
+from tidewright.sources import delimited, pages
 from tidewright.session import reliable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,29 @@ for _name, _args in {
     query(_name, oracle.parsed_query(*_args))(_parse(*_args))
 
 
+# --- delimited files -----------------------------------------------------
+
+@query("delimited_rows", drops.expected_sql())
+def delimited_rows(spark, sf):
+    """The extract, written as files of five layouts and read back from byte ranges."""
+    folder = drops.write_drop(spark, sf)
+    staged = reliable(delimited.read_folder(spark, folder, range_bytes=1 << 18))
+    return drops.drop_rows(spark, sf, delimited.with_row_index(staged))
+
+
+@query("delimited_files", f"select kind, encoding, delimiter, 'row_no/invoice_number/customer_id/amount/status/note' as header, count(*) as rows "
+       f"from ({drops.expected_sql()}) group by all union all "
+       f"select 'empty', 'UTF-8', ',', 'row_no/invoice_number/customer_id/amount/status/note', 0")
+def delimited_files(spark, sf):
+    """What the files of that folder are found to be; a file with a header only counts too."""
+    folder = drops.write_drop(spark, sf)
+    some = delimited.read_ranges(spark, folder, range_bytes=1 << 16)
+    counts = delimited.read_rows(some, folder).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+    files = some.select("path", "encoding", "delimiter").distinct().join(delimited.read_headers(some, folder), "path").join(counts, "path", "left")
+    return files.groupBy(drops.kind_of(F.col("path")).alias("kind"), "encoding", "delimiter", F.array_join("header", "/").alias("header")).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
 # --- records, validation, linking ---------------------------------------
 
 INVOICES_CHECKED = {**oracle.CUSTOMERS, **oracle.checked("invoices", INVOICE_SPEC)}

@@ -105,13 +105,15 @@ def land_folder(ws: Workspace, folder: str, tenant_id: str, source_name: str, ki
     """Land every delimited file of a drop folder, one batch per file.
 
     A file of any size is known by the hashes of its rows and their places,
-    which add up across tasks.
+    which add up across tasks. A file that has a header only is a batch of no rows.
     """
-    staged = reliable(delimited.read_folder(ws.spark, folder))
-    rows = reliable(delimited.with_row_index(staged))
-    files = staged.select("path", "encoding", "delimiter").distinct()
+    some = delimited.read_ranges(ws.spark, folder)
+    rows = reliable(delimited.with_row_index(reliable(delimited.read_rows(some, folder))))
     by_rows = landing.payload_fingerprints(rows, ["path"]).select("path", "file_hash")
-    files = files.join(by_rows, "path")
+    # a file without rows is known by its header
+    empty = F.sha2(F.to_json("header"), 256)
+    files = some.select("path", "encoding", "delimiter").distinct().join(delimited.read_headers(some, folder), "path").join(by_rows, "path", "left")
+    files = reliable(files.select("path", "encoding", "delimiter", F.coalesce("file_hash", empty).alias("file_hash")))
     return land_rows(ws, rows, files, tenant_id, source_name, kind)
 
 

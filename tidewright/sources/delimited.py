@@ -2,183 +2,177 @@
 
 Blank cells stay blank text and cells a short row lacks are null; surplus cells
 of a long row are kept in `_overflow`. Nothing is inferred: every cell is text.
+
+A file of any size is read by many tasks, also where cells hold line breaks.
+Three passes go over its byte ranges: what they say of encoding and delimiter,
+the state each begins in (only ranges with quotes of files with several ranges
+are read for that), and the records that begin in each. Files never come to the
+driver, not even their headers; each task reads the header of its file.
 """
 
 from __future__ import annotations
 
-import csv
-from collections.abc import Sequence
-from dataclasses import dataclass
+import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-DELIMITERS = (",", ";", "\t", "|")
-BROKEN = "_broken"
+from tidewright.session import reliable
+from tidewright.sources import ranges
+from tidewright.sources.ranges import DELIMITERS
 
+MOST_RANGE_BYTES = 32 << 20
+ROWS_AT_ONCE = 4096
+UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
-@dataclass(frozen=True)
-class Layout:
-    """What a group of files has in common, so that one scan can read them."""
 
-    delimiter: str
-    encoding: str
-    header: str
-    multiline: bool
+def default_range_bytes(spark: SparkSession) -> int:
+    """`spark.sql.files.maxPartitionBytes`, as far as a Python worker should hold at once."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return min(MOST_RANGE_BYTES, int(number) * UNITS[unit])
 
 
-def detect_encodings(spark: SparkSession, folder: str, fallback: str = "ISO-8859-1") -> DataFrame:
-    """(path, encoding) per file, from all its lines: byte-order mark, valid UTF-8, else the fallback."""
-    found = _lines(spark, folder).groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("line")).alias("valid"),
-        F.hex(F.substring(F.min_by("line", F.struct("block", "place")).cast("binary"), 1, 3)).alias("head"),
-    )
-    head = F.col("head")
-    return found.select("path", (
-        F.when(head.startswith("EFBBBF"), "UTF-8").when(head.startswith("FFFE"), "UTF-16LE")
-        .when(head.startswith("FEFF"), "UTF-16BE").when(F.col("valid"), "UTF-8").otherwise(fallback)
-    ).alias("encoding"))
-
-
-def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    text = spark.read.text(folder)
-    return text.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-        F.col("value").alias("line"),
-    )
-
+def _delimiter() -> Column:
+    """Of all candidates the one that most lines hold as often as the header, then the more frequent in the header,
+    then the first; a comma if no line holds any."""
+    scored = [
+        F.struct(F.sum(F.col("lines")[i]).alias("lines"), F.max(F.col("heads")[i]).alias("often"), F.lit(-i).alias("rank"), F.lit(d).alias("delimiter"))
+        for i, d in enumerate(DELIMITERS)
+    ]
+    best = F.greatest(*scored)
+    return F.when(best["lines"] > 0, best["delimiter"]).otherwise(",")
 
-def detect_layouts(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, delimiter, header, multiline) per file, from all its lines.
 
-    The delimiter is the candidate that most lines hold as often as the header
-    does, quoted parts left out; of equals the one more frequent in the header,
-    else the first; a comma if the header holds none. A line with an odd number
-    of quotes means a cell spans lines.
-    """
-    lines = _lines(spark, folder).where(F.length(F.trim("line")) > 0)
-    odd = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    spans = lines.groupBy("path").agg(
-        (F.max(odd % 2) == 1).alias("multiline"), F.min_by("line", F.struct("block", "place")).alias("header")
+def read_ranges(spark: SparkSession, folder: str, fallback_encoding: str = "ISO-8859-1", range_bytes: int | None = None) -> DataFrame:
+    """(path, start, stop, size, encoding, delimiter, state): every range of every file, with the state it begins in."""
+    spark.dataSource.register(ranges.ByteRanges)
+    found = reliable(spark.read.format("byte_ranges").option("range_bytes", range_bytes or default_range_bytes(spark)).load(folder))
+    files = found.groupBy("path").agg(
+        F.coalesce(F.max("mark"), F.when(F.bool_and("valid"), "UTF-8").otherwise(fallback_encoding)).alias("encoding"),
+        _delimiter().alias("delimiter"), F.count(F.lit(1)).alias("n_ranges"), F.sum("quotes").alias("file_quotes"),
     )
+    known = reliable(found.drop("mark", "valid", "heads", "lines").join(files, "path"))
+    begin = ["path", "start", "stop", "size", "encoding", "delimiter"]
+    alone = known.where("n_ranges = 1").select(*begin, F.lit(ranges.RECORD).alias("state"))
+    several = known.where("n_ranges > 1")
+    ends = _spread(several.where("quotes > 0").select("path", "start", "stop", "delimiter")).mapInArrow(
+        _end_states(folder), "path string, start bigint, ends array<int>")
+    states = several.join(ends, ["path", "start"], "left").select(
+        "path", "start", "last", "delimiter", "ends").groupBy("path").applyInArrow(_compose, "path string, start bigint, state int")
+    return reliable(alone.unionByName(several.join(states, ["path", "start"]).select(*begin, "state")))
 
-    def occurrences(line: str, d: str) -> Column:
-        bare = F.regexp_replace(line, '"[^"]*("|$)', "")
-        return F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))
 
-    heads = spans.select("path", *[occurrences("header", d).alias(f"h{i}") for i, d in enumerate(DELIMITERS)])
-    counts = [
-        F.struct(F.count_if((F.col(f"h{i}") > 0) & (occurrences("line", d) == F.col(f"h{i}"))).alias("lines"),
-                 F.max(f"h{i}").alias("often"), F.lit(-i).alias("rank"), F.lit(d).alias("delimiter")).alias(f"c{i}")
-        for i, d in enumerate(DELIMITERS)
-    ]
-    tallied = lines.join(heads, "path").groupBy("path").agg(*counts)
-    best = F.array_max(F.array(*[F.col(f"c{i}") for i in range(len(counts))]))
-    chosen = tallied.select("path", F.when(best["lines"] > 0, best["delimiter"]).otherwise(",").alias("delimiter"))
-    return spans.join(chosen, "path").select("path", "delimiter", "header", "multiline")
+def _spread(some: DataFrame) -> DataFrame:
+    """A task per range: rows that stand for ranges are few bytes, so nothing else would deal them out."""
+    return some.repartition(max(1, some.count()), "path", "start")
 
 
-def header_cells(header: str, delimiter: str) -> list[str]:
-    return next(csv.reader([header.lstrip("﻿")], delimiter=delimiter))
+def _end_states(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _, prefix = ranges.filesystem(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                with ranges.Text(store, r["path"].removeprefix(prefix)) as text:
+                    block = text.read(r["start"], r["stop"])
+                yield pa.RecordBatch.from_pydict({"path": [r["path"]], "start": [r["start"]], "ends": pa.array([ranges.end_states(block, r["delimiter"])], pa.list_(pa.int32()))})
 
+    return run
 
-@F.pandas_udf(ArrayType(StringType()))
-def _split_record(records: pd.Series, delimiters: pd.Series) -> pd.Series:
-    return pd.Series(
-        [next(csv.reader(str(r).splitlines(keepends=True), delimiter=d), []) for r, d in zip(records, delimiters)]
-    )
 
+def _compose(of_file: pa.Table) -> pa.Table:
+    """The states along one file: few numbers per range, so a file of a terabyte is some ten thousand rows."""
+    state, out = ranges.RECORD, []
+    for r in sorted(of_file.to_pylist(), key=lambda r: r["start"]):
+        out.append((r["path"], r["start"], state))
+        if r["ends"] is not None:
+            state = r["ends"][state]
+        elif state != ranges.QUOTED:
+            state = ranges.settle(r["last"], r["delimiter"])
+    path, start, states = zip(*out)
+    return pa.table({"path": path, "start": pa.array(start, pa.int64()), "state": pa.array(states, pa.int32())})
 
-def _place_columns() -> list[Column]:
-    return [
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-    ]
 
+ROWS = ("path string, block bigint, place bigint, raw map<string,string>, _overflow array<string>, encoding string, delimiter string")
 
-def read_layout(spark: SparkSession, paths: Sequence[str], layout: Layout) -> DataFrame:
-    """(path, block, place, raw, _overflow) of the files that share a layout.
 
-    Rows with as many cells as the header come straight from the CSV scan. Only
-    the rows it marks as broken are split again, to tell missing from blank.
-    """
-    names = header_cells(layout.header, layout.delimiter)
-    slots = [f"c{i}" for i in range(len(names))]
-    schema = StructType([StructField(s, StringType()) for s in (*slots, BROKEN)])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", layout.delimiter)
-        .option("encoding", layout.encoding)
-        .option("multiLine", layout.multiline)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BROKEN)
-        .option("columnPruning", False)
-        .csv(list(paths))
-        .select(*_place_columns(), *slots, BROKEN)
-    )
-    last = {name: i for i, name in enumerate(names)}  # of repeated names the last counts
-    whole = F.create_map(*[p for n, i in last.items() for p in (F.lit(n), F.coalesce(F.col(slots[i]), F.lit("")))])
-    good = rows.where(F.col(BROKEN).isNull()).select(
-        "path", "block", "place", whole.alias("raw"), F.lit(None).cast("array<string>").alias("_overflow")
-    )
-    cells = _split_record(F.col(BROKEN), F.lit(layout.delimiter))
-    # a scan may not ask for the broken text alone, hence the look at the cells
-    broken = F.col(BROKEN).isNotNull() & (F.length(F.concat_ws("", *slots)) >= 0)
-    parts = rows.where(broken).select("path", "block", "place", cells.alias("cells"))
-    ragged = F.create_map(*[p for n, i in last.items() for p in (F.lit(n), F.get("cells", F.lit(i)))])
-    surplus = F.when(F.size("cells") > len(names), F.slice("cells", len(names) + 1, 2**30))
-    return good.unionByName(parts.select("path", "block", "place", ragged.alias("raw"), surplus.alias("_overflow")))
+def _rows(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _, prefix = ranges.filesystem(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                with ranges.Text(store, r["path"].removeprefix(prefix)) as text:
+                    yield from _range_rows(text, **r)
 
+    return run
 
-def read_folder(spark: SparkSession, folder: str, fallback_encoding: str = "ISO-8859-1") -> DataFrame:
-    """All files of a drop folder as raw rows, with encoding and delimiter.
 
-    One detection job, then one scan per distinct layout. What reaches the
-    driver is one line per file, as in any file listing.
-    """
-    files = detect_encodings(spark, folder, fallback_encoding).join(detect_layouts(spark, folder), "path")
-    # lines were read as bytes in UTF-8; names in another single-byte encoding are decoded again
-    latin = F.decode(F.col("header").cast("binary"), "ISO-8859-1")
-    header = F.when(F.col("encoding") == "ISO-8859-1", latin).otherwise(F.col("header"))
-    listed = files.select("path", "encoding", "delimiter", header.alias("header"), "multiline").collect()
-    if not listed:
+def _range_rows(text: ranges.Text, path: str, start: int, stop: int, size: int, encoding: str, delimiter: str, state: int) -> Iterator[pa.RecordBatch]:
+    names = ranges.header(text, encoding, delimiter)
+    last = {name: i for i, name in enumerate(names)}  # of repeated names the last counts
+    rows = ranges.records(text, start, stop, encoding, delimiter, state)
+    if start == 0:
+        next(rows, None)
+    place = 0
+    while True:
+        cells, surplus = [], []
+        for row in rows:
+            cells.extend(row[i] if i < len(row) else None for i in last.values())
+            surplus.append(row[len(names) :] or None)
+            if len(surplus) == ROWS_AT_ONCE:
+                break
+        n = len(surplus)
+        if not n:
+            return
+        raw = pa.MapArray.from_arrays(pa.array(range(0, n * len(last) + 1, len(last)) if last else [0] * (n + 1), pa.int32()),
+                                      pa.array(list(last) * n, pa.string()), pa.array(cells, pa.string()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([path] * n), pa.array([start] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), raw,
+             pa.array(surplus, pa.list_(pa.string())), pa.array([encoding] * n), pa.array([delimiter] * n)],
+            names=["path", "block", "place", "raw", "_overflow", "encoding", "delimiter"])
+        place += n
+
+
+def read_rows(some: DataFrame, folder: str) -> DataFrame:
+    """The raw rows of `read_ranges`: path, block, place, raw, _overflow, encoding, delimiter."""
+    return _spread(some).mapInArrow(_rows(folder), ROWS)
+
+
+def read_headers(some: DataFrame, folder: str) -> DataFrame:
+    """(path, header): the header cells of every file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _, prefix = ranges.filesystem(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                with ranges.Text(store, r["path"].removeprefix(prefix)) as text:
+                    cells = ranges.header(text, r["encoding"], r["delimiter"])
+                yield pa.RecordBatch.from_pydict({"path": [r["path"]], "header": pa.array([cells], pa.list_(pa.string()))})
+
+    return some.where("start = 0").select("path", "encoding", "delimiter").mapInArrow(run, "path string, header array<string>")
+
+
+def read_folder(spark: SparkSession, folder: str, fallback_encoding: str = "ISO-8859-1", range_bytes: int | None = None) -> DataFrame:
+    """All files of a drop folder as raw rows, with encoding and delimiter. A file
+    that has a header only gives no rows (`read_ranges` lists it)."""
+    some = read_ranges(spark, folder, fallback_encoding, range_bytes)
+    if some.isEmpty():
         raise ValueError(f"no non-empty file in {folder}")
-    groups: dict[Layout, list[str]] = {}
-    for f in listed:
-        groups.setdefault(Layout(f.delimiter, f.encoding, f.header, f.multiline), []).append(f.path)
-    parts = [read_layout(spark, paths, layout) for layout, paths in groups.items()]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    about = spark.createDataFrame(
-        [(f.path, f.encoding, f.delimiter) for f in listed], "path string, encoding string, delimiter string",
-    )
-    return rows.join(about, "path")
+    return read_rows(some, folder)
 
 
 def with_row_index(rows: DataFrame) -> DataFrame:
     """Add `row_index`, the row's position in its file, without sorting a file.
 
-    Rows are counted per (file, scan task); running totals over these counts, a
-    few per file, give each task its offset. The join is per task, so no key
-    holds more rows than one input split. `rows` should come from storage
-    (`reliable`), since `place` depends on how the scan was split.
+    Rows are counted per range; running totals over these counts, a few per file,
+    give each range its offset, so no key holds more rows than one range. `rows`
+    should come from storage (`reliable`): they are read twice.
     """
-    tagged = rows.withColumn("_task", F.shiftright("place", 33))
-    tasks = tagged.groupBy("path", "block", "_task").agg(
-        F.count(F.lit(1)).alias("n"), F.min("place").alias("_first")
-    )
-    before = Window.partitionBy("path").orderBy("block", "_task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tasks.withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    blocks = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("path", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
-        tagged.join(offsets, ["path", "block", "_task"])
-        .withColumn("row_index", (F.col("_offset") + F.col("place") - F.col("_first")).cast("bigint"))
-        .drop("_task", "_first", "_offset", "place", "block")
+        rows.join(offsets, ["path", "block"])
+        .withColumn("row_index", (F.col("_offset") + F.col("place")).cast("bigint"))
+        .drop("_offset", "place", "block")
     )
