@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -17,7 +18,8 @@ from tidewright.operators.records import apply_spec, entry, hold
 from tidewright.plans import drops, fixtures, oracle
 from tidewright.plans.fixtures import CUSTOMER_SPEC, INVOICE_SPEC, LEDGER_COLUMNS, TICKET_SPEC, table
 from tidewright.sources import delimited, pages
-from tidewright.session import reliable
+from tidewright.sources.state import State
+from tidewright.session import reliable, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,6 +324,69 @@ def upsert_accounts(spark, sf):
     return planned.select("tenant_id", "account_number", "customer_id", F.col("_action").alias("action"))
 
 
+# Two deliveries of one extract, committed to state tables tenant by tenant: the first has the even rows; the second lacks
+# every third row, changes every tenth, and brings nothing for the first tenant, whose rows stay where they are.
+
+FIRST, SECOND, LATE = "row_index % 2 = 0", "row_index % 3 <> 1 and tenant_id <> 'tenant-0'", "row_index % 10 = 0"
+
+
+def delivered(clean: DataFrame, generation: int, changed: str) -> DataFrame:
+    """Clean rows of a delivery, named after it; `changed` is the field of `rec` that differs in the second."""
+    rows = clean.where(F.expr(FIRST if generation == 1 else SECOND)).withColumn("batch_id", F.concat(F.lit(f"g{generation}-"), "batch_id"))
+    if generation == 1:
+        return rows
+    later = F.when(F.expr(LATE), F.concat(F.col(f"rec.{changed}"), F.lit(" (2)"))).otherwise(F.col(f"rec.{changed}"))
+    return rows.withColumn("rec", F.col("rec").withField(changed, later))
+
+
+def two_commits(spark, sf, extract: str, spec: dict, name: str, changed: str) -> DataFrame:
+    clean = load.accepted(reliable(annotated(spark, sf, extract, spec)))
+    state = State(spark, f"{shared_folder(spark).rstrip('/')}/state-{uuid.uuid4().hex}", {name: ", ".join(f"{c} {k}" for c, k in registry.table_schema(name))})
+    for generation in (1, 2):
+        rows = delivered(clean, generation, changed)
+        tenants = [r["tenant_id"] for r in rows.select("tenant_id").distinct().collect()]
+        after = load.next_tables(rows, spec, {t: state.read(t, tenants) if t == name else load.empty_table(spark, t) for t in load.tables_of(spec)}, loaded_at())
+        state.commit({name: after[name]}, tenants)
+    return state.read(name)
+
+
+def two_commits_sql(fields: dict[str, str], key: str, changed: str) -> str:
+    """The table after both deliveries: rows that did not change keep the batch that brought them."""
+    shown = ", ".join(f"{value} as {name}" for name, value in fields.items())
+    return (f", g1 as (select * from clean where {FIRST}), g2 as (select * from clean where {SECOND}) "
+            f"select tenant_id, {key} as natural_key, {shown}, {changed} || case when {SECOND} and {LATE} then ' (2)' else '' end as changed, "
+            f"case when {SECOND} and ({LATE} or not {FIRST}) then 'g2-' else 'g1-' end || batch_id as source_batch_id "
+            f"from clean where {FIRST} or {SECOND}")
+
+
+TICKETS_CLEAN = {**TICKETS_CHECKED, "clean": "select * from checked where len(errs) = 0"}
+
+
+@query("merged_invoices", oracle.with_clause(CLEAN) + two_commits_sql(
+    {"invoice_number": "v_invoice_natural_key", "customer_id": "resolved_id", "amount_minor_units": "v_invoice_amount_minor_units"},
+    "v_invoice_natural_key", "v_invoice_po_number"))
+def merged_invoices(spark, sf):
+    return two_commits(spark, sf, "invoices", INVOICE_SPEC, "invoices", "invoices.po_number").select(
+        "tenant_id", "natural_key", "invoice_number", "customer_id", "amount_minor_units", F.col("po_number").alias("changed"), "source_batch_id")
+
+
+@query("merged_tickets", oracle.with_clause(TICKETS_CLEAN) + two_commits_sql(
+    {"ticket_ref": "v_ticket_natural_key", "customer_id": "resolved_id", "status": "coalesce(v_ticket_status, 'open')"},
+    "v_ticket_natural_key", "v_ticket_subject"))
+def merged_tickets(spark, sf):
+    return two_commits(spark, sf, "tickets", TICKET_SPEC, "support_tickets", "support_tickets.subject").select(
+        "tenant_id", "natural_key", "ticket_ref", "customer_id", "status", F.col("subject").alias("changed"), "source_batch_id")
+
+
+@query("merged_accounts", oracle.with_clause(CLEAN) +
+       f", d as (select *, 1 as g from clean where {FIRST} union all select *, 2 as g from clean where {SECOND}), "
+       f"last as (select tenant_id, v_account_number as account_number, g, arg_max(resolved_id, row_index) as customer_id from d "
+       f"where v_account_number is not null group by all) "
+       f"select tenant_id, account_number, arg_max(customer_id, g) as customer_id from last group by all")
+def merged_accounts(spark, sf):
+    return two_commits(spark, sf, "invoices", INVOICE_SPEC, "accounts", "invoices.po_number").select("tenant_id", "account_number", "customer_id")
+
+
 @query("schema_backfill",
        "select coalesce(kyc_status, 'pending') as kyc_status, count(*) as rows from ("
        "select null as kyc_status from customer union all select case s_suppkey % 3 when 0 then 'verified' when 1 then 'rejected' end from supplier"

@@ -6,10 +6,10 @@ A stage that is run again after a failure, or on purpose, changes nothing more.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright import registry
@@ -17,7 +17,7 @@ from tidewright.operators import dedupe, landing, load, mapping, profile, quaran
 from tidewright.operators.records import tables_of
 from tidewright.session import reliable
 from tidewright.sources import delimited
-from tidewright.sources.state import SnapshotTable
+from tidewright.sources.state import State
 
 SOURCES = "id string, tenant_id string, name string, kind string"
 BATCHES = (
@@ -38,6 +38,13 @@ CANDIDATES = (
 )
 
 
+CANONICAL = ("customers", "accounts", "invoices", "support_tickets")
+
+
+class UnknownBatch(LookupError):
+    """No such batch."""
+
+
 class NoConfirmedSpec(ValueError):
     """The batch's source has no confirmed mapping spec."""
 
@@ -49,20 +56,35 @@ class Workspace:
         self.spark, self.root = spark, root.rstrip("/")
         schemas = {"sources": SOURCES, "batches": BATCHES, "mapping_specs": SPECS, "quarantine": QUARANTINE,
                    "duplicate_candidates": CANDIDATES}
-        for t in ("customers", "accounts", "invoices", "support_tickets"):
+        for t in CANONICAL:
             schemas[t] = ", ".join(f"{c} {k}" for c, k in registry.table_schema(t))
-        self.tables = {name: SnapshotTable(spark, f"{self.root}/{name}", schema) for name, schema in schemas.items()}
+        self.state = State(spark, self.root, schemas)
+
+    def read(self, table: str, tenants: Sequence[str] | str | None = None) -> DataFrame:
+        return self.state.read(table, tenants)
+
+    def commit(self, tables: Mapping[str, DataFrame], tenants: Sequence[str] | str | None = None) -> None:
+        """Replace the rows of some tenants in some tables, all in one step."""
+        self.state.commit(tables, [tenants] if isinstance(tenants, str) else tenants)
 
-    def read(self, table: str) -> DataFrame:
-        return self.tables[table].read()
+    def write(self, table: str, df: DataFrame, tenants: Sequence[str] | str | None = None) -> DataFrame:
+        self.commit({table: df}, tenants)
+        return self.read(table, tenants)
 
-    def write(self, table: str, df: DataFrame) -> DataFrame:
-        return self.tables[table].write(df)
+    def batch(self, batch_id: str) -> Row:
+        """The ledger row of a batch."""
+        row = self.read("batches").where(F.col("id") == batch_id).first()
+        if row is None:
+            raise UnknownBatch(batch_id)
+        return row
 
     # raw rows and profiles are append-only: one folder per tenant and batch
-    def raw(self, batch_id: str | None = None) -> DataFrame:
+    def raw(self, batch_id: str | None = None, tenant_id: str | None = None) -> DataFrame:
         rows = self.spark.read.schema(RAW).parquet(f"{self.root}/raw_records")
-        return rows if batch_id is None else rows.where(F.col("batch_id") == batch_id)
+        for column, value in (("batch_id", batch_id), ("tenant_id", tenant_id)):
+            if value is not None:
+                rows = rows.where(F.col(column) == value)
+        return rows
 
     def replace_batches(self, name: str, df: DataFrame) -> None:
         """Write df's batches, replacing only the folders of these batches."""
@@ -78,17 +100,16 @@ def land_rows(ws: Workspace, rows: DataFrame, files: DataFrame, tenant_id: str,
     """
     spark = ws.spark
     seen = spark.createDataFrame([(tenant_id, source_name, kind)], "tenant_id string, name string, kind string")
-    sources = ws.write("sources", landing.register_sources(ws.read("sources"), seen))
-    source_id = sources.where(
-        (F.col("tenant_id") == tenant_id) & (F.col("name") == source_name) & (F.col("kind") == kind)
-    ).first()["id"]
+    sources = reliable(landing.register_sources(ws.read("sources", tenant_id), seen))
+    source_id = sources.where((F.col("name") == source_name) & (F.col("kind") == kind)).first()["id"]
     counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("row_count"))
     incoming = files.join(counts, "path", "left").select(
         "path", F.lit(tenant_id).alias("tenant_id"), F.lit(source_id).alias("source_id"), "file_hash",
         F.element_at(F.split("path", "/"), -1).alias("filename"), "encoding", "delimiter",
         F.coalesce("row_count", F.lit(0)).alias("row_count"),
     )
-    status = reliable(landing.replay_status(incoming, ws.read("batches")))
+    batches = ws.read("batches", tenant_id)
+    status = reliable(landing.replay_status(incoming, batches))
     # of files with equal content in one delivery, the first path is landed
     first = status.where(~F.col("is_replay")).groupBy("batch_id").agg(F.min("path").alias("path"))
     landed = rows.join(first, "path").select(
@@ -96,8 +117,8 @@ def land_rows(ws: Workspace, rows: DataFrame, files: DataFrame, tenant_id: str,
     )
     if not status.where(~F.col("is_replay")).isEmpty():
         ws.replace_batches("raw_records", landing.raw_records(landed))
-        columns = [c.split()[0] for c in BATCHES.split(", ")]
-        ws.write("batches", ws.read("batches").unionByName(landing.new_batches(status).select(*columns)))
+        fresh = landing.new_batches(status).select(*batches.columns)
+        ws.commit({"sources": sources, "batches": batches.unionByName(fresh)}, tenant_id)
     return status.select("path", "batch_id", "is_replay")
 
 
@@ -120,8 +141,8 @@ def land_folder(ws: Workspace, folder: str, tenant_id: str, source_name: str, ki
 def profile_batch(ws: Workspace, batch_id: str, tenant_id: str) -> DataFrame:
     """Profile a landed batch; a second run replaces the first one's rows."""
     raw = ws.raw(batch_id)
-    kinds = ws.read("sources").select(F.col("id").alias("source_id"), F.col("kind").alias("source_kind"))
-    batch = ws.read("batches").where(F.col("id") == batch_id).select(F.col("id").alias("batch_id"), "source_id").join(kinds, "source_id")
+    kinds = ws.read("sources", tenant_id).select(F.col("id").alias("source_id"), F.col("kind").alias("source_kind"))
+    batch = ws.read("batches", tenant_id).where(F.col("id") == batch_id).select(F.col("id").alias("batch_id"), "source_id").join(kinds, "source_id")
     profiles = reliable(profile.profile_raw(raw).join(batch.drop("source_id"), "batch_id").withColumn("tenant_id", F.lit(tenant_id)))
     ws.replace_batches("column_profiles", profiles)
     return profiles
@@ -137,34 +158,48 @@ def propose_spec(ws: Workspace, batch_id: str, tenant_id: str, decisions: DataFr
         decisions = ws.spark.createDataFrame(
             [], "batch_id string, column_name string, field string, model string, confidence double, reasoning string")
     documents = mapping.spec_documents(mapping.spec_entries(mapped, decisions, by), by)
-    batch = ws.read("batches").select(F.col("id").alias("batch_id"), "tenant_id", "source_id")
+    batch = ws.read("batches", tenant_id).select(F.col("id").alias("batch_id"), "tenant_id", "source_id")
     drafts = documents.join(batch, "batch_id").select("tenant_id", "source_id", "spec")
-    new = reliable(mapping.next_versions(ws.read("mapping_specs"), drafts))
-    ws.write("mapping_specs", ws.read("mapping_specs").unionByName(new.select(*ws.read("mapping_specs").columns)))
+    specs = ws.read("mapping_specs", tenant_id)
+    new = reliable(mapping.next_versions(specs, drafts))
+    ws.write("mapping_specs", specs.unionByName(new.select(*specs.columns)), tenant_id)
     return new.first()["id"]
 
 
+def spec_row(ws: Workspace, spec_id: str) -> Row:
+    row = ws.read("mapping_specs").where(F.col("id") == spec_id).first()
+    if row is None:
+        raise ValueError(f"no spec {spec_id}")
+    return row
+
+
 def confirm(ws: Workspace, spec_id: str) -> None:
-    specs = ws.read("mapping_specs")
+    tenant_id = spec_row(ws, spec_id)["tenant_id"]
+    specs = ws.read("mapping_specs", tenant_id)
     after = reliable(mapping.confirm_specs(specs, ws.spark.createDataFrame([(spec_id,)], "id string")))
-    outcome = after.where(F.col("id") == spec_id).first()
-    if outcome is None or outcome["_confirm"] != "confirmed":
+    if after.where(F.col("id") == spec_id).first()["_confirm"] != "confirmed":
         raise ValueError(f"spec {spec_id} is not a draft")
-    ws.write("mapping_specs", after.drop("_confirm").select(*specs.columns))
+    ws.write("mapping_specs", after.select(*specs.columns), tenant_id)
 
 
 def confirmed_spec(ws: Workspace, batch_id: str) -> tuple[dict, int]:
-    source = ws.read("batches").where(F.col("id") == batch_id).select("tenant_id", "source_id")
-    row = mapping.confirmed_specs(ws.read("mapping_specs")).join(source, ["tenant_id", "source_id"]).first()
+    try:
+        batch = ws.batch(batch_id)
+    except UnknownBatch:
+        raise NoConfirmedSpec(f"no batch {batch_id}") from None
+    specs = mapping.confirmed_specs(ws.read("mapping_specs", batch["tenant_id"]))
+    row = specs.where(F.col("source_id") == batch["source_id"]).first()
     if row is None:
         raise NoConfirmedSpec(f"no confirmed mapping spec for the source of batch {batch_id}")
     return mapping.as_document({k: v.asDict(True) for k, v in row["spec"].items()}), row["version"]
 
 
-def _write_tables(ws: Workspace, annotated: DataFrame, spec: Mapping, loaded_at: Column | None, last_wins: bool = False) -> None:
-    current = {t: ws.read(t) for t in tables_of(spec)}
-    for name, df in load.next_tables(annotated, spec, current, loaded_at, last_wins).items():
-        ws.write(name, df)
+def _loaded(
+    ws: Workspace, tenant_id: str, annotated: DataFrame, spec: Mapping, loaded_at: Column | None, last_wins: bool = False
+) -> dict[str, DataFrame]:
+    """The tenant's canonical tables after the clean rows are loaded."""
+    current = {t: ws.read(t, tenant_id) for t in tables_of(spec)}
+    return load.next_tables(annotated, spec, current, loaded_at, last_wins)
 
 
 def load_batch(
@@ -173,18 +208,22 @@ def load_batch(
     """Load a batch under its source's confirmed spec; returns the summary.
 
     The annotated rows are written once; tables, quarantine and summary read
-    them. The batch's earlier quarantine is replaced.
+    them. Only the batch's tenant is read and written, in one commit. The
+    batch's earlier quarantine is replaced.
     """
     spec, version = confirmed_spec(ws, batch_id)
-    customers = ws.read("customers")
-    rows = reliable(load.annotate(ws.raw(batch_id), spec, customers, as_of))
+    tenant_id = ws.batch(batch_id)["tenant_id"]
+    customers = ws.read("customers", tenant_id)
+    rows = reliable(load.annotate(ws.raw(batch_id, tenant_id), spec, customers, as_of))
     entries = load.quarantine_rows(rows, customers)
-    others = ws.read("quarantine").where(F.col("batch_id") != batch_id)
-    ws.write("quarantine", others.unionByName(entries.select(*others.columns)))
-    _write_tables(ws, rows, spec, loaded_at)
-    batches = ws.read("batches")
+    others = ws.read("quarantine", tenant_id).where(F.col("batch_id") != batch_id)
+    batches = ws.read("batches", tenant_id)
     stamped = F.when(F.col("id") == batch_id, F.lit(version)).otherwise(F.col("mapping_spec_version"))
-    ws.write("batches", batches.withColumn("mapping_spec_version", stamped))
+    ws.commit({
+        **_loaded(ws, tenant_id, rows, spec, loaded_at),
+        "quarantine": others.unionByName(entries.select(*others.columns)),
+        "batches": batches.withColumn("mapping_spec_version", stamped),
+    }, tenant_id)
     return load.load_summary(rows, version)
 
 
@@ -197,40 +236,50 @@ def bulk_fix(
     One set-based run per source. Entries whose source has no confirmed spec
     count as processed and stay open. `only` narrows the choice (single entries).
     """
-    chosen = reliable(only(quarantine.with_code(ws.read("quarantine"), tenant_id, error_code)))
-    with_source = chosen.join(ws.read("batches").select(F.col("id").alias("batch_id"), "source_id"), "batch_id")
-    after = ws.read("quarantine")
+    chosen = reliable(only(quarantine.with_code(ws.read("quarantine", tenant_id), tenant_id, error_code)))
+    _reprocess(ws, tenant_id, chosen, corrections, as_of, loaded_at)
+    return quarantine.bulk_counts(ws.read("quarantine", tenant_id), chosen)
+
+
+def _reprocess(
+    ws: Workspace, tenant_id: str, chosen: DataFrame, corrections: Mapping[str, str | None], as_of: date | None, loaded_at: Column | None
+) -> None:
+    """Check corrected entries again, source by source, each in one commit."""
+    with_source = chosen.join(ws.read("batches", tenant_id).select(F.col("id").alias("batch_id"), "source_id"), "batch_id")
     for source in with_source.select("source_id").distinct().toLocalIterator():
         mine = with_source.where(F.col("source_id") == source["source_id"]).drop("source_id")
         try:
             spec, _ = confirmed_spec(ws, mine.first()["batch_id"])
         except NoConfirmedSpec:
             continue
-        customers = ws.read("customers")
+        customers = ws.read("customers", tenant_id)
         again = reliable(quarantine.reprocess(mine, spec, customers, corrections, as_of))
-        _write_tables(ws, again, spec, loaded_at, last_wins=True)
-        after = ws.write("quarantine", quarantine.resolved_quarantine(ws.read("quarantine"), again, customers))
-    return quarantine.bulk_counts(after, chosen)
+        ws.commit({
+            **_loaded(ws, tenant_id, again, spec, loaded_at, last_wins=True),
+            "quarantine": quarantine.resolved_quarantine(ws.read("quarantine", tenant_id), again, customers),
+        }, tenant_id)
 
 
-def find_duplicates(ws: Workspace, threshold: float = 0.5, blank_is_null: bool = False) -> DataFrame:
-    """Refresh the duplicate candidates; returns found and new counts."""
-    found = dedupe.duplicate_candidates(ws.read("customers"), threshold, blank_is_null)
-    table = ws.read("duplicate_candidates")
+def find_duplicates(ws: Workspace, threshold: float = 0.5, blank_is_null: bool = False, tenant_id: str | None = None) -> DataFrame:
+    """Refresh the duplicate candidates, of one tenant or of all; returns found and new counts."""
+    found = dedupe.duplicate_candidates(ws.read("customers", tenant_id), threshold, blank_is_null)
+    table = ws.read("duplicate_candidates", tenant_id)
     after = reliable(dedupe.upsert_candidates(table, reliable(found)))
-    ws.write("duplicate_candidates", after.select(*table.columns))
+    ws.write("duplicate_candidates", after.select(*table.columns), tenant_id)
     return after.agg(F.count_if("_found").alias("candidates"), F.count_if("_new").alias("new"))
 
 
 def merge(ws: Workspace, pairs: DataFrame) -> DataFrame:
     """Merge chosen pairs together; returns (tenant_id, loser, winner)."""
-    customers = ws.read("customers")
+    pairs = reliable(pairs)
+    tenants = [r["tenant_id"] for r in pairs.select("tenant_id").distinct().collect()]  # of the pairs someone chose
+    customers = ws.read("customers", tenants)
     if not dedupe.conflicting_merges(pairs, customers).isEmpty():
         raise ValueError("a customer of a chosen pair no longer exists")
-    merges = dedupe.merge_map(pairs)
-    for t in ("invoices", "support_tickets", "accounts"):
-        ws.write(t, dedupe.repoint(ws.read(t), merges))
-    ws.write("customers", dedupe.drop_merged(customers, merges).select(*customers.columns))
-    ws.write("duplicate_candidates", dedupe.mark_merged(ws.read("duplicate_candidates"), pairs))
+    merges = reliable(dedupe.merge_map(pairs))
+    ws.commit({
+        **{t: dedupe.repoint(ws.read(t, tenants), merges) for t in ("invoices", "support_tickets", "accounts")},
+        "customers": dedupe.drop_merged(customers, merges),
+        "duplicate_candidates": dedupe.mark_merged(ws.read("duplicate_candidates", tenants), pairs),
+    }, tenants)
     return merges
-
