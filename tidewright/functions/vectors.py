@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+
+from tidewright.functions.text import WHITESPACE
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,20 +19,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length == 0, F.lit(0.0)).otherwise(dot(a, b) / length)
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def hashed_ngram_vector(texts: pd.Series) -> pd.Series:
-    """Counts of character 3-grams and words, hashed into 256 slots."""
+SLOTS = 256
 
-    def vector(text: str) -> np.ndarray:
-        slots = np.zeros(256, dtype=np.float32)
-        for word in text.lower().split():
-            slots[zlib.crc32(word.encode()) % 256] += 1.0
-            padded = f" {word} "
-            for i in range(len(padded) - 2):
-                slots[zlib.crc32(padded[i:i + 3].encode()) % 256] += 0.5
-        return slots
 
-    return texts.map(vector)
+def hashed_ngram_vector(text: Column) -> Column:
+    """Counts of words, and at half weight of their character 3-grams with a blank at both ends, hashed into 256 slots."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"[^{WHITESPACE}]+"), F.lit(0))
+    trigrams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: w.substr(i, F.lit(3)))
+    grams = F.flatten(F.transform(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), trigrams))
+    hit = lambda weight: lambda t: F.struct(F.pmod(F.crc32(t), F.lit(SLOTS)).alias("slot"), F.lit(weight).cast("float").alias("weight"))
+    empty = F.array_repeat(F.lit(0.0).cast("float"), SLOTS)
+    add = lambda v, h: F.transform(v, lambda x, i: F.when(i == h["slot"], x + h["weight"]).otherwise(x))
+    return F.aggregate(F.concat(F.transform(words, hit(1.0)), F.transform(grams, hit(0.5))), empty, add)
 
 
 def embed(df: DataFrame, text: str, into: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tidewright.functions.text import explanation
 from tidewright.operators import dedupe, evaluate, landing, link, load, mapping, metrics, profile, quarantine, validate
 from tidewright.operators.joins import key_counts
 from tidewright.operators.records import apply_spec, entry, hold
-from tidewright.plans import drops, fixtures, oracle
+from tidewright.plans import drops, fixtures, oracle, oracle_mapping
 from tidewright.plans.fixtures import CUSTOMER_SPEC, INVOICE_SPEC, LEDGER_COLUMNS, TICKET_SPEC, table
 from tidewright.sources import delimited, pages
 from tidewright.sources.state import State
@@ -197,11 +197,17 @@ def orphan_keys(spark, sf):
     return found.where(orphan).groupBy("tenant_id", "link_key").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("suggested_fixes")
+MANGLED = "natural_key[1:2 + (natural_key[3:]::bigint % 4)] || natural_key[4 + (natural_key[3:]::bigint % 4):]"
+
+
+@query("suggested_fixes", oracle.with_clause({
+    **oracle.CUSTOMERS, "orphans": f"select tenant_id, {MANGLED} as link_key from customers",
+    **oracle_mapping.nearest_ctes("orphans", "customers", link.SUGGEST_AT)}) +
+       "select tenant_id, link_key, natural_key, round(score, 4) as score, suggested_fix from nearest")
 def suggested_fixes(spark, sf):
     """Every customer key with one digit left out, matched back to the customers."""
     customers = fixtures.canonical_customers(spark, sf)
-    cut = 3 + F.pmod(F.xxhash64("natural_key"), F.lit(4)).cast("int")
+    cut = 3 + (F.substring("natural_key", 3, 20).cast("bigint") % 4).cast("int")
     mangled = F.concat(F.substring("natural_key", F.lit(1), cut - 1), F.col("natural_key").substr(cut + 1, F.lit(20)))
     return link.suggest_customer_fix(customers.select("tenant_id", mangled.alias("link_key")), customers)
 
@@ -216,7 +222,12 @@ def quarantine_entries(spark, sf):
                       F.lit("open").alias("status"), F.lit("error").alias("severity"))
 
 
-@query("quarantine_with_fixes")
+@query("quarantine_with_fixes", oracle.with_clause({
+    **INVOICES_CHECKED, "orphans": "select distinct tenant_id, link_key from checked where list_contains(errs, 'customer_id: REF_INTEGRITY_ORPHAN_FK')",
+    **oracle_mapping.nearest_ctes("orphans", "customers", link.SUGGEST_AT)}) +
+       f"select sha256(batch_id || '|' || row_index) as id, batch_id, row_index, {oracle.CODES} as error_codes, array_to_string(errs, '; ') as explanation, "
+       "suggested_fix, 'open' as status from checked left join nearest n on n.tenant_id = checked.tenant_id and n.link_key = checked.link_key "
+       "and list_contains(errs, 'customer_id: REF_INTEGRITY_ORPHAN_FK') where len(errs) > 0")
 def quarantine_with_fixes(spark, sf):
     rows = reliable(annotated(spark, sf, "invoices", INVOICE_SPEC))
     entries = load.quarantine_rows(rows, fixtures.canonical_customers(spark, sf))
@@ -651,11 +662,16 @@ PROFILES["profiles"] = " union all ".join(
     f"select '{kind}' as source_kind, * from ({oracle.profile_sql(f'cells_{e}')})" for e, kind in KINDS.items())
 
 
+TYPE_SCORE = (
+    "case type when 'email' then email_match_fraction "
+    "when 'phone' then phone_match_fraction when 'date' then date_parse_fraction when 'integer' then int_parse_fraction "
+    "when 'money_minor_units' then float_parse_fraction when 'currency_code' then currency_code_match_fraction "
+    "when 'enum' then case when row_count = null_count then 0.5 else greatest(0, 1 - least(distinct_fraction, 1)) end else 0.5 end")
+RANKED = {**PROFILES, **oracle_mapping.ranking_ctes("profiles", POOLS, TYPE_SCORE)}
+
+
 @query("type_scores", oracle.with_clause(PROFILES) +
-       "select source_kind, column_name, field as canonical_field, round(case type when 'email' then email_match_fraction "
-       "when 'phone' then phone_match_fraction when 'date' then date_parse_fraction when 'integer' then int_parse_fraction "
-       "when 'money_minor_units' then float_parse_fraction when 'currency_code' then currency_code_match_fraction "
-       "when 'enum' then case when row_count = null_count then 0.5 else greatest(0, 1 - least(distinct_fraction, 1)) end else 0.5 end, 4) as type_score "
+       f"select source_kind, column_name, field as canonical_field, round({TYPE_SCORE}, 4) as type_score "
        f"from profiles join (values {POOLS}) p(source_kind, ordinal, field, type) using (source_kind)")
 def type_scores(spark, sf):
     candidates = mapping.with_candidates(all_profiles(spark, sf))
@@ -663,47 +679,67 @@ def type_scores(spark, sf):
                              F.round(mapping.type_score(F.col("type")), 4).alias("type_score"))
 
 
-@query("rank_candidates")
+@query("rank_candidates", oracle.with_clause(RANKED) +
+       "select source_kind, column_name, rank, field as canonical_field, confidence, round(name_score, 4) as name_score, "
+       "round(embedding_score, 4) as embedding_score, round(type_score, 4) as type_score from ranked")
 def rank_candidates(spark, sf):
     return mapping.score_columns(reliable(all_profiles(spark, sf)), BY_KIND)
 
 
-@query("baseline_ranking")
+@query("baseline_ranking", oracle.with_clause(RANKED) +
+       "select source_kind, column_name, rank, field as canonical_field, round(name_score, 4) as name_score from by_name")
 def baseline_ranking(spark, sf):
     return mapping.baseline_ranking(all_profiles(spark, sf).select("source_kind", "column_name"), BY_KIND)
 
 
-@query("column_mappings")
+@query("column_mappings", oracle.with_clause(RANKED) + "select source_kind, column_name, best_field, confidence, bucket, candidates from mapped")
 def column_mappings(spark, sf):
     ranked = mapping.score_columns(reliable(all_profiles(spark, sf)), BY_KIND)
     mapped = mapping.column_mappings(ranked, BY_KIND)
     return mapped.select(*BY_KIND, "column_name", "best_field", "confidence", "bucket", F.size("candidates").alias("candidates"))
 
 
-@query("tiebreak_requests")
+@query("tiebreak_requests", oracle.with_clause({**RANKED, "lines": "select source_kind, string_agg('- ' || field || ': ' || text, chr(10) order by ordinal) as lines "
+       f"from (values {POOLS}) p(source_kind, ordinal, field, type) join field_texts on key = field group by 1"}) +
+       "select source_kind, column_name, 'Column: ' || column_name || chr(10) || 'Samples: ' || coalesce(nullif(replace(sample_values, ' | ', ', '), ''), 'none') "
+       "|| chr(10) || 'Fields:' || chr(10) || lines as request from mapped join profiles using (source_kind, column_name) join lines using (source_kind) where bucket = 'unmapped'")
 def tiebreak_requests(spark, sf):
     profiles = reliable(all_profiles(spark, sf))
     mapped = mapping.column_mappings(mapping.score_columns(profiles, BY_KIND), BY_KIND)
     return mapping.tiebreak_requests(mapped, profiles, BY_KIND)
 
 
-@query("benchmark_accuracy")
+TRUTH = [(KINDS[e], entry_["source_column"], name)
+         for e, spec in (("customers", CUSTOMER_SPEC), ("invoices", INVOICE_SPEC), ("tickets", TICKET_SPEC))
+         for name, entry_ in spec.items()]
+PREDICTED = {
+    **RANKED,
+    "truth": f"select * from (values {oracle_mapping.truth_values(TRUTH)}) t(source_kind, column_name, truth)",
+    "listed": "select source_kind, column_name, list(field order by rank) as ranked from ranked group by 1, 2",
+    "named": "select source_kind, column_name, list(field order by rank) as ranked from by_name group by 1, 2",
+    "answers": "select source_kind, column_name, 'UNKNOWN' as field from mapped where bucket = 'unmapped' and length(column_name) % 2 = 0",
+    "predictions": "select 'name' as pass, source_kind, column_name, truth, ranked[1] as predicted, ranked from named left join truth using (source_kind, column_name) "
+    "union all select 'combined', source_kind, column_name, truth, case when bucket <> 'unmapped' then ranked[1] end, ranked "
+    "from listed join mapped using (source_kind, column_name) left join truth using (source_kind, column_name) "
+    "union all select 'full', source_kind, column_name, truth, ranked[1], ranked "
+    "from listed join mapped using (source_kind, column_name) left join truth using (source_kind, column_name)",
+}
+
+
+@query("benchmark_accuracy", oracle.with_clause(PREDICTED) + oracle_mapping.accuracy_sql("predictions"))
 def benchmark_accuracy(spark, sf):
-    """Name-only and combined ranking of the extracts' columns against the specs
-    that load them; columns no spec uses have no true field."""
+    """Name-only, combined and full-pass ranking of the extracts' columns against the specs that load them; columns no
+    spec uses have no true field. In the full pass every other undecided column is answered UNKNOWN."""
     profiles = reliable(all_profiles(spark, sf))
-    truth = [(KINDS[e], entry_["source_column"], name)
-             for e, spec in (("customers", CUSTOMER_SPEC), ("invoices", INVOICE_SPEC), ("tickets", TICKET_SPEC))
-             for name, entry_ in spec.items()]
-    true = F.broadcast(spark.createDataFrame(truth, "source_kind string, column_name string, truth string"))
+    true = F.broadcast(spark.createDataFrame(TRUTH, "source_kind string, column_name string, truth string"))
     combined = mapping.score_columns(profiles, BY_KIND)
+    mapped = reliable(mapping.column_mappings(combined, BY_KIND))
     named = mapping.baseline_ranking(profiles.select("source_kind", "column_name"), BY_KIND)
-    passes = {
-        "name": evaluate.rankings(named, BY_KIND),
-        "combined": evaluate.rankings(combined, BY_KIND, mapping.column_mappings(combined, BY_KIND)),
-    }
+    best = evaluate.rankings(combined, BY_KIND, mapped)
+    asked = mapped.where((F.col("bucket") == "unmapped") & (F.length("column_name") % 2 == 0)).select(*BY_KIND, "column_name", F.lit("UNKNOWN").alias("field"))
+    passes = {"name": evaluate.rankings(named, BY_KIND), "combined": best, "full": evaluate.full_pass(best, asked, BY_KIND)}
     parts = [df.join(true, [*BY_KIND, "column_name"], "left").withColumn("pass", F.lit(n)) for n, df in passes.items()]
-    return evaluate.mapping_accuracy(parts[0].unionByName(parts[1]), ["pass"])
+    return evaluate.mapping_accuracy(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["pass"])
 
 
 # Parts stand for scored columns: one spec per brand, each part a column of it.
