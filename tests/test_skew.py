@@ -18,9 +18,26 @@ def test_spread_lookup_with_hot_and_null_keys(spark):
         spark.createDataFrame([("hot", 999)], "key string, v long"))
     lookup = names.join(key_counts(facts, ["key"]), "key")
     plain = {(r.row, r.v) for r in facts.join(names, "key", "left").select("row", "v").collect()}
-    for hot_rows in (10, 500, 10**9):
-        got = spread_lookup(facts, lookup, ["key"], ["row"], hot_rows).collect()
-        assert len(got) == 3000 and {(r.row, r.v) for r in got} == plain
+    got = spread_lookup(facts, lookup, ["key"], ["row"]).collect()
+    assert len(got) == 3000 and {(r.row, r.v) for r in got} == plain
+
+
+def test_adaptive_execution_splits_a_hot_key(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        facts = spark.range(0, 60000, 1, 8).select(F.col("id").alias("row"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("key"))
+        lookup = spark.range(60000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
+        joined = spread_lookup(facts, lookup, ["key"], ["row"])
+        assert len(joined.collect()) == 60000 and joined.where("v = 2 * key").count() == 60000
+        joined.collect()
+        assert "skew" in joined._jdf.queryExecution().executedPlan().toString().lower()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def test_suggestions_match_brute_force(spark):
@@ -94,7 +111,7 @@ def test_candidates_match_brute_force_at_every_threshold(spark):
         return found
 
     for threshold in (0.5, 0.02, 0.0):
-        got = dedupe.duplicate_candidates(people, threshold, hot_rows=5, tile_rows=4).collect()
+        got = dedupe.duplicate_candidates(people, threshold, tile_rows=4).collect()
         assert {(r.customer_id_a, r.customer_id_b): r.match_probability for r in got} == brute(threshold)
         assert len(got) == len(brute(threshold))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.hashing import stable_id
 from tidewright.functions.similarity import jaro_winkler_udf
-from tidewright.operators.joins import HOT_ROWS, key_counts, spread_lookup
+from tidewright.operators.joins import key_counts, spread_lookup
 from tidewright.session import reliable
 
 # Prior odds and (match, non-match) probability per level.
@@ -57,7 +57,7 @@ def signatures(customers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, groups.select(*key, "id")
 
 
-def blocked_pairs(sigs: DataFrame, block: Column, hot_rows: int = HOT_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def blocked_pairs(sigs: DataFrame, block: Column, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs of signatures that share a block, each once, small id first.
 
     A large block is cut into tiles of about `tile_rows` and the self-join runs
@@ -67,7 +67,7 @@ def blocked_pairs(sigs: DataFrame, block: Column, hot_rows: int = HOT_ROWS, tile
     key = ["tenant_id", "_block"]
     sizes = key_counts(blocked, key).where(F.col("_facts") > 1)
     tiles = F.ceil(F.col("_facts") / F.lit(tile_rows)).cast("int")
-    sized = spread_lookup(blocked, sizes.withColumn("_tiles", tiles), key, ["id"], hot_rows).where(
+    sized = spread_lookup(blocked, sizes.withColumn("_tiles", tiles), key, ["id"]).where(
         F.col("_tiles").isNotNull()
     )
     tiled = sized.withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
@@ -138,7 +138,7 @@ def _leveled(pairs: DataFrame) -> DataFrame:
 
 
 def duplicate_candidates(
-    customers: DataFrame, threshold: float = 0.5, blank_is_null: bool = False, hot_rows: int = HOT_ROWS,
+    customers: DataFrame, threshold: float = 0.5, blank_is_null: bool = False,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """(tenant_id, customer_id_a, customer_id_b, match_probability) at or above the threshold.
@@ -168,7 +168,7 @@ def duplicate_candidates(
         blocks.append((name_block, ~by_email))
     found = None
     for block, condition in blocks:
-        scored = _score(_leveled(blocked_pairs(sigs, block, hot_rows, tile_rows).where(condition)), blank_is_null)
+        scored = _score(_leveled(blocked_pairs(sigs, block, tile_rows).where(condition)), blank_is_null)
         found = scored if found is None else found.unionByName(scored)
     copies = members.where(F.col("customer_id") != F.col("representative"))
     as_pair = lambda i: F.struct(F.col(i).alias("id"), "legal_name", "email", "country")
@@ -259,7 +259,7 @@ def conflicting_merges(chosen: DataFrame, customers: DataFrame) -> DataFrame:
     return chosen.join(complete, ["tenant_id", "customer_id_a", "customer_id_b"], "left_anti")
 
 
-def repoint(records: DataFrame, merges: DataFrame, row_id: str = "id", hot_rows: int = HOT_ROWS) -> DataFrame:
+def repoint(records: DataFrame, merges: DataFrame, row_id: str = "id") -> DataFrame:
     """Records of merged customers, given to the winner.
 
     A merged customer may own a third of the records: these are spread.
@@ -267,7 +267,7 @@ def repoint(records: DataFrame, merges: DataFrame, row_id: str = "id", hot_rows:
     on = ["tenant_id", "customer_id"]
     losers = merges.select("tenant_id", F.col("loser").alias("customer_id"), "winner")
     moved = losers.join(key_counts(records, on), on)
-    joined = spread_lookup(records, moved, on, [row_id], hot_rows)
+    joined = spread_lookup(records, moved, on, [row_id])
     return joined.withColumn("customer_id", F.coalesce("winner", "customer_id")).select(*records.columns)
 
 

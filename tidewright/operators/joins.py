@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.session import reliable
-
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1024
 SPREAD = 4096
 
 
@@ -33,45 +29,22 @@ def key_counts(facts: DataFrame, on: Sequence[str], into: str = "_facts") -> Dat
     return facts.where(_all_set(on)).groupBy(*on).agg(F.count(F.lit(1)).alias(into))
 
 
-def spread_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    row_id: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """`facts LEFT JOIN lookup`, where `lookup` has one row per key.
-
-    `lookup` carries `_facts`, the number of fact rows per key (`key_counts`).
-    It is written to the checkpoint folder once, since it is read twice: for the
-    hot keys and for the join. The keys with at least `hot_rows` facts, never
-    more than 1,024, meet the facts in a broadcast. All other rows are joined by
-    a shuffle in which rows with a hot or null key are spread by `row_id`, so no
-    task gets a hot key. Keys past the 1,024 largest hold under 1/1024 of the rows.
+def spread_lookup(facts: DataFrame, lookup: DataFrame, on: Sequence[str], row_id: Sequence[str]) -> DataFrame:
+    """`facts LEFT JOIN lookup`, where `lookup` has one row per key (and perhaps
+    `_facts`, their number, which is left out).
+
+    Rows with a null key match nothing; they are spread by `row_id`. A hot key
+    makes a large shuffle partition of facts, which adaptive execution splits,
+    whatever the number of such keys: its one lookup row goes to each part.
     """
-    lookup = reliable(lookup)
     values = [c for c in lookup.columns if c not in (*on, "_facts")]
-    hot = (
-        lookup.where(F.col("_facts") >= hot_rows)
-        .orderBy(F.desc("_facts"), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.struct(*values).alias("_hot"))
-    )
-    settled = ~_all_set(on)
-    left = facts
-    if hot.head(1):
-        left = facts.join(F.broadcast(hot), list(on), "left")
-        settled = settled | F.col("_hot").isNotNull()
-    spread = F.when(settled, 1 + F.pmod(F.xxhash64(*row_id), F.lit(SPREAD))).otherwise(0).alias("_spread")
-    left = left.select("*", *[F.when(~settled, F.col(c)).alias(f"_k{i}") for i, c in enumerate(on)], spread)
-    right = lookup.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)],
-        F.lit(0).cast("bigint").alias("_spread"),
-        F.struct(*values).alias("_cold"),
-    )
-    joined = left.join(right, [*[f"_k{i}" for i in range(len(on))], "_spread"], "left")
-    found = F.coalesce("_hot", "_cold") if "_hot" in left.columns else F.col("_cold")
-    return joined.select(*[F.col(c) for c in facts.columns], *[found[v].alias(v) for v in values])
+    keys = [f"_k{i}" for i in range(len(on))]
+    spread = F.when(_all_set(on), 0).otherwise(1 + F.pmod(F.xxhash64(*row_id), F.lit(SPREAD))).cast("bigint")
+    left = facts.select("*", *[F.when(_all_set(on), F.col(c)).alias(k) for c, k in zip(on, keys)], spread.alias("_spread"))
+    right = lookup.select(*[F.col(c).alias(k) for c, k in zip(on, keys)], F.lit(0).cast("bigint").alias("_spread"),
+                          *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)])
+    joined = left.join(right, [*keys, "_spread"], "left")
+    return joined.select(*facts.columns, *[F.col(f"_v{i}").alias(v) for i, v in enumerate(values)])
 
 
 def spread_nulls(df: DataFrame, key: str, row_id: Sequence[str]) -> DataFrame:

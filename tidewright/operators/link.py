@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewright import registry
 from tidewright.functions.similarity import indel_ratio_udf
 from tidewright.functions.text import digits_key
-from tidewright.operators.joins import HOT_ROWS, key_counts, spread_lookup, spread_nulls
+from tidewright.operators.joins import key_counts, spread_lookup, spread_nulls
 from tidewright.operators.records import ERRORS, error, tables_of
 
 SUGGEST_AT = 85
@@ -57,7 +57,7 @@ def resolve_keys(keys: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def link_customers(
-    rows: DataFrame, spec: Mapping[str, dict], customers: DataFrame, hot_rows: int = HOT_ROWS
+    rows: DataFrame, spec: Mapping[str, dict], customers: DataFrame
 ) -> DataFrame:
     """Add `link_key` and `customer_id`; unresolved keys are REF_INTEGRITY_ORPHAN_FK.
 
@@ -69,7 +69,7 @@ def link_customers(
         return keyed.withColumn("customer_id", F.lit(None).cast("string"))
     on = ["tenant_id", "link_key"]
     answers = resolve_keys(key_counts(keyed, on), customers).drop("match")
-    linked = spread_lookup(keyed, answers, on, ["batch_id", "row_index"], hot_rows)
+    linked = spread_lookup(keyed, answers, on, ["batch_id", "row_index"])
     orphan = F.col("link_key").isNotNull() & F.col("customer_id").isNull()
     found = F.when(orphan, F.array(error("customer_id", "REF_INTEGRITY_ORPHAN_FK", F.col("link_key"))))
     return linked.withColumn("errors", F.concat("errors", F.coalesce(found, F.array().cast(ERRORS))))

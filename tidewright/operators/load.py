@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from tidewright import registry
 from tidewright.functions.hashing import stable_id, values_hash
 from tidewright.functions.text import distinct_codes, explanation
-from tidewright.operators.joins import HOT_ROWS, key_counts, latest_per_key, spread_lookup
+from tidewright.operators.joins import key_counts, latest_per_key, spread_lookup
 from tidewright.operators.link import link_customers, suggest_customer_fix
 from tidewright.operators.records import apply_spec, hold, ordered_fields, require_natural_keys, tables_of
 from tidewright.operators.validate import check_records, flag_duplicates
+from tidewright.session import reliable
 
 QUARANTINE_COLUMNS = (
     "id", "tenant_id", "batch_id", "row_index", "raw", "error_codes", "severity", "explanation", "suggested_fix",
@@ -32,20 +33,21 @@ def annotate(
     customers: DataFrame,
     as_of: date | Column | None = None,
     detect_duplicates: bool = True,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Raw rows with typed records, the resolved customer and all errors.
 
-    `raw` needs tenant_id, batch_id, row_index and `raw` (map of cells).
+    `raw` needs tenant_id, batch_id, row_index and `raw` (map of cells). Cells
+    are parsed once: the typed rows are stored, and what looks back at all rows
+    (repeated keys, key counts, the batch's own customers) reads a few columns.
     """
     require_natural_keys(spec)
-    rows = check_records(apply_spec(raw, spec), spec, as_of)
+    rows = reliable(check_records(apply_spec(raw, spec), spec, as_of))
     if detect_duplicates:
         rows = flag_duplicates(rows, spec)
     tables = tables_of(spec)
     if "customers" in tables and len(tables) > 1:
         customers = with_own_customers(rows, customers)
-    return hold(link_customers(rows, spec, customers, hot_rows), "errors")
+    return hold(link_customers(rows, spec, customers), "errors")
 
 
 def with_own_customers(rows: DataFrame, customers: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def rejected(annotated: DataFrame) -> DataFrame:
     return annotated.where(F.size("errors") > 0)
 
 
-def quarantine_rows(annotated: DataFrame, customers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def quarantine_rows(annotated: DataFrame, customers: DataFrame) -> DataFrame:
     """Quarantine entries for the rejected rows, with a suggested fix for orphans."""
     bad = rejected(annotated)
     orphan = F.exists("errors", lambda e: e["code"] == "REF_INTEGRITY_ORPHAN_FK")
@@ -78,7 +80,7 @@ def quarantine_rows(annotated: DataFrame, customers: DataFrame, hot_rows: int =
     counts = key_counts(bad, on)
     fixes = suggest_customer_fix(counts.withColumnRenamed("_orphan_key", "link_key"), customers)
     fixes = fixes.select("tenant_id", F.col("link_key").alias("_orphan_key"), "suggested_fix").join(counts, on)
-    bad = spread_lookup(bad, fixes, on, ["batch_id", "row_index"], hot_rows)
+    bad = spread_lookup(bad, fixes, on, ["batch_id", "row_index"])
     return bad.select(
         stable_id(F.col("batch_id"), F.col("row_index").cast("string")).alias("id"),
         "tenant_id",

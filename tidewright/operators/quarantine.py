@@ -8,7 +8,6 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.joins import HOT_ROWS
 from tidewright.operators.load import QUARANTINE_COLUMNS, accepted, annotate, quarantine_rows
 
 
@@ -52,7 +51,6 @@ def reprocess(
     customers: DataFrame,
     corrections: Mapping[str, str | None],
     as_of: date | Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Corrected rows of one source, checked again in one set-based run.
 
@@ -63,7 +61,7 @@ def reprocess(
     if spec is None:
         return chosen.where(F.lit(False)).select("tenant_id", "batch_id", "row_index", "raw")
     rows = chosen.select("tenant_id", "batch_id", "row_index", patched(F.col("raw"), corrections).alias("raw"))
-    return annotate(rows, spec, customers, as_of, detect_duplicates=False, hot_rows=hot_rows)
+    return annotate(rows, spec, customers, as_of, detect_duplicates=False)
 
 
 def resolved_quarantine(quarantine: DataFrame, again: DataFrame, customers: DataFrame) -> DataFrame:
