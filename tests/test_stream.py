@@ -21,5 +21,6 @@ def test_stream_lands_each_page_once(spark, tmp_path):
     drop(2, [{"CustID": "c"}])
     run()
     run()
+    assert ws.read("batches").count() == 2 and ws.read("sources").count() == 1
     rows = ws.raw().orderBy("row_index").collect()
     assert [(r.row_index, r.raw["CustID"]) for r in rows] == [(0, "a"), (1, "b"), (2, "c")]

@@ -6,17 +6,19 @@ A stage that is run again after a failure, or on purpose, changes nothing more.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright import registry
-from tidewright.operators import dedupe, landing, load, mapping, profile, quarantine
+from tidewright.operators import dedupe, landing, load, mapping, metrics, profile, quarantine
 from tidewright.operators.records import tables_of
 from tidewright.session import reliable
-from tidewright.sources import delimited
+from tidewright.sources import delimited, pages
 from tidewright.sources.state import State
 
 SOURCES = "id string, tenant_id string, name string, kind string"
@@ -38,6 +40,7 @@ CANDIDATES = (
 )
 
 
+REQUESTS = "tenant_id string, endpoint string, key string, fingerprint string, result string"
 CANONICAL = ("customers", "accounts", "invoices", "support_tickets")
 
 
@@ -45,6 +48,10 @@ class UnknownBatch(LookupError):
     """No such batch."""
 
 
+class RequestConflict(ValueError):
+    """The key was used before, for something else."""
+
+
 class NoConfirmedSpec(ValueError):
     """The batch's source has no confirmed mapping spec."""
 
@@ -55,7 +62,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         schemas = {"sources": SOURCES, "batches": BATCHES, "mapping_specs": SPECS, "quarantine": QUARANTINE,
-                   "duplicate_candidates": CANDIDATES}
+                   "duplicate_candidates": CANDIDATES, "requests": REQUESTS}
         for t in CANONICAL:
             schemas[t] = ", ".join(f"{c} {k}" for c, k in registry.table_schema(t))
         self.state = State(spark, self.root, schemas)
@@ -92,6 +99,29 @@ class Workspace:
          .partitionBy("tenant_id", "batch_id").parquet(f"{self.root}/{name}"))
 
 
+def once(ws: Workspace, tenant_id: str, endpoint: str, key: str | None, fingerprint: str, stage: Callable[[], Any]) -> tuple[str, Any]:
+    """Run a stage at most once per (tenant, endpoint, key); returns (new or replay, its JSON result).
+
+    The outcome is committed together with all the stage's tables: a stage that breaks off leaves neither, and the same
+    key runs it again. A finished key replays its result; with another fingerprint it is refused. Without a key the
+    stage always runs.
+    """
+    form = "tenant_id string, endpoint string, key string, fingerprint string"
+    asked = ws.spark.createDataFrame([(tenant_id, endpoint, key, fingerprint)], form)
+    known = landing.request_outcomes(asked, ws.read("requests", tenant_id)).first()
+    if known["status"] == "conflict":
+        raise RequestConflict(f"{endpoint}: key {key} was used for another request")
+    if known["status"] == "replay":
+        return "replay", json.loads(known["result"])
+    with ws.state.transaction():
+        result = stage()
+        if key is not None:
+            ledger = ws.read("requests", tenant_id)
+            row = asked.withColumn("result", F.lit(json.dumps(result)))
+            ws.commit({"requests": ledger.unionByName(row.select(*ledger.columns))}, tenant_id)
+    return "new", result
+
+
 def land_rows(ws: Workspace, rows: DataFrame, files: DataFrame, tenant_id: str, source_name: str, kind: str) -> DataFrame:
     """Land raw rows (path, row_index, raw) of files (path, file_hash, ...).
 
@@ -138,6 +168,21 @@ def land_folder(ws: Workspace, folder: str, tenant_id: str, source_name: str, ki
     return land_rows(ws, rows, files, tenant_id, source_name, kind)
 
 
+def land_pull(ws: Workspace, folder: str, tenant_id: str, source_name: str, kind: str = "crm", filename: str = "pull.json") -> DataFrame:
+    """Land the pages of a complete API pull as one batch; a pull that lacks pages or has no items is refused."""
+    rows = reliable(pages.read_pull(ws.spark, folder).select(F.lit(filename).alias("path"), "row_index", "raw"))
+    if rows.isEmpty():
+        raise ValueError(f"the pull in {folder} has no items")
+    return land_pages(ws, rows, tenant_id, source_name, kind)
+
+
+def land_pages(ws: Workspace, rows: DataFrame, tenant_id: str, source_name: str, kind: str) -> DataFrame:
+    """Land items (path, row_index, raw), one batch per path."""
+    files = landing.payload_fingerprints(rows, ["path"]).select(
+        "path", "file_hash", F.lit("UTF-8").alias("encoding"), F.lit(None).cast("string").alias("delimiter"))
+    return land_rows(ws, rows, files, tenant_id, source_name, kind)
+
+
 def profile_batch(ws: Workspace, batch_id: str, tenant_id: str) -> DataFrame:
     """Profile a landed batch; a second run replaces the first one's rows."""
     raw = ws.raw(batch_id)
@@ -166,6 +211,20 @@ def propose_spec(ws: Workspace, batch_id: str, tenant_id: str, decisions: DataFr
     return new.first()["id"]
 
 
+def override_spec(ws: Workspace, spec_id: str, patch: Mapping[str, Mapping | None]) -> Row:
+    """Lay entries ({field: {source_column, ...} or None}) over a draft spec, in place; returns its row."""
+    tenant_id = spec_row(ws, spec_id)["tenant_id"]
+    specs = ws.read("mapping_specs", tenant_id)
+    entries = [(name, e and (e["source_column"], e.get("transform") and (e["transform"]["function"], dict(e["transform"].get("params") or {})), None))
+               for name, e in patch.items()]
+    override = ws.spark.createDataFrame([(spec_id, dict(entries))], f"id string, patch map<string,{mapping.ENTRY}>")
+    after = reliable(mapping.patch_specs(specs, override))
+    if after.where(F.col("id") == spec_id).first()["_patch"] != "patched":
+        raise ValueError(f"spec {spec_id} is not a draft")
+    ws.write("mapping_specs", after.select(*specs.columns), tenant_id)
+    return spec_row(ws, spec_id)
+
+
 def spec_row(ws: Workspace, spec_id: str) -> Row:
     row = ws.read("mapping_specs").where(F.col("id") == spec_id).first()
     if row is None:
@@ -241,6 +300,41 @@ def bulk_fix(
     return quarantine.bulk_counts(ws.read("quarantine", tenant_id), chosen)
 
 
+def _entry(ws: Workspace, tenant_id: str, entry_id: str) -> DataFrame:
+    chosen = reliable(ws.read("quarantine", tenant_id).where(F.col("id") == entry_id))
+    if chosen.isEmpty():
+        raise LookupError(f"no quarantine entry {entry_id}")
+    return chosen
+
+
+def _ignore(ws: Workspace, tenant_id: str, chosen: DataFrame) -> int:
+    entries = ws.read("quarantine", tenant_id)
+    mine = chosen.select("id").withColumn("_chosen", F.lit(True))
+    marked = quarantine.ignore(entries.join(mine, "id", "left"), F.coalesce("_chosen", F.lit(False)))
+    ws.write("quarantine", marked.select(*entries.columns), tenant_id)
+    return chosen.count()
+
+
+def ignore_entry(ws: Workspace, tenant_id: str, entry_id: str) -> None:
+    """Set one entry aside."""
+    _ignore(ws, tenant_id, _entry(ws, tenant_id, entry_id))
+
+
+def bulk_ignore(ws: Workspace, tenant_id: str, error_code: str) -> int:
+    """Set all open entries with a code aside; returns their number."""
+    return _ignore(ws, tenant_id, reliable(quarantine.with_code(ws.read("quarantine", tenant_id), tenant_id, error_code)))
+
+
+def resolve_entry(
+    ws: Workspace, tenant_id: str, entry_id: str, corrections: Mapping[str, str | None], as_of: date | None = None, loaded_at: Column | None = None
+) -> Row:
+    """Correct and reload one entry; returns its row, resubmitted or still open with its new errors."""
+    chosen = _entry(ws, tenant_id, entry_id)
+    confirmed_spec(ws, chosen.first()["batch_id"])  # refused without one
+    _reprocess(ws, tenant_id, chosen, corrections, as_of, loaded_at)
+    return _entry(ws, tenant_id, entry_id).first()
+
+
 def _reprocess(
     ws: Workspace, tenant_id: str, chosen: DataFrame, corrections: Mapping[str, str | None], as_of: date | None, loaded_at: Column | None
 ) -> None:
@@ -283,3 +377,29 @@ def merge(ws: Workspace, pairs: DataFrame) -> DataFrame:
         "duplicate_candidates": dedupe.mark_merged(ws.read("duplicate_candidates", tenants), pairs),
     }, tenants)
     return merges
+
+
+def list_duplicates(ws: Workspace, tenant_id: str, status: str | None = "open") -> DataFrame:
+    return dedupe.list_candidates(ws.read("duplicate_candidates", tenant_id), tenant_id, status)
+
+
+def dismiss(ws: Workspace, tenant_id: str, candidate_ids: Sequence[str]) -> None:
+    """Mark candidate pairs as no duplicates."""
+    table = ws.read("duplicate_candidates", tenant_id)
+    known = table.where(F.col("id").isin(list(candidate_ids))).count()
+    if known != len(set(candidate_ids)):
+        raise LookupError("no such duplicate candidate")
+    ws.write("duplicate_candidates", dedupe.dismiss(table, F.col("id").isin(list(candidate_ids))), tenant_id)
+
+
+def tenant_metrics(ws: Workspace, tenants: Sequence[str] | None = None) -> DataFrame:
+    """Counts of all state tables per tenant; tenants asked for without data have zeros."""
+    asked = None if tenants is None else ws.spark.createDataFrame([(t,) for t in tenants], "tenant_id string")
+    tables = {t: ws.read(t, tenants) for t, _ in metrics.METRICS.values()}
+    return metrics.tenant_metrics(tables, asked)
+
+
+def report(ws: Workspace, batch_id: str) -> dict[str, DataFrame]:
+    """Report tables of a landed batch: overview, value counts, top values and histograms of its columns."""
+    raw = ws.raw(batch_id, ws.batch(batch_id)["tenant_id"])
+    return {"profile": profile.profile_raw(raw), "values": profile.value_counts(profile.cells_of_raw(raw))}

@@ -14,7 +14,8 @@ One stage per tenant is expected to write at a time; of two the later one stays.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,29 @@ POINTERS = "seq bigint, table string, tenant_id string, generation string"
 class State:
     def __init__(self, spark: SparkSession, root: str, schemas: Mapping[str, str]):
         self.spark, self.root, self.schemas = spark, root.rstrip("/"), dict(schemas)
+        self._open: list[tuple[int, str, str, str]] | None = None  # pointers of a transaction, not yet committed
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """Commits inside become visible to others together, at the end, or not at all if it breaks off; the
+        transaction itself reads what it has written."""
+        if self._open is not None:
+            raise RuntimeError("a transaction is open")
+        self._open = []
+        try:
+            yield
+            if self._open:
+                last = {(t, tenant): (0, t, tenant, g) for _, t, tenant, g in self._open}
+                self._append(self.spark.createDataFrame(list(last.values()), POINTERS).drop("seq"), None)
+        finally:
+            self._open = None
+
+    def _append(self, rows: DataFrame, generation: str | None) -> None:
+        seq = (self.pointers().agg(F.max("seq")).first()[0] or 0) + 1
+        if generation is not None:
+            rows = rows.withColumn("generation", F.lit(generation))
+        rows = rows.select(F.lit(seq).cast("bigint").alias("seq"), "table", "tenant_id", "generation")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/pointers")
 
     def pointers(self) -> DataFrame:
         """All pointers ever committed."""
@@ -41,6 +65,10 @@ class State:
     def current(self, table: str, tenants: Sequence[str] | None = None) -> DataFrame:
         """(tenant_id, generation): where the tenants of a table are now."""
         mine = self.pointers().where(F.col("table") == table)
+        if self._open:
+            last = {(t, tenant): (10**15 + i, t, tenant, g) for i, (_, t, tenant, g) in enumerate(self._open) if t == table}
+            if last:
+                mine = mine.unionByName(self.spark.createDataFrame(list(last.values()), POINTERS))
         if tenants is not None:
             mine = mine.where(F.col("tenant_id").isin(list(tenants)))
         return mine.groupBy("tenant_id").agg(F.max_by("generation", F.struct("seq", "generation")).alias("generation"))
@@ -86,9 +114,10 @@ class State:
         rows = moved[0]
         for more in moved[1:]:
             rows = rows.unionByName(more)
-        seq = (self.pointers().agg(F.max("seq")).first()[0] or 0) + 1
-        rows = rows.select(F.lit(seq).cast("bigint").alias("seq"), "table", "tenant_id", F.lit(generation).alias("generation"))
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/pointers")
+        if self._open is None:
+            self._append(rows, generation)
+        else:  # one row per tenant that the transaction touches
+            self._open += [(0, r["table"], r["tenant_id"], generation) for r in rows.collect()]
 
     def vacuum(self) -> int:
         """Remove the generations that no tenant is in any more, and tell how many. Readers must have ended."""
