@@ -31,3 +31,27 @@ def test_quantiles_of_odd_columns(spark):
     assert [report["none"][k] for k in NAMES] == [None] * 5 and report["none"]["missing"] == 207
     empty = profile.numeric_report(df.limit(0), ["x"]).collect()
     assert len(empty) == 1 and empty[0]["rows"] == 0 and empty[0]["p50"] is None
+
+
+def test_states_merge_to_the_profile_of_all_cells(spark):
+    r = random.Random(8)
+    pool = ["", " ", None, "2024-01-05", "5/6/2024", "31-12-2023", "7", "-3", "1e5", "a@b.c", "+1 555 0100", "EUR", "é", "ÀÉ", "x" * 300, *(f"v{i}" for i in range(90))]
+    rows = [(batch, column, r.choice(pool[: r.choice([3, 16, len(pool)])])) for batch in range(5) for column in "abc" for _ in range(r.randrange(1, 120))]
+    rows += [(9, "none", None), (9, "two", "b"), (9, "two", "a"), (9, "two", "a")]
+    cells = spark.createDataFrame(rows, "batch int, column_name string, value string").repartition(7)
+    whole = {x["column_name"]: x.asDict() for x in profile.profile(cells.drop("batch")).collect()}
+    numbers, hashes = profile.states(cells, ["batch"])
+    halves = [profile.merge_states(numbers.where(c), hashes.where(c)) for c in ("batch < 3", "batch >= 3")]
+    merged = profile.merge_states(halves[0][0].unionByName(halves[1][0]), halves[0][1].unionByName(halves[1][1]))
+    assert {x["column_name"]: x.asDict() for x in profile.profile_of_states(*merged).collect()} == whole
+    for column, got in whole.items():
+        values = [v for _, c, v in rows if c == column]
+        filled = [v for v in values if v is not None]
+        assert (got["row_count"], got["null_count"], got["distinct_count"]) == (len(values), len(values) - len(filled), len(set(filled)))
+        assert got["sample_values"] == sorted(set(filled), key=lambda v: v.encode())[:5]
+        share = lambda test: sum(map(test, filled)) / len(filled) if filled else 0.0
+        assert math.isclose(got["currency_code_match_fraction"], share(lambda v: len(v) == 3 and v.isascii() and v.isalpha()))
+        assert math.isclose(got["date_parse_fraction"], share(lambda v: v in ("2024-01-05", "5/6/2024", "31-12-2023")))
+    one = {(x["batch"], x["column_name"]) for x in profile.profile(cells, ["batch"]).collect()}
+    assert one == {(b, c) for b, c, _ in rows}
+    assert profile.profile(cells.limit(0).drop("batch")).count() == 0

@@ -1,8 +1,8 @@
-"""Column profiles: every statistic of every column from one shuffle of values.
+"""Column profiles: every statistic of every column, from states that add up.
 
-Rows become (column, value) pairs which are counted map-side; all statistics
-are then taken over distinct values weighted by their counts. A value, even
-blank, that fills a third of the rows travels once per map task.
+Rows become (column, value) pairs; they are tested and counted where they lie,
+and only numbers, hashes of distinct values and a few small values are shuffled.
+The states of batches merge into the profile of all of them, without their cells.
 """
 
 from __future__ import annotations
@@ -52,49 +52,73 @@ def value_counts(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return cells.groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def profile(cells: DataFrame, by: Sequence[str] = (), total_rows: DataFrame | None = None) -> DataFrame:
-    """The 13 statistics, one row per (by..., column).
-
-    Landed rows may lack a key altogether; `total_rows` (by..., rows) then says
-    how many rows there are, and absent keys count as null.
-    """
-    group = [*by, "column_name"]
-    v, n = F.col("value"), F.col("n")
-    tests = {
+def _tests(v: Column) -> dict[str, Column]:
+    return {
         "date_parse": _is_date(v),
         "int_parse": v.rlike(INTEGER) & v.try_cast("bigint").isNotNull(),
-        "float_parse": F.lower(v).rlike(FLOAT),
+        "float_parse": v.rlike(f"(?i){FLOAT}"),
         "email_match": v.rlike(EMAIL),
         "phone_match": v.rlike(PHONE),
         "currency_code_match": v.rlike(CURRENCY),
     }
-    distinct = value_counts(cells, by)
-    passed = [F.sum(F.when(v.isNotNull() & test, n).otherwise(0)).alias(name) for name, test in tests.items()]
-    totals = distinct.groupBy(*group).agg(
-        F.sum(n).alias("_rows"),
-        F.sum(F.when(v.isNull(), n).otherwise(0)).alias("_nulls"),
-        F.count("value").alias("distinct_count"),
-        *passed,
-    )
-    first = Window.partitionBy(*group).orderBy("value")
-    # `row_number() <= 5` is cut to five per map task before the shuffle
-    samples = (
-        distinct.where(v.isNotNull())
-        .withColumn("_rank", F.row_number().over(first))
-        .where(F.col("_rank") <= SAMPLES)
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
-    )
+
+
+BUCKETS = 64
+
+
+def states(cells: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Mergeable profile states of some cells, which are small beside them: (numbers, hashes).
+
+    `numbers` has a row per (by..., column): `rows`, `nulls`, how many values pass each test, and the five smallest
+    values. `hashes` has the distinct values as 128-bit hashes. Tests are summed map-side; what is shuffled is a few
+    numbers and 16-byte hashes, and of the texts only those that may be among the five smallest: values are dealt into
+    64 buckets, the fifth smallest of the buckets' minima bounds the fifth smallest value.
+    """
+    group = [*by, "column_name"]
+    v = F.col("value")
+    passed = [F.count_if(test).alias(name) for name, test in _tests(v).items()]
+    # one pass gives the numbers and the minima; their shuffle is used twice
+    dealt = cells.groupBy(*group, F.pmod(F.xxhash64(v), F.lit(BUCKETS)).alias("_bucket")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(v.isNull()).alias("nulls"), *passed, F.min(v).alias("_min"))
+    numbers = dealt.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("rows", "nulls", *FRACTIONS)])
+    valued = cells.where(v.isNotNull())
+    hashes = valued.select(*group, F.unhex(F.md5(v)).alias("hash")).distinct()
+    bound = dealt.groupBy(*group).agg(F.array_sort(F.collect_list("_min")).alias("_mins")).select(
+        *group, F.when(F.size("_mins") >= SAMPLES, F.get("_mins", F.lit(SAMPLES - 1))).alias("_bound"))
+    low = valued.join(bound, group).where(F.col("_bound").isNull() | (v <= F.col("_bound"))).select(*group, "value").distinct()
+    return numbers.join(_smallest(low, group), group, "left"), hashes
+
+
+def _smallest(values: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The five smallest of distinct values; `row_number() <= 5` is cut to five per map task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("value"))
+    return values.withColumn("_rank", rank).where(F.col("_rank") <= SAMPLES).groupBy(*group).agg(
+        F.array_sort(F.collect_list("value")).alias("sample_values"))
+
+
+def merge_states(numbers: DataFrame, hashes: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The states of several batches (in union) as one, without their cells. States of states merge alike."""
+    group = [*by, "column_name"]
+    summed = numbers.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("rows", "nulls", *FRACTIONS)])
+    samples = _smallest(numbers.select(*group, F.explode("sample_values").alias("value")).distinct(), group)
+    return summed.join(samples, group, "left"), hashes.select(*group, "hash").distinct()
+
+
+def profile_of_states(numbers: DataFrame, hashes: DataFrame, by: Sequence[str] = (), total_rows: DataFrame | None = None) -> DataFrame:
+    """The 13 statistics of a state, one row per (by..., column); `total_rows` as for `profile`."""
+    group = [*by, "column_name"]
+    distinct = hashes.groupBy(*group).agg(F.count(F.lit(1)).alias("distinct_count"))
+    counted = numbers.join(distinct, group, "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("bigint")))
     if total_rows is None:
-        counted = totals.withColumn("row_count", F.col("_rows"))
+        counted = counted.withColumn("row_count", F.col("rows"))
     elif by:
-        counted = totals.join(total_rows.withColumnRenamed("rows", "row_count"), list(by))
+        counted = counted.join(total_rows.select(*by, F.col("rows").alias("row_count")), list(by))
     else:
-        counted = totals.withColumn("row_count", F.lit(total_rows.first()["rows"]))
-    filled = F.col("_rows") - F.col("_nulls")
+        counted = counted.withColumn("row_count", F.lit(total_rows.first()["rows"]))
+    filled = F.col("rows") - F.col("nulls")
     share = lambda c: F.when(filled > 0, F.col(c) / filled).otherwise(F.lit(0.0))
     null_count = F.col("row_count") - filled
-    return counted.join(samples, group, "left").select(
+    return counted.select(
         *group,
         "row_count",
         null_count.alias("null_count"),
@@ -106,6 +130,15 @@ def profile(cells: DataFrame, by: Sequence[str] = (), total_rows: DataFrame | No
     )
 
 
+def profile(cells: DataFrame, by: Sequence[str] = (), total_rows: DataFrame | None = None) -> DataFrame:
+    """The 13 statistics, one row per (by..., column).
+
+    Landed rows may lack a key altogether; `total_rows` (by..., rows) then says
+    how many rows there are, and absent keys count as null.
+    """
+    return profile_of_states(*states(cells, by), by, total_rows)
+
+
 def profile_raw(raw: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame:
     """Profiles of landed batches."""
     totals = raw.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))

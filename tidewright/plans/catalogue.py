@@ -499,6 +499,17 @@ def profile_by_batch(spark, sf):
     return profile.profile_raw(picked).select("batch_id", "column_name", "row_count", "distinct_count")
 
 
+@query("profile_merged", oracle.with_clause({"cells": oracle.cells_sql("from events", ["event_type", "user_id", "ts", "value", "props"])}) + oracle.profile_sql("cells"))
+def profile_merged(spark, sf):
+    """The profile of all events from the stored states of three batches of them, merged in two steps."""
+    cells = profile.cells_of_table(table(spark, sf, "events").select("*", (F.col("event_id") % 3).alias("batch")), ["event_type", "user_id", "ts", "value", "props"], ["batch"])
+    numbers, hashes = (reliable(df) for df in profile.states(cells, ["batch"]))
+    early = profile.merge_states(numbers.where("batch < 2"), hashes.where("batch < 2"))
+    late = profile.merge_states(numbers.where("batch = 2"), hashes.where("batch = 2"))
+    merged = profile.merge_states(early[0].unionByName(late[0]), early[1].unionByName(late[1]))
+    return shown(profile.profile_of_states(*merged))
+
+
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
