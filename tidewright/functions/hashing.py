@@ -20,7 +20,9 @@ def values_hash(values: Sequence[Column]) -> Column:
 
 
 def stable_id(*parts: Column | str) -> Column:
-    return F.sha2(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts]), 256)
+    """sha256 over the parts, each with its length in bytes (`-` for null): no two lists of parts read alike."""
+    texts = [(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
 
 
 def set_fingerprint(hashes: Column, lanes: int = 4) -> Column:

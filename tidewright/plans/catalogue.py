@@ -225,7 +225,7 @@ def quarantine_entries(spark, sf):
 @query("quarantine_with_fixes", oracle.with_clause({
     **INVOICES_CHECKED, "orphans": "select distinct tenant_id, link_key from checked where list_contains(errs, 'customer_id: REF_INTEGRITY_ORPHAN_FK')",
     **oracle_mapping.nearest_ctes("orphans", "customers", link.SUGGEST_AT)}) +
-       f"select sha256(batch_id || '|' || row_index) as id, batch_id, row_index, {oracle.CODES} as error_codes, array_to_string(errs, '; ') as explanation, "
+       f"select {fixtures.id_sql('batch_id', 'row_index::varchar')} as id, batch_id, row_index, {oracle.CODES} as error_codes, array_to_string(errs, '; ') as explanation, "
        "suggested_fix, 'open' as status from checked left join nearest n on n.tenant_id = checked.tenant_id and n.link_key = checked.link_key "
        "and list_contains(errs, 'customer_id: REF_INTEGRITY_ORPHAN_FK') where len(errs) > 0")
 def quarantine_with_fixes(spark, sf):
@@ -567,13 +567,16 @@ FINGERPRINTS = {
 }
 
 
+API, CRM = "'api'", "'crm'"
+
+
 @query("payload_fingerprints", oracle.with_clause(FINGERPRINTS) + "select * from payloads")
 def payload_fingerprints(spark, sf):
     return landing.payload_fingerprints(event_rows(spark, sf), ["tenant_id"])
 
 
 @query("batch_replay", oracle.with_clause(FINGERPRINTS) +
-       "select tenant_id, case when tenant_id < 'n' then 'b-' || tenant_id else sha256(concat_ws('|', tenant_id, 'api', file_hash)) end as batch_id, "
+       f"select tenant_id, case when tenant_id < 'n' then 'b-' || tenant_id else {fixtures.id_sql('tenant_id', API, 'file_hash')} end as batch_id, "
        "tenant_id < 'n' as is_replay, row_count from payloads")
 def batch_replay(spark, sf):
     incoming = landing.payload_fingerprints(event_rows(spark, sf), ["tenant_id"]).withColumn("source_id", F.lit("api"))
@@ -583,7 +586,7 @@ def batch_replay(spark, sf):
 
 
 @query("new_batches", oracle.with_clause(FINGERPRINTS) +
-       "select sha256(concat_ws('|', tenant_id, 'api', file_hash)) as id, tenant_id, 'queued' as status, row_count from payloads where tenant_id >= 'n'")
+       f"select {fixtures.id_sql('tenant_id', API, 'file_hash')} as id, tenant_id, 'queued' as status, row_count from payloads where tenant_id >= 'n'")
 def new_batches(spark, sf):
     incoming = landing.payload_fingerprints(event_rows(spark, sf), ["tenant_id"]).withColumn("source_id", F.lit("api"))
     ledger = incoming.where(F.col("tenant_id") < "n").select(
@@ -592,7 +595,7 @@ def new_batches(spark, sf):
 
 
 @query("register_sources",
-       "select sha256(concat_ws('|', lang, source, 'crm')) as id, lang as tenant_id, source as name, 'crm' as kind from (select distinct lang, source from documents)")
+       f"select {fixtures.id_sql('lang', 'source', CRM)} as id, lang as tenant_id, source as name, 'crm' as kind from (select distinct lang, source from documents)")
 def register_sources(spark, sf):
     seen = table(spark, sf, "documents").select(F.col("lang").alias("tenant_id"), F.col("source").alias("name"), F.lit("crm").alias("kind"))
     empty = spark.createDataFrame([], "id string, tenant_id string, name string, kind string")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions.hashing import stable_id
 from tidewright.operators.joins import use_all_cores
 from tidewright.operators.records import spec_for
 
@@ -179,13 +180,18 @@ def canonical_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as if loaded before: (id, tenant_id, natural_key, ...)."""
     rows = flat(spark, sf_dir, "customers")
     return rows.select(
-        F.sha2(F.concat_ws("|", F.lit("customers"), "tenant_id", "customer_id"), 256).alias("id"),
+        stable_id("customers", F.col("tenant_id"), F.col("customer_id")).alias("id"),
         "tenant_id", F.col("customer_id").alias("natural_key"), F.col("company_name").alias("legal_name"),
         F.nullif("email", F.lit("")).alias("email"), F.nullif(F.trim("country"), F.lit("")).alias("country"),
     )
 
 
+def id_sql(*parts: str) -> str:
+    """The id that `stable_id` gives these SQL expressions of text."""
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({p})) || ':' || {p}, '-')" for p in parts) + "))"
+
+
 CANONICAL_CUSTOMERS_SQL = (
-    "select sha256(concat_ws('|', 'customers', tenant_id, customer_id)) as id, tenant_id, customer_id as natural_key, "
+    f"select {id_sql("'customers'", 'tenant_id', 'customer_id')} as id, tenant_id, customer_id as natural_key, "
     "company_name as legal_name, nullif(email, '') as email, nullif(trim(country), '') as country from raw_customers"
 )
