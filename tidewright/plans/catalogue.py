@@ -567,7 +567,7 @@ FINGERPRINTS = {
 }
 
 
-API, CRM = "'api'", "'crm'"
+API, CRM, PAIR = "'api'", "'crm'", "'pair'"
 
 
 @query("payload_fingerprints", oracle.with_clause(FINGERPRINTS) + "select * from payloads")
@@ -910,7 +910,7 @@ def defect_coverage(spark, sf):
 
 # --- dedupe ------------------------------------------------------------------
 
-def _pairs_sql(blank_is_null: bool) -> dict[str, str]:
+def _pairs_sql(blank_is_null: bool, threshold: float = 0.5) -> dict[str, str]:
     def factor(c: str, same: float, other: float) -> str:
         value = f"case when a.{c} = b.{c} then {same} else {other} end"
         return f"case when a.{c} = '' or b.{c} = '' then 1.0 else {value} end" if blank_is_null else value
@@ -925,7 +925,7 @@ def _pairs_sql(blank_is_null: bool) -> dict[str, str]:
         f"({factor('email', 0.95 / 0.001, 0.05 / 0.999)}) * ({factor('country', 0.6 / 0.3, 0.4 / 0.7)}) as double) as odds "
         f"from people a join people b on a.tenant_id = b.tenant_id and a.id < b.id and "
         f"(substr(a.legal_name, 1, 3) = substr(b.legal_name, 1, 3) or ({same_email}))",
-        "pairs": "select tenant_id, customer_id_a, customer_id_b, round(odds / (1 + odds), 4) as match_probability from scored where odds / (1 + odds) >= 0.5",
+        "pairs": f"select tenant_id, customer_id_a, customer_id_b, round(odds / (1 + odds), 4) as match_probability from scored where odds / (1 + odds) >= {threshold}",
     }
 
 
@@ -939,11 +939,31 @@ def dedupe_pairs_blank_is_null(spark, sf):
     return dedupe.duplicate_candidates(fixtures.canonical_customers(spark, sf), blank_is_null=True)
 
 
+BY_NAME = 0.02
+
+
+@query("dedupe_pairs_by_name", oracle.with_clause(_pairs_sql(True, BY_NAME)) + "select * from pairs")
+def dedupe_pairs_by_name(spark, sf):
+    """At so low a threshold close names alone make a candidate: blocks of names with the same first three characters."""
+    return dedupe.duplicate_candidates(fixtures.canonical_customers(spark, sf), BY_NAME, blank_is_null=True)
+
+
 def twin_pairs(spark, sf):
     """The candidates that blank emails do not cause, as a found set."""
     return reliable(dedupe.duplicate_candidates(fixtures.canonical_customers(spark, sf), blank_is_null=True))
 
 
+@query("dismissed_candidates", oracle.with_clause(_pairs_sql(True)) +
+       f"select {fixtures.id_sql(PAIR, 'tenant_id', 'customer_id_a', 'customer_id_b')} as id, match_probability, 'open' as status from pairs "
+       "where tenant_id = 'tenant-0' and customer_id_a >= '8'")
+def dismissed_candidates(spark, sf):
+    """The open candidates of a tenant after those of the customers with low ids have been dismissed."""
+    found = twin_pairs(spark, sf)
+    none = spark.createDataFrame([], "id string, tenant_id string, customer_id_a string, customer_id_b string, match_probability double, status string")
+    stored = dedupe.upsert_candidates(none, found)
+    return dedupe.list_candidates(dedupe.dismiss(stored, F.col("customer_id_a") < "8"), "tenant-0").select("id", "match_probability", "status")
+
+
 @query("dedupe_upsert", oracle.with_clause(_pairs_sql(True)) +
        "select customer_id_a, customer_id_b, match_probability, case when customer_id_a < '8' then 'dismissed' else 'open' end as status, "
        "customer_id_a >= '8' as new from pairs")
@@ -975,20 +995,29 @@ def merged_customers(spark, sf):
 
 @query("tenant_metrics",
        "with t as (select 'N' || n_nationkey as tenant_id, n_nationkey as k from nation union all select 'nobody', -1) "
-       "select tenant_id, 0 as batches, (select count(*) from customer where c_nationkey = k) as customers, "
-       "(select count(*) from orders join customer on o_custkey = c_custkey where c_nationkey = k) as invoices, 0 as support_tickets, "
+       "select tenant_id, (select count(*) from part where p_partkey % 25 = k) as batches, (select count(*) from customer where c_nationkey = k) as customers, "
+       "(select count(*) from orders join customer on o_custkey = c_custkey where c_nationkey = k) as invoices, "
+       "(select count(*) from events where user_id % 25 = k) as support_tickets, "
        "(select count(*) from supplier where s_nationkey = k) as accounts, "
        "(select count(*) from supplier where s_nationkey = k and s_acctbal < 5000) as quarantine_open, "
-       "(select count(*) from supplier where s_nationkey = k and s_acctbal >= 5000) as quarantine_fixed, 0 as mapping_specs_confirmed from t")
+       "(select count(*) from supplier where s_nationkey = k and s_acctbal >= 5000) as quarantine_fixed, "
+       "(select count(*) from part where p_partkey % 25 = k and p_size < 10) as mapping_specs_confirmed from t")
 def tenant_metrics(spark, sf):
-    tenant = lambda c: F.concat(F.lit("N"), F.col(c)).alias("tenant_id")
+    """Counts of all eight state tables, kept as state: written tenant by tenant, then counted."""
+    tenant = lambda c: F.concat(F.lit("N"), c).alias("tenant_id")
     customer = table(spark, sf, "customer")
-    supplier = table(spark, sf, "supplier")
+    supplier, part = table(spark, sf, "supplier"), table(spark, sf, "part")
+    of_nation, of_part = tenant(F.col("s_nationkey")), tenant(F.col("p_partkey") % 25)
     tables = {
-        "customers": customer.select(tenant("c_nationkey")),
-        "invoices": table(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(tenant("c_nationkey")),
-        "accounts": supplier.select(tenant("s_nationkey")),
-        "quarantine": supplier.select(tenant("s_nationkey"), F.when(F.col("s_acctbal") < 5000, "open").otherwise("resubmitted").alias("status")),
+        "customers": customer.select(tenant(F.col("c_nationkey"))),
+        "invoices": table(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(tenant(F.col("c_nationkey"))),
+        "accounts": supplier.select(of_nation),
+        "support_tickets": table(spark, sf, "events").select(tenant(F.col("user_id") % 25)),
+        "batches": part.select(of_part),
+        "quarantine": supplier.select(of_nation, F.when(F.col("s_acctbal") < 5000, "open").otherwise("resubmitted").alias("status")),
+        "mapping_specs": part.select(of_part, F.when(F.col("p_size") < 10, "confirmed").otherwise("draft").alias("status")),
     }
-    asked = table(spark, sf, "nation").select(tenant("n_nationkey")).unionByName(spark.createDataFrame([("nobody",)], "tenant_id string"))
-    return metrics.tenant_metrics(tables, asked)
+    state = State(spark, f"{shared_folder(spark).rstrip('/')}/state-{uuid.uuid4().hex}", {t: "tenant_id string, status string" for t in tables})
+    state.commit({t: df if "status" in df.columns else df.withColumn("status", F.lit("any")) for t, df in tables.items()})
+    asked = table(spark, sf, "nation").select(tenant(F.col("n_nationkey"))).unionByName(spark.createDataFrame([("nobody",)], "tenant_id string"))
+    return metrics.tenant_metrics({t: state.read(t) for t in tables}, asked)
