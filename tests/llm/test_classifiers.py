@@ -81,6 +81,7 @@ def test_gradients(monkeypatch):
     ids = [r.integers(1, 32, (n, 3)).astype(np.int32) for n in (5, 1, 7)]
     y = np.array([1, 0, 1], np.float32)
     model = {k: v.astype(np.float64) for k, v in toxicity.initial(p).items()}
+    model["bias"] = r.normal(0, 0.05, len(model["bias"]))  # away from the rectifier's kink, where texts without a positive response stand
 
     def loss():
         q = toxicity.forward(model, *toxicity._padded(ids, p), p)
@@ -121,3 +122,30 @@ def test_statistics_see_whole_texts():
     text = "plain words here. " * 3000
     a, b = (next(iter(quality.statistics(pa.array([t])))) for t in (text, text + "A|B|C|D!!" * 500))
     assert not np.allclose(a, b)
+
+
+def test_forward_pass_equals_plain_loops_and_ignores_neighbours():
+    """Each text alone, window by window: words and stems looked up, filters of every width, the maximum, the output."""
+    p = replace(toxicity.DEFAULT, buckets=64, filters=3)
+    r = np.random.default_rng(4)
+    ids = [r.integers(1, 64, (n, 3)).astype(np.int32) for n in (4, 0, 1, 9, 2, 30)]
+    model = {k: v.astype(np.float64) for k, v in toxicity.initial(p).items()}
+    model["bias"] = r.normal(size=len(model["bias"]))
+    want = []
+    for text in ids:
+        vectors = [np.concatenate([model[f"e{j}"][row[j]] for j in range(3)]) for row in text]
+        hidden = []
+        for w in p.widths:
+            for f in range(p.filters):
+                best = -np.inf
+                for at in range(len(text) + 1):  # windows that begin at a word, or behind the last one
+                    response = 0.0
+                    for k in range(w):
+                        if at + k < len(text):
+                            response += sum(vectors[at + k][c] * model[f"w{w}"][k * p.width + c, f] for c in range(p.width))
+                    best = max(best, response)
+                hidden.append(max(best + model["bias"][len(hidden)], 0))
+        want.append(1 / (1 + np.exp(-(sum(h * o for h, o in zip(hidden, model["out"])) + model["prior"][0]))))
+    assert np.allclose(toxicity.forward(model, *toxicity._padded(ids, p), p), want)
+    alone = [toxicity.forward(model, *toxicity._padded([x], p), p)[0] for x in ids]
+    assert np.allclose(alone, want)

@@ -5,7 +5,7 @@ from tidewright.llm.queries import ORACLE, QUERIES
 
 def test_stages_are_named_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "toxicity", "near duplicates", "benchmark decontamination", "packing"]
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
 
 
 def test_one_row_of_each_group_stays(spark, odd_docs):
