@@ -24,6 +24,7 @@ from tidewright.sources import ranges
 from tidewright.sources.ranges import DELIMITERS
 
 MOST_RANGE_BYTES = 32 << 20
+TASK_BYTES = 128 << 20
 ROWS_AT_ONCE = 4096
 UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
@@ -65,8 +66,12 @@ def read_ranges(spark: SparkSession, folder: str, fallback_encoding: str = "ISO-
 
 
 def _spread(some: DataFrame) -> DataFrame:
-    """A task per range: rows that stand for ranges are few bytes, so nothing else would deal them out."""
-    return some.repartition(max(1, some.count()), "path", "start")
+    """Ranges dealt to tasks by their bytes, to all cores at least: rows that stand for ranges are few bytes
+    themselves, so nothing else would deal them out."""
+    found = some.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bytes")).first()
+    cores = some.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(found["n"], cores), -(-(found["bytes"] or 0) // TASK_BYTES), 1)
+    return some.repartition(tasks, "path", "start")
 
 
 def _end_states(folder: str):
