@@ -149,3 +149,39 @@ def test_forward_pass_equals_plain_loops_and_ignores_neighbours():
     assert np.allclose(toxicity.forward(model, *toxicity._padded(ids, p), p), want)
     alone = [toxicity.forward(model, *toxicity._padded([x], p), p)[0] for x in ids]
     assert np.allclose(alone, want)
+
+
+def test_every_training_label_is_learned_from_or_calibrates(spark, monkeypatch):
+    """No sample of the labels, however many there are: learners get all rows but the calibration fold."""
+    n, seen = 20_000, {}
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 50) as text", "'en' as lang")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    cut = toxicity.thresholds
+    monkeypatch.setattr(toxicity, "fit", lambda rows, p, *more: seen.update(fit=rows.count()) or toxicity.initial(p))
+    monkeypatch.setattr(toxicity, "thresholds", lambda rows, p: seen.update(cut=rows.count()) or cut(rows, p))
+    toxicity.classify(docs, labels, SMALL).count()
+    training = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(n))
+    assert seen["fit"] + seen["cut"] == training and seen["fit"] > 0.75 * training
+
+
+def test_many_learners_learn_what_few_do(spark):
+    rows = planted(900)
+    got = toxicity.classify(*frames(spark, rows), replace(SMALL, learner_rows=40, fan_in=3, rounds=12)).collect()
+    assert accuracy(got, {r[0]: r[4] for r in rows}) > 0.9
+
+
+def test_moves_add_up_alike_in_any_tree():
+    p = replace(toxicity.DEFAULT, buckets=32, filters=2)
+    r = np.random.default_rng(6)
+    parts = []
+    for n in (5, 9, 2):
+        out = {}
+        for k, v in toxicity.initial(p).items():
+            rows = np.flatnonzero(r.random(len(v)) < 0.5) if k in p.tables else np.arange(len(v))
+            out |= {f"{k}_rows": rows.astype(np.int32), f"{k}_move": r.normal(size=v[rows].shape).astype(np.float32),
+                    f"{k}_weight": np.full(len(rows), 1.0 if k in p.tables else n), f"{k}_state": r.random(v[rows].shape).astype(np.float32)}
+        parts.append(toxicity._pack(out))
+    flat = toxicity._load(toxicity.add_moves(parts, p))
+    tree = toxicity._load(toxicity.add_moves([toxicity.add_moves(parts[:2], p), parts[2]], p))
+    assert flat.keys() == tree.keys() and all(np.allclose(flat[k], tree[k], atol=1e-6) for k in flat)
+    assert flat["prior_weight"][0] == 16

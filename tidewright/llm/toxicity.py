@@ -1,10 +1,11 @@
 """Toxicity: a convolutional text classifier in numpy, with thresholds calibrated by language.
 
 Each word has hashed vectors of itself and of its stems (its first bytes), so inflected forms share what is learned. Filters of several widths slide over the whole text, the maximum of each over the text goes through a logistic layer. Training is
-data parallel: partitions of a bounded sample of labelled rows train from the same weights, the driver averages the
-weights (their size is fixed by `Params`), and so on for a few rounds. Scoring maps over all documents and never sees
-label, language, source or id. Thresholds come from the calibration part of the sample, per language, and only decide
-the extra column `rejected`.
+data parallel over all labelled rows: they are dealt to learners of a bounded number of rows, each round every learner
+trains on all of its rows from the same weights, the moves are added up in a tree of tasks and reach the driver as one set
+of weights (their size is fixed by `Params`). Scoring maps over all documents and never sees label, language, source or
+id. Thresholds come from a fold of the labelled rows that is left out of the fit, per language, and only decide the extra
+column `rejected`.
 
 Results for odd rows: null and empty texts are scored as a text without words. Rows without an id are scored, not
 learned from. Repeated rows are scored each. Languages too rare in the calibration part, or null, use the default
@@ -28,19 +29,22 @@ from .labelled import held_out, share, text_key, training_labels
 
 @dataclass(frozen=True)
 class Params:
-    fit_rows: int = 12_000  # bound of the labelled sample, in expectation; every label counts alike
     buckets: int = 1 << 16
     size: int = 8  # numbers per hashed vector
     stems: tuple[int, ...] = (4, 6)  # bytes of a word that make a stem
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8  # per width
-    least_texts: int = 3  # words and stems in fewer texts of the sample have no vector
-    learners: int = 4
-    rounds: int = 10
+    least_texts: int = 3  # words and stems in fewer labelled texts have no vector
+    learners: int = 2  # at least; there are as many as `learner_rows` asks for
+    learner_rows: int = 10_000  # in expectation
+    fan_in: int = 8  # learners, or sums of learners, that one task adds up
+    rounds: int = 10  # passes over all rows where they are few
+    least_rounds: int = 5  # where they are many
+    visits: int = 120_000  # rows times rounds that suffice beyond `least_rounds`
     epochs: int = 1  # in each round
     batch: int = 8
     rate: float = 0.1
-    calibration: float = 0.2  # share of the sample that only sets thresholds
+    calibration: float = 0.2  # share of the labelled rows that only sets thresholds
     threshold: float = 0.7
     lowest: float = 0.3  # no language's threshold goes below, whatever single texts of the calibration part ask for
     least_positives: int = 20
@@ -54,6 +58,10 @@ class Params:
     def width(self) -> int:
         return self.size * len(self.tables)
 
+    @property
+    def stored(self) -> type:
+        return np.uint16 if self.buckets <= 1 << 16 else np.int32
+
 
 DEFAULT = Params()
 
@@ -153,12 +161,14 @@ def _step(model: dict, state: dict, ids: list[np.ndarray], y: np.ndarray, p: Par
         model[name][rows] -= p.rate * g / np.sqrt(state[name][rows] + 1e-8)
 
 
-def _distinct_buckets(p: Params):
+def _text_counts(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(p.tables) * p.buckets, np.int64)
         for batch in batches:
             for x in _unpacked(batch.column("ids"), p):
-                codes = np.unique(x + np.arange(len(p.tables), dtype=np.int32) * p.buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32())], names=["code"])
+                counts[np.unique(x + np.arange(len(p.tables), dtype=np.int32) * p.buckets)] += 1
+        codes = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(counts[codes], pa.int64())], names=["code", "n"])
 
     return run
 
@@ -169,34 +179,56 @@ def _pack(arrays: dict[str, np.ndarray]) -> bytes:
     return out.getvalue()
 
 
-def _texts_to_buckets(p: Params):
+def _load(packed: bytes) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(packed)))
+
+
+def label_bits(known: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of the hashes of `n` labels' ids, at most 16 MB: what has no bit has no label."""
+    bits = min(1 << 27, max(1 << 15, 1 << (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    blocks = known.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in blocks.collect():  # 4 KB each
+        out[r["block"] - 1] = np.frombuffer(r["bitmap"], np.uint8)
+    return out.ravel()
+
+
+def _texts_to_buckets(shared, p: Params):
+    """The buckets of the texts that may have a label."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in batches:
+            bit = batch.column("hash").to_numpy() % (8 * len(bitmap))
+            batch = batch.filter(pa.array((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
             at = 0
             for s in words.slices(batch.column("text"), separator=SEPARATOR):
                 ids, begins = word_buckets(s, p), s.word_offsets
                 part = batch.slice(at, s.last - s.first)
                 at = s.last
-                packed = [ids[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:])]
+                packed = [ids[a:b].astype(p.stored).tobytes() for a, b in zip(begins[:-1], begins[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("lang"), part.column("y"), pa.array(packed, pa.binary())],
-                    names=["doc_id", "lang", "y", "ids"])
+                    [part.column("doc_id"), part.column("lang"), pa.array(packed, pa.binary())], names=["doc_id", "lang", "ids"])
 
     return run
 
 
 def _unpacked(column: pa.Array, p: Params) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int32).reshape(-1, len(p.tables)) for x in column.to_pylist()]
+    return [np.frombuffer(x, p.stored).reshape(-1, len(p.tables)) for x in column.to_pylist()]
 
 
 def _learner(shared, round_: int, p: Params):
-    def run(table: pa.Table) -> pa.Table:
+    """What each learner's rows, which lie together, move: per learner one row (learner, learned)."""
+
+    def learned(rows: list[pa.RecordBatch]) -> bytes:
         first = shared.value["model"]
         model = {k: v.copy() for k, v in first.items()}
         state = {k: v.copy() for k, v in shared.value["state"].items()}
         ids, y, used = [], [], shared.value["used"]
-        for batch in table.sort_by("doc_id").to_batches():  # the same order whenever the task is run again
-            ids += [np.where(used[np.arange(len(p.tables)), x], x, 0).astype(np.int32) for x in _unpacked(batch.column("ids"), p)]
+        for batch in pa.Table.from_batches(rows).sort_by("doc_id").to_batches():  # the same order whenever the task is run again
+            ids += [np.where(used[np.arange(len(p.tables)), x], x, 0).astype(p.stored) for x in _unpacked(batch.column("ids"), p)]
             y += batch.column("y").to_pylist()
         y = np.array(y, np.float32)
         for epoch in range(p.epochs):
@@ -207,45 +239,92 @@ def _learner(shared, round_: int, p: Params):
         out = {}
         for k, v in model.items():  # of the hashed vectors only those that moved
             rows = np.flatnonzero((v != first[k]).any(axis=1)) if k in p.tables else np.arange(len(v))
-            out |= {f"{k}_rows": rows.astype(np.int32), f"{k}_move": v[rows] - first[k][rows], f"{k}_state": state[k][rows]}
-        return pa.table({"n": pa.array([len(ids)], pa.int64()), "learned": pa.array([_pack(out)], pa.binary())})
+            weight = 1 if k in p.tables else len(ids)
+            out |= {f"{k}_rows": rows.astype(np.int32), f"{k}_move": (v[rows] - first[k][rows]) * np.float32(weight),
+                    f"{k}_weight": np.full(len(rows), weight, np.float64), f"{k}_state": state[k][rows]}
+        return _pack(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(learner: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([learner], pa.int64()), pa.array([learned(rows)], pa.binary())], names=["learner", "learned"])
+
+        now, held = None, []
+        for batch in batches:
+            learners = batch.column("learner").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(learners)) + 1), len(learners)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if held and learners[a] != now:
+                    yield row(now, held)
+                    held = []
+                now = int(learners[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield row(now, held)
 
     return run
 
 
-def fit(sample: DataFrame, p: Params) -> dict[str, np.ndarray]:
-    """Weights from the sample's rows (ids, y): rounds of local training, averaged.
+def add_moves(learned: list[bytes], p: Params) -> bytes:
+    """Moves and weights of several learners added up, of the optimizer's states the largest."""
+    like, out = initial(p), {}
+    arrays = [_load(x) for x in learned]
+    for k, v in like.items():
+        move, state, weight = np.zeros_like(v), np.zeros_like(v), np.zeros(len(v))
+        for x in arrays:
+            rows = x[f"{k}_rows"]
+            move[rows] += x[f"{k}_move"]
+            weight[rows] += x[f"{k}_weight"]
+            state[rows] = np.maximum(state[rows], x[f"{k}_state"])
+        rows = np.flatnonzero(weight)
+        out |= {f"{k}_rows": rows.astype(np.int32), f"{k}_move": move[rows], f"{k}_weight": weight[rows], f"{k}_state": state[rows]}
+    return _pack(out)
+
+
+def _adder(p: Params):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("learner")
+        group = table.column("learner")[0].as_py() // p.fan_in
+        return pa.table({"learner": pa.array([group], pa.int64()), "learned": pa.array([add_moves(table.column("learned").to_pylist(), p)], pa.binary())})
+
+    return run
+
+
+def fit(rows: DataFrame, p: Params, learners: int, rounds: int) -> dict[str, np.ndarray]:
+    """Weights from all rows (learner, doc_id, y, ids), where a learner's rows lie together: rounds of local training,
+    averaged.
 
     A hashed vector is averaged over the learners that moved it, all other weights over all learners. Words of a few
-    texts only could be learned by heart, so they, like words that the sample never had, have the vector zero."""
-    spark = sample.sparkSession
+    texts only could be learned by heart, so they, like words that no labelled text has, have the vector zero."""
+    spark = rows.sparkSession
     model = initial(p)
-    counted = sample.select("ids").mapInArrow(_distinct_buckets(p), "code int").groupBy("code").agg(F.count("*").alias("n"))
+    counted = rows.select("ids").mapInArrow(_text_counts(p), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     codes = counted.where(F.col("n") >= p.least_texts).select("code").toPandas()["code"].to_numpy(np.int64)  # one per bucket at most
     used = np.zeros((len(p.tables), p.buckets), bool)
     used[codes // p.buckets, codes % p.buckets] = True
     for j, name in enumerate(p.tables):
         model[name][~used[j]] = 0
     state = {k: np.full_like(v, 1e-3) for k, v in model.items()}
-    # a fixed number of learners, whatever the number of partitions: the driver gets that many answers a round
-    rows = sample.select("doc_id", "ids", "y", F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(p.learners)).alias("learner"))
-    for round_ in range(p.rounds):
+    for round_ in range(rounds):
         shared = spark.sparkContext.broadcast({"model": model, "state": state, "used": used})
-        got = rows.groupBy("learner").applyInArrow(_learner(shared, round_, p), "n long, learned binary").collect()
+        sums, left = rows.mapInArrow(_learner(shared, round_, p), "learner long, learned binary"), learners
+        while True:  # the driver gets one sum, however many learners there are
+            sums = sums.groupBy(F.floor(F.col("learner") / p.fan_in).alias("group")).applyInArrow(_adder(p), "learner long, learned binary")
+            left = -(-left // p.fan_in)
+            if left == 1:
+                break
+        got = sums.select("learned").collect()
         shared.destroy()
-        learned = [(r["n"], dict(np.load(io.BytesIO(r["learned"])))) for r in got]
-        del got
-        if not learned:
+        if not got:
             return model
-        n = sum(c for c, _ in learned)
+        x = _load(got[0]["learned"])
+        del got
         for k, weights in model.items():
-            total, moved = np.zeros_like(weights), np.zeros((len(weights), *[1] * (weights.ndim - 1)), np.float32)
-            for c, x in learned:
-                share_of = 1.0 if k in p.tables else c / n
-                total[x[f"{k}_rows"]] += x[f"{k}_move"] * np.float32(share_of)
-                moved[x[f"{k}_rows"]] += share_of
-                state[k][x[f"{k}_rows"]] = np.maximum(state[k][x[f"{k}_rows"]], x[f"{k}_state"])
-            weights += total / np.maximum(moved, 1)
+            at = x[f"{k}_rows"]
+            share_of = x[f"{k}_weight"].reshape(-1, *[1] * (weights.ndim - 1))
+            weights[at] += (x[f"{k}_move"] / share_of).astype(np.float32)
+            state[k][at] = np.maximum(state[k][at], x[f"{k}_state"])
     return model
 
 
@@ -296,15 +375,20 @@ def classify(docs: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> DataFra
     """One row per document: doc_id, held_out, score, predicted, threshold (of its language), rejected, text_key."""
     spark = docs.sparkSession
     known = reliable(training_labels(labels, "toxic"))
-    part = min(1.0, p.fit_rows / max(1, known.count()))
-    chosen = reliable(known.where(share(p.seed) < part))
+    n = max(1, known.count())
+    learners = max(p.learners, -(-n // p.learner_rows))
+    rounds = min(p.rounds, max(p.least_rounds, -(-p.visits // n)))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_key(F.col("text")).alias("text_key"), "text")
-    sample = reliable(base.join(chosen, "doc_id").select("doc_id", "lang", "y", "text").mapInArrow(
-        _texts_to_buckets(p), "doc_id long, lang string, y double, ids binary"))
-    fold = share(p.seed + 1) < p.calibration
-    model = fit(sample.where(~fold), p)
+    marked = spark.sparkContext.broadcast(label_bits(known, n))
+    # no text is shuffled: the join sees the buckets of the few texts that the bitmap lets through
+    taught = base.where("doc_id is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(
+        _texts_to_buckets(marked, p), "doc_id long, lang string, ids binary").join(known.hint("merge"), "doc_id")
+    taught = taught.withColumn("learner", F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(learners).cast("long")))
+    taught = taught.withColumn("fold", share(p.seed + 1) < p.calibration)
+    taught = reliable(taught.repartition(learners, "learner").sortWithinPartitions("learner", "fold", "doc_id"))
+    model = fit(taught.where(~F.col("fold")).select("learner", "doc_id", "y", "ids"), p, learners, rounds)
     shared = spark.sparkContext.broadcast(model)
-    checked = sample.where(fold).select("lang", "y", "ids").mapInArrow(_scorer(shared, p, True), "lang string, y double, score double")
+    checked = taught.where("fold").select("lang", "y", "ids").mapInArrow(_scorer(shared, p, True), "lang string, y double, score double")
     cuts = reliable(thresholds(checked, p))
     scored = base.mapInArrow(_scorer(shared, p, False), "doc_id long, lang string, text_key binary, score double")
     return scored.join(cuts, "lang", "left").select(
