@@ -55,3 +55,16 @@ def test_states_merge_to_the_profile_of_all_cells(spark):
     one = {(x["batch"], x["column_name"]) for x in profile.profile(cells, ["batch"]).collect()}
     assert one == {(b, c) for b, c, _ in rows}
     assert profile.profile(cells.limit(0).drop("batch")).count() == 0
+
+
+def test_cells_meet_their_bound_without_a_shuffle(spark):
+    """Only the small tables of numbers and samples are sorted and merged; all cells of a column would go to one task."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = spark.range(500).selectExpr("concat('c', id % 2) as column_name", "concat('v', id div 2) as value")
+        numbers, _ = profile.states(cells)
+        assert numbers._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("SortMergeJoin") == 1
+        assert [r["sample_values"] for r in numbers.collect()] == [["v0", "v1", "v10", "v100", "v101"]] * 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
