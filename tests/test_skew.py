@@ -6,7 +6,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidewright.functions.similarity import indel_ratio, jaro_winkler_batch
-from tidewright.operators import dedupe, link
+from tidewright.operators import dedupe, joins, link
 from tidewright.operators.joins import key_counts, spread_lookup
 
 
@@ -134,3 +134,24 @@ def test_merge_map_matches_union_find(spark):
     df = spark.createDataFrame([("t", a, b) for a, b in pairs], "tenant_id string, customer_id_a string, customer_id_b string")
     got = {r.loser: r.winner for r in dedupe.merge_map(df).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_rows_are_dealt_evenly_however_the_file_is_split(spark, tmp_path, monkeypatch):
+    """A file of one row group has as many splits as one likes, and all rows in one of them."""
+    path = str(tmp_path / "one.parquet")
+    spark.range(40_000).coalesce(1).write.parquet(path)
+    conf = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        scan = spark.read.parquet(path)
+        cores = spark.sparkContext.defaultParallelism
+        assert scan.rdd.getNumPartitions() >= cores
+        sizes = lambda: [r["count"] for r in joins.use_all_cores(scan, "id").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes()) == 40_000 and max(sizes()) < 1.3 * 40_000 / cores + 100
+        monkeypatch.setattr(joins, "DEALT", 100)
+        assert max(sizes()) < 200 and len(sizes()) == 400  # more rows, more tasks
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
