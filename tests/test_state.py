@@ -72,3 +72,11 @@ def test_vacuum_keeps_what_is_in_use(spark, state):
     assert state.vacuum() == 2
     assert rows(state.read("a")) == [(0, "u", "x"), (3, "t", "x")]
     assert len(glob.glob(f"{state.root}/data/a/generation=*")) == 2
+
+
+def test_files_grow_with_tenants_not_with_tenants_by_tasks(spark, tmp_path):
+    state = State(spark, str(tmp_path / "s"), {"t": "tenant_id string, v bigint"})
+    rows = spark.range(0, 400, 1, 8).select(F.concat(F.lit("t"), F.col("id") % 20).alias("tenant_id"), F.col("id").alias("v"))
+    state.commit({"t": rows})
+    files = list((tmp_path / "s" / "data" / "t").rglob("*.parquet"))
+    assert len(files) == 20 and state.read("t").count() == 400

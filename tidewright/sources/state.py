@@ -104,7 +104,8 @@ class State:
             df = df.select(*self.columns(name))
             if tenants is not None:
                 df = df.where(F.col("tenant_id").isin(list(tenants)))
-            df.write.partitionBy("tenant_id").parquet(target)
+            # a tenant's rows meet in one task, a large tenant's in several: files grow with tenants, not tenants by tasks
+            df.hint("rebalance", "tenant_id").write.partitionBy("tenant_id").parquet(target)
             if tenants is None:
                 written = self.spark.read.schema(self.schemas[name]).parquet(target).select("tenant_id")
                 touched = written.union(self.current(name).select("tenant_id")).distinct()
