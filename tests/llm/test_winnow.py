@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tidewright.llm import winnow
 
@@ -73,3 +76,23 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert [(r["n_hit"], r["n_items"], r["items_sha256"]) for r in got if r["doc_id"] == 6] == [(2, 0, hashlib.sha256(b"").hexdigest())]
     assert winnow.decontaminate(no_docs, items).count() == 0
     assert not any(r["contaminated"] for r in winnow.decontaminate(odd_docs, items.limit(0)).collect())
+
+
+RULE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def test_listed_characters_are_those_of_the_rule(spark):
+    every = [(c, f"a{chr(c)}b{chr(c)}{chr(c)}") for c in [*range(0xD800), *range(0xE000, 0x110000, 97), 0xFFFF, 0x10FFFF]]
+    df = spark.createDataFrame(every, "c int, text string")
+    differ = df.where(F.regexp_extract_all("text", F.lit(winnow.WORD), F.lit(0)) != F.regexp_extract_all("text", F.lit(RULE), F.lit(0)))
+    assert differ.count() == 0
+
+
+def test_words_take_less_time_than_with_negated_ranges(spark):
+    df = spark.range(0, 4, 1, 4).select(F.repeat(F.lit("some words, of a text. "), 60_000).alias("text")).localCheckpoint()
+    took = {}
+    for pattern in (winnow.WORD, RULE) * 2:  # the second round counts, when code is compiled
+        start = time.perf_counter()
+        assert df.agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))).first()[0] == 4 * 60_000 * 5
+        took[pattern] = time.perf_counter() - start
+    assert took[winnow.WORD] < took[RULE] / 2

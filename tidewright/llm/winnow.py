@@ -38,7 +38,9 @@ class Params:
 
 
 DEFAULT = Params()
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, with its ASCII characters listed: Java looks listed ones up in a table, which
+#: takes less than a tenth of the time of the negated ranges.
+WORD = r"[0123456789abcdefghijklmnopqrstuvwxyz\x80-\x{10FFFF}]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
