@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import replace
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     only = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     got = katz.score(spark.createDataFrame([(i, "a b") for i in only], "doc_id long, text string")).collect()
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got} == {(3, 0, 0)} and all(math.isfinite(r["score"]) for r in got)
+
+
+def test_no_stored_row_is_a_single_pair(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(200))) for i in range(100)]
+    pairs = {p for _, t in rows for p in zip(["<s>", *tokens(t)], tokens(t))}
+    files = lambda: set(Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet"))
+    before = files()
+    katz.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert len(pairs) > 15_000 and sum(pq.read_metadata(f).num_rows for f in files() - before) < 100

@@ -6,11 +6,13 @@
 
 Counting and scoring both shuffle one packed row per block of texts and part of the key space, holding each distinct
 word or pair of the block once, so a word that is everywhere costs no more than a rare one. Parts grow in number with
-the corpus, so their size stays put. The model lies in three stored tables, `words` (word, n, log_p, log_alpha), `pairs`
-(history, word, used, p) and `histories` (history, alpha, per_count), hashed words standing for words. For scoring, the
-recursion is unrolled once per stored pair: gain = log P(w | h) - log alpha(h) - log P(w), so a text's score is the sum over
-its tokens of log alpha(h) + log P(w), plus the gain of each pair that the model keeps. Gains are added up where they are
-looked up, as a part holds all pairs of its histories.
+the corpus, so their size stays put. The model is stored packed too, hashed words standing for words: per part of words
+their counts and, as histories, their backoff weights; per part of pairs, which holds all pairs of its histories, the
+pairs by history, a pair's word being its place in the part's own vocabulary. A part of pairs asks the parts of words
+for the counts of its distinct words; from these and its own it derives P(w) and alpha(h). No pair is a row of its own.
+For scoring, the recursion is unrolled once per stored pair: gain = log P(w | h) - log alpha(h) - log P(w), so a text's
+score is the sum over its tokens of log alpha(h) + log P(w), plus the gain of each pair that the model keeps. Gains are
+added up where they are looked up.
 
 Every pair is kept, those seen once with their Good-Turing discount. `keep_from=2` is Katz's own cut-off instead: the mass
 of single pairs goes to the backoff weight of their history, and the counts of counts that set the discounts include them.
@@ -24,6 +26,7 @@ token is unknown. Extra columns are ignored.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -179,30 +182,39 @@ def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i, order[cuts[i] : cuts[i + 1]]
 
 
-COUNTED = "kind string, history long, word long, n long, times long"
+MERGED = "kind string, part int, data binary, times array<long>, mass array<long>"
 
 
-def _merge_counts(keep_from: int):
-    """All counts of a part. Pairs under the cut-off come back only as how many had which count."""
+def _merge_counts(p: Params):
+    """All counts of a part, as one packed row: words, or pairs by history, their words as places in the part's own
+    vocabulary. Pairs under the cut-off are only in `times`, how many had a count of 1, 2, ..., discounted + 1, and more,
+    and in `mass`, the sums of these counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
+        kind, part = (table.column(c)[0].as_py() for c in ("kind", "part"))
         blocks = [_unpack(x) for x in table.column("data").to_pylist()]
         word, n = (np.concatenate([b[c] for b in blocks]) for c in ("word", "n"))
         history = np.concatenate([np.repeat(b["history"], b["span"]) for b in blocks]) if kind == "pairs" else np.zeros(len(word), np.uint64)
         del blocks
-        order = np.argsort(_pair_key(history, word))
+        order = np.argsort(_pair_key(history, word) if kind == "pairs" else word)
         history, word, n = history[order], word[order], n[order].astype(np.int64)
-        at = _runs(_pair_key(history, word))
+        at = _runs(_pair_key(history, word) if kind == "pairs" else word)
         history, word, n = history[at], word[at], np.add.reduceat(n, at)
-        times = np.ones(len(n), np.int64)
+        low = np.minimum(n, p.discounted + 2)
+        times = np.bincount(low, minlength=p.discounted + 3)[1:]
+        mass = [int(n[low == r].sum()) for r in range(1, p.discounted + 3)]
         if kind == "pairs":
-            rare, seen = np.unique(n[n < keep_from], return_counts=True)
-            keep = n >= keep_from
-            order = np.argsort(history[keep], kind="stable")
-            history, word, n = (np.concatenate([x[keep][order], y]) for x, y in ((history, np.zeros(len(rare), np.uint64)), (word, np.zeros(len(rare), np.uint64)), (n, rare)))
-            times = np.concatenate([np.ones(len(order), np.int64), seen])
-        return pa.table({"kind": pa.array([kind] * len(n), pa.string()), "history": history.view(np.int64), "word": word.view(np.int64), "n": n, "times": times})
+            keep = n >= p.keep_from
+            history, word, n = history[keep], word[keep], n[keep]
+            order = np.argsort(history, kind="stable")
+            history, word, n = history[order], word[order], n[order]
+            at = _runs(history)
+            vocabulary, slot = np.unique(word, return_inverse=True)
+            data = _pack(history=history[at], span=np.diff(np.append(at, len(history))).astype(np.uint32), word=vocabulary, slot=slot.astype(np.uint32), n=n)
+        else:
+            data = _pack(word=word, n=n)
+        return pa.table({"kind": [kind], "part": pa.array([part], pa.int32()), "data": pa.array([data], pa.binary()),
+                         "times": pa.array([times.tolist()], pa.list_(pa.int64())), "mass": pa.array([mass], pa.list_(pa.int64()))})
 
     return run
 
@@ -219,73 +231,130 @@ def discounts(times: dict[int, int], k: int) -> dict[int, float]:
     return out
 
 
-def _discount(n: Column, table: dict[int, float]) -> Column:
-    out = F.lit(1.0)
-    for r, d in table.items():
-        out = F.when(n == r, F.lit(d)).otherwise(out)
-    return out
+@dataclass(frozen=True)
+class Counts:
+    """Counts as the model takes them: discounted, and for single words as probabilities."""
+
+    pair_factors: tuple[float, ...]  # of the counts 0, 1, ..., the last one of all that follow
+    word_factors: tuple[float, ...]  # these make a word's count its probability
+    log_unknown: float
+
+    def used(self, n: np.ndarray) -> np.ndarray:
+        return np.array(self.pair_factors)[np.minimum(n, len(self.pair_factors) - 1)] * n
+
+    def p(self, n: np.ndarray) -> np.ndarray:
+        return np.array(self.word_factors)[np.minimum(n, len(self.word_factors) - 1)] * n
 
 
 def _settle(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of finished steps now, not at its next half-hourly round."""
+    """Lets Spark's cleaner drop shuffle files of finished steps now, not at its next half-hourly round. Python's references
+    are given up in the background, so a first collection alone still finds the last step's files in use."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 @dataclass
 class Model:
-    words: DataFrame  # word, n, log_p, log_alpha (of the word as a history)
-    pairs: DataFrame  # history, word, used (discounted count), p (of the word alone)
-    histories: DataFrame  # history, alpha, per_count (probability for each discounted count)
+    stored: DataFrame  # packed rows (kind, part, block, data) by part: words with counts, words' backoff weights, pairs
+    counts: Counts
     total: int  # N, training tokens
     vocabulary: int  # V, distinct training tokens
-    log_unknown: float
-    log_alpha_start: float
     parts: dict[str, int]
 
 
+def _counted_words(q: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The words whose counts a part of pairs needs, and of each history the one that tells how often it was followed by
+    anything: itself, and for the start of texts their end."""
+    heads = np.where(q["history"] == START, END, q["history"])
+    return np.union1d(q["word"], heads), heads
+
+
+def _wanted(parts: dict[str, int]):
+    """What each part of pairs asks the parts of words: a row per pair of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data")):
+                known, _ = _counted_words(_unpack(data.as_py()))
+                for i, own in _by_part(_spread(known, parts["words"]), parts["words"]):
+                    yield _rows([("wanted", i, part, _pack(word=known[own]))], PACKED)
+
+    return run
+
+
+def _told(wanted: pa.Table, stored: pa.Table) -> pa.Table:
+    """The counts of the wanted words, in their order; `part` and `block` change places."""
+    q = _unpack(stored.column("data")[0].as_py()) if len(stored) else {}
+    rows = [("pairs", block, part, _pack(n=q["n"][np.searchsorted(q["word"], _unpack(data)["word"])]))
+            for part, block, data in zip(*(wanted.column(c).to_pylist() for c in ("part", "block", "data")))]
+    return pa.Table.from_batches([_rows(rows, PACKED)])
+
+
+def _backoff(q: dict[str, np.ndarray], counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a part of pairs: P(w) of its vocabulary, and per history log alpha(h) and the logarithm of what one discounted
+    count is worth."""
+    if not len(q["history"]):
+        return np.empty(0), np.empty(0), np.empty(0)
+    single = counts.p(q["count"])
+    begins = np.cumsum(q["span"], dtype=np.int64) - q["span"]
+    used, taken = np.add.reduceat(counts.used(q["n"]), begins), np.add.reduceat(single[q["slot"]], begins)
+    # a history whose pairs are all frequent would leave nothing to back off to: half a token of mass is left at least
+    left = np.maximum(1 - used / q["seen"], 0.5 / (q["seen"] + 1))
+    return single, np.log10(left / (1 - taken)), np.log10((1 - left) / used)
+
+
+def _weighted(counts: Counts, parts: dict[str, int]):
+    """A part of pairs with the counts of its vocabulary and histories, and the histories' backoff weights for the parts of
+    words. The weight of the start of texts goes with their end, as every text has one of each."""
+
+    def run(stored: pa.Table, told: pa.Table) -> pa.Table:
+        part, q = stored.column("part")[0].as_py(), _unpack(stored.column("data")[0].as_py())
+        known, heads = _counted_words(q)
+        n = np.zeros(len(known), np.int64)
+        answers = dict(zip(told.column("block").to_pylist(), told.column("data").to_pylist()))
+        for i, own in _by_part(_spread(known, parts["words"]), parts["words"]):
+            n[own] = _unpack(answers[i])["n"]
+        q |= {"count": n[np.searchsorted(known, q["word"])], "seen": n[np.searchsorted(known, heads)]}
+        _, log_alpha, _ = _backoff(q, counts)
+        rows = [("pairs", part, 0, _pack(**q))]
+        for i, own in _by_part(_spread(heads, parts["words"]), parts["words"]):
+            rows.append(("words", i, part + 1, _pack(word=heads[own], log_alpha=log_alpha[own])))
+        return pa.Table.from_batches([_rows(rows, PACKED)])
+
+    return run
+
+
 def train(docs: DataFrame, p: Params = WHOLE, parts: dict[str, int] | None = None) -> Model:
     """The model of all texts of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     parts = parts or key_parts(docs, p)
     packed = docs.select("doc_id", "text").mapInArrow(_count_block(parts, p.block_tokens), PACKED)
-    counted = reliable(packed.groupBy("kind", "part").applyInArrow(_merge_counts(p.keep_from), COUNTED))
+    counted = reliable(packed.groupBy("kind", "part").applyInArrow(_merge_counts(p), MERGED))
     _settle(spark)
-    times = {"words": {}, "pairs": {}}
-    # counts up to discounted + 1 set the discounts; the rest is only summed
-    low = F.when(F.col("n") <= p.discounted + 1, F.col("n"))
-    for r in counted.groupBy("kind", low.alias("r")).agg(F.sum("times").alias("t"), F.sum(F.col("n") * F.col("times")).alias("mass")).collect():
-        times[r["kind"]][r["r"]] = r["t"]
-        times[r["kind"]][("mass", r["r"])] = r["mass"]
-    mass = {kind: sum(v for k, v in t.items() if isinstance(k, tuple)) for kind, t in times.items()}
-    total, vocabulary = mass["words"], sum(v for k, v in times["words"].items() if not isinstance(k, tuple))
-
-    word_d, pair_d = (discounts({k: v for k, v in times[kind].items() if isinstance(k, int)}, p.discounted) for kind in ("words", "pairs"))
-    kept = sum(times["words"].get(("mass", r), 0) * word_d.get(r, 1.0) for r in [*range(1, p.discounted + 2), None]) / max(1, total)
+    times, mass = ({"words": {}, "pairs": {}} for _ in range(2))
+    tallies = counted.select("kind", F.posexplode(F.arrays_zip("times", "mass")).alias("at", "x")).groupBy("kind", "at")
+    for r in tallies.agg(F.sum("x.times").alias("times"), F.sum("x.mass").alias("mass")).collect():
+        times[r["kind"]][r["at"] + 1], mass[r["kind"]][r["at"] + 1] = r["times"], r["mass"]
+    total, vocabulary = sum(mass["words"].values()), sum(times["words"].values())
+
+    word_d, pair_d = (discounts(times[kind], p.discounted) for kind in ("words", "pairs"))
+    kept = sum(m * word_d.get(r, 1.0) for r, m in mass["words"].items()) / max(1, total)
     unknown = max(1 - kept, 1 / (total + 1))
     scale = (1 - unknown) / kept if kept else 0.0
-    single = counted.where("kind = 'words'").select("word", "n", (F.lit(scale) * _discount(F.col("n"), word_d) * F.col("n") / F.lit(float(max(1, total)))).alias("p"))
-    single = reliable(single)
-
-    end, start = (int(np.array(x).view(np.int64)) for x in (END, START))
-    pairs = counted.where(F.col("kind").eqNullSafe("pairs") & (F.col("n") >= p.keep_from)).select(
-        "history", "word", (_discount(F.col("n"), pair_d) * F.col("n")).alias("used"))
-    pairs = reliable(pairs.join(single.select("word", "p"), "word"))
+    every = range(p.discounted + 2)
+    counts = Counts(tuple(pair_d.get(r, 1.0) for r in every), tuple(scale * word_d.get(r, 1.0) / max(1, total) for r in every), float(np.log10(unknown)))
+
+    row = ["kind", "part", F.lit(0).cast("long").alias("block"), "data"]
+    singles = reliable(counted.where("kind = 'words'").select(*row))
+    pairs = counted.where("kind = 'pairs'").select(*row)
+    wanted = pairs.select("part", "data").mapInArrow(_wanted(parts), PACKED)
+    told = wanted.groupBy("part").cogroup(singles.groupBy("part")).applyInArrow(_told, PACKED)
+    weighted = reliable(pairs.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_weighted(counts, parts), PACKED))
     discard(counted)
-    # how often a history was followed by anything: a word's own count, and for the start of texts that of their ends
-    seen = single.select(F.when(F.col("word") == end, F.lit(start)).otherwise(F.col("word")).alias("history"), F.col("n").alias("seen"))
-    sums = pairs.groupBy("history").agg(F.sum("used").alias("used"), F.sum("p").alias("taken")).join(seen, "history")
-    # a history whose pairs are all frequent would leave nothing to back off to: half a token of mass is left at least
-    left = F.greatest(1 - F.col("used") / F.col("seen"), 0.5 / (F.col("seen") + 1))
-    alphas = reliable(sums.select("history", (left / (1 - F.col("taken"))).alias("alpha"), ((1 - left) / F.col("used")).alias("per_count")))
-    log_alpha = F.log10("alpha")
-    table = single.join(alphas.select(F.col("history").alias("word"), log_alpha.alias("log_alpha")), "word", "left").select(
-        "word", "n", F.log10("p").alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
-    table = reliable(table)
-    discard(single)
-    at_start = alphas.where(F.col("history") == start).select(log_alpha.alias("x")).first()
     _settle(spark)
-    return Model(table, pairs, alphas, int(total), int(vocabulary), float(np.log10(unknown)), at_start["x"] if at_start else 0.0, parts)
+    return Model(singles.unionByName(weighted), counts, int(total), int(vocabulary), parts)
 
 
 def key_parts(docs: DataFrame, p: Params) -> dict[str, int]:
@@ -322,20 +391,33 @@ def _ask(parts: dict[str, int], most: int):
     return run
 
 
-def _answer(log_unknown: float, log_base: float):
+def _answer(counts: Counts, log_base: float):
     """Joins a part's questions to its stored keys; per block, the sums of each text over the part's tokens."""
 
+    def pairs(q: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key = _pair_key(np.repeat(q["history"], q["span"]), q["word"][q["slot"]])
+        single, log_alpha, log_per_count = _backoff(q, counts)
+        gain = np.log10(counts.used(q["n"])) - np.log10(single)[q["slot"]] + np.repeat(log_per_count - log_alpha, q["span"])
+        order = np.argsort(key)
+        return key[order], gain[order]
+
+    def singles(all_of: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, n = next((q["word"], q["n"]) for q in all_of if "n" in q)
+        value = np.log10(counts.p(n))
+        for q in all_of:
+            if "log_alpha" in q:
+                value[np.searchsorted(key, q["word"])] += q["log_alpha"]
+        return key, value, n
+
     def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
         rows = []
-        key, history = (stored.column(c).to_numpy().view(np.uint64) for c in ("key", "history"))
-        value, n = (stored.column(c).to_numpy() for c in ("value", "n"))
-        if (n < 0).any():  # histories beside their pairs: each pair's gain is its own share plus that of its history
-            own, heads = n >= 0, np.flatnonzero(n < 0)
-            heads = heads[np.argsort(history[heads])]
-            value = value[own] + value[heads][np.searchsorted(history[heads], history[own])]
-            key, n = key[own], n[own]
-        order = np.argsort(key)
-        key, value, n = key[order], value[order], n[order]
+        key, value, n = np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64)
+        if len(stored) and len(asked):
+            found = [_unpack(x) for x in stored.column("data").to_pylist()]
+            if stored.column("kind")[0].as_py() == "pairs":
+                key, value = pairs(found[0])
+            else:
+                key, value, n = singles(found)
         for kind, part, block, data in zip(*(asked.column(c).to_pylist() for c in ("kind", "part", "block", "data"))):
             if kind == "texts":
                 rows.append((kind, part, block, data))
@@ -353,7 +435,7 @@ def _answer(log_unknown: float, log_base: float):
             else:
                 count = np.zeros(len(at))
                 count[hit] = n[at[hit]]
-                rows.append((kind, part, block, _pack(score=total(np.where(hit, found, log_unknown)),
+                rows.append((kind, part, block, _pack(score=total(np.where(hit, found, counts.log_unknown)),
                                                       base=total(np.log10(count + 1) - log_base), known=total(hit.astype(float)).astype(np.uint32))))
         return pa.Table.from_batches([_rows(rows, PACKED)])
 
@@ -378,36 +460,15 @@ def _gather(table: pa.Table) -> pa.Table:
 
 def evaluate(docs: DataFrame, model: Model, p: Params = WHOLE) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of `docs`."""
-    end = int(END.view(np.int64))
     parts = model.parts
-    spread = lambda key, n: F.pmod(F.shiftrightunsigned(F.col(key), 40), F.lit(n)).cast("int")
-    # every text has one end and one start: the start's backoff weight is counted with the end
-    weight = F.col("log_p") + F.when(F.col("word") == end, F.lit(model.log_alpha_start)).otherwise(F.col("log_alpha"))
-    known = model.words.select(F.lit("words").alias("kind"), spread("word", parts["words"]).alias("part"), F.col("word").alias("key"),
-                               F.lit(0).cast("long").alias("history"), weight.alias("value"), "n")
-    own = [F.lit("pairs").alias("kind"), spread("history", parts["pairs"]).alias("part")]
-    pairs = model.pairs.select(*own, "history", "word", (F.log10("used") - F.log10("p")).alias("value")).mapInArrow(_keyed, STORED)
-    heads = model.histories.select(*own, F.lit(0).cast("long").alias("key"), "history", (F.log10("per_count") - F.log10("alpha")).alias("value"),
-                                   F.lit(-1).cast("long").alias("n"))
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ask(parts, p.block_tokens), PACKED)
     # texts' own rows go round the model by their block, so that no part receives all of them
     asked = asked.withColumn("part", F.when(F.col("kind") == "texts", F.pmod(F.xxhash64("block"), F.lit(1 << 20)).cast("int")).otherwise(F.col("part")))
     log_base = float(np.log10(model.total + model.vocabulary + 1))
-    answered = asked.groupBy("kind", "part").cogroup(known.unionByName(pairs).unionByName(heads).groupBy("kind", "part")).applyInArrow(
-        _answer(model.log_unknown, log_base), PACKED)
+    answered = asked.groupBy("kind", "part").cogroup(model.stored.groupBy("kind", "part")).applyInArrow(_answer(model.counts, log_base), PACKED)
     return answered.groupBy("block").applyInArrow(_gather, SCORED)
 
 
-STORED = "kind string, part int, key long, history long, value double, n long"
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        key = _pair_key(b.column("history").to_numpy().view(np.uint64), b.column("word").to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("part"), pa.array(key.view(np.int64)), b.column("history"), b.column("value"),
-                                          pa.array(np.zeros(b.num_rows, np.int64))], names=["kind", "part", "key", "history", "value", "n"])
-
-
 def score(docs: DataFrame, p: Params = WHOLE) -> DataFrame:
     """Learns from the rows that are not held out and scores all rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
