@@ -1,6 +1,7 @@
 """Quality and toxicity on held-out rows of planted texts, and their parts against plain versions."""
 
 import random
+import tracemalloc
 import zlib
 from dataclasses import replace
 
@@ -185,3 +186,16 @@ def test_moves_add_up_alike_in_any_tree():
     tree = toxicity._load(toxicity.add_moves([toxicity.add_moves(parts[:2], p), parts[2]], p))
     assert flat.keys() == tree.keys() and all(np.allclose(flat[k], tree[k], atol=1e-6) for k in flat)
     assert flat["prior_weight"][0] == 16
+
+
+def test_moves_are_unpacked_one_learner_at_a_time():
+    p = replace(toxicity.DEFAULT, buckets=1 << 14)
+    out = {}
+    for k, v in toxicity.initial(p).items():
+        out |= {f"{k}_rows": np.arange(len(v), dtype=np.int32), f"{k}_move": v, f"{k}_weight": np.ones(len(v)), f"{k}_state": np.abs(v)}
+    packed = toxicity._pack(out)
+    tracemalloc.start()
+    toxicity.add_moves([packed] * 24, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(packed)

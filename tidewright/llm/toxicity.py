@@ -15,7 +15,7 @@ threshold. No labels at all: every score is the model's untrained prior. Extra c
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -222,20 +222,20 @@ def _unpacked(column: pa.Array, p: Params) -> list[np.ndarray]:
 def _learner(shared, round_: int, p: Params):
     """What each learner's rows, which lie together, move: per learner one row (learner, learned)."""
 
-    def learned(rows: list[pa.RecordBatch]) -> bytes:
-        first = shared.value["model"]
+    def learned(rows: list[tuple]) -> bytes:
+        first, used = shared.value["model"], shared.value["used"]
         model = {k: v.copy() for k, v in first.items()}
         state = {k: v.copy() for k, v in shared.value["state"].items()}
-        ids, y, used = [], [], shared.value["used"]
-        for batch in pa.Table.from_batches(rows).sort_by("doc_id").to_batches():  # the same order whenever the task is run again
-            ids += [np.where(used[np.arange(len(p.tables)), x], x, 0).astype(p.stored) for x in _unpacked(batch.column("ids"), p)]
-            y += batch.column("y").to_pylist()
-        y = np.array(y, np.float32)
+        doc_ids, y = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+        ids = [np.frombuffer(r[2], p.stored)[a:b].reshape(-1, len(p.tables)) for r in rows for a, b in zip(r[3][:-1], r[3][1:])]
+        order = np.argsort(doc_ids, kind="stable")  # the same order whenever the task is run again
+        ids, y = [ids[i] for i in order], y[order].astype(np.float32)
+        known = lambda x: np.where(used[np.arange(len(p.tables)), x], x, 0)
         for epoch in range(p.epochs):
             order = np.random.default_rng([p.seed, round_, epoch]).permutation(len(ids))
             for at in range(0, len(order), p.batch):
                 pick = order[at : at + p.batch]
-                _step(model, state, [ids[i] for i in pick], y[pick], p)
+                _step(model, state, [known(ids[i]) for i in pick], y[pick], p)
         out = {}
         for k, v in model.items():  # of the hashed vectors only those that moved
             rows = np.flatnonzero((v != first[k]).any(axis=1)) if k in p.tables else np.arange(len(v))
@@ -245,7 +245,13 @@ def _learner(shared, round_: int, p: Params):
         return _pack(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(learner: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def bare(rows: pa.RecordBatch) -> tuple:
+            """Ids, labels, all texts' buckets end to end and where each begins: a copy, so that no batch stays in memory."""
+            packed = rows.column("ids").to_pylist()
+            begins = np.concatenate([[0], np.cumsum([len(x) for x in packed])]) // np.dtype(p.stored).itemsize
+            return rows.column("doc_id").to_numpy(zero_copy_only=False).copy(), rows.column("y").to_numpy().copy(), b"".join(packed), begins
+
+        def row(learner: int, rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([learner], pa.int64()), pa.array([learned(rows)], pa.binary())], names=["learner", "learned"])
 
         now, held = None, []
@@ -259,24 +265,27 @@ def _learner(shared, round_: int, p: Params):
                     yield row(now, held)
                     held = []
                 now = int(learners[a])
-                held.append(batch.slice(a, b - a))
+                for at in range(a, b, 500):
+                    held.append(bare(batch.slice(at, min(500, b - at))))
         if held:
             yield row(now, held)
 
     return run
 
 
-def add_moves(learned: list[bytes], p: Params) -> bytes:
-    """Moves and weights of several learners added up, of the optimizer's states the largest."""
+def add_moves(learned: Iterable[bytes], p: Params) -> bytes:
+    """Moves and weights of several learners added up, of the optimizer's states the largest. One learner's are unpacked
+    at a time."""
     like, out = initial(p), {}
-    arrays = [_load(x) for x in learned]
-    for k, v in like.items():
-        move, state, weight = np.zeros_like(v), np.zeros_like(v), np.zeros(len(v))
-        for x in arrays:
+    sums = {k: (np.zeros_like(v), np.zeros_like(v), np.zeros(len(v))) for k, v in like.items()}
+    for packed in learned:
+        x = _load(packed)
+        for k, (move, state, weight) in sums.items():
             rows = x[f"{k}_rows"]
             move[rows] += x[f"{k}_move"]
             weight[rows] += x[f"{k}_weight"]
             state[rows] = np.maximum(state[rows], x[f"{k}_state"])
+    for k, (move, state, weight) in sums.items():
         rows = np.flatnonzero(weight)
         out |= {f"{k}_rows": rows.astype(np.int32), f"{k}_move": move[rows], f"{k}_weight": weight[rows], f"{k}_state": state[rows]}
     return _pack(out)
@@ -284,9 +293,9 @@ def add_moves(learned: list[bytes], p: Params) -> bytes:
 
 def _adder(p: Params):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("learner")
-        group = table.column("learner")[0].as_py() // p.fan_in
-        return pa.table({"learner": pa.array([group], pa.int64()), "learned": pa.array([add_moves(table.column("learned").to_pylist(), p)], pa.binary())})
+        learners, column = table.column("learner").to_numpy(), table.column("learned")
+        moves = (column[int(i)].as_buffer() for i in np.argsort(learners))
+        return pa.table({"learner": pa.array([int(learners[0]) // p.fan_in], pa.int64()), "learned": pa.array([add_moves(moves, p)], pa.binary())})
 
     return run
 
