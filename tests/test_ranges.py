@@ -109,3 +109,18 @@ def test_utf16_ragged_and_header_only_files_land(spark, tmp_path):
     assert batches["wide.csv"].encoding == "UTF-16LE" and batches["wide.csv"].delimiter == ";"
     raw = [r.raw for r in ws.raw().orderBy("row_index").collect()]
     assert raw == [{"id": "1", "größe": "€ 5"}, {"id": "2", "größe": None}, {"id": "3", "größe": "a"}]
+
+
+def test_tasks_read_many_small_ranges(spark, tmp_path):
+    """The number of tasks follows the bytes and the cores, not the number of ranges."""
+    (tmp_path / "a.csv").write_bytes(b"x,y\n" + b"1,2\n" * 50_000)
+    for i in range(5):
+        (tmp_path / f"b{i}.csv").write_bytes(b"x,y\n" + b"3,4\n" * 10)
+    some = delimited.read_ranges(spark, str(tmp_path), range_bytes=1 << 10)
+    assert some.count() > 200 and delimited.read_rows(some, str(tmp_path)).count() == 50_050
+    cores = spark.sparkContext.defaultParallelism
+    dealt = ranges.RangeReader(str(tmp_path), 1 << 10, 1 << 27, cores).partitions()
+    assert cores <= len(dealt) <= cores + 1 and sum(len(d.value) for d in dealt) == some.count()
+    spark.dataSource.register(ranges.ByteRanges)
+    with_all = {tuple(r)[:4] for r in spark.read.format("byte_ranges").option("range_bytes", 1 << 10).load(str(tmp_path)).collect()}
+    assert with_all == {v for d in dealt for v in d.value}

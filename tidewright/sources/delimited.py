@@ -49,7 +49,8 @@ def _delimiter() -> Column:
 def read_ranges(spark: SparkSession, folder: str, fallback_encoding: str = "ISO-8859-1", range_bytes: int | None = None) -> DataFrame:
     """(path, start, stop, size, encoding, delimiter, state): every range of every file, with the state it begins in."""
     spark.dataSource.register(ranges.ByteRanges)
-    found = reliable(spark.read.format("byte_ranges").option("range_bytes", range_bytes or default_range_bytes(spark)).load(folder))
+    dealt = {"range_bytes": range_bytes or default_range_bytes(spark), "task_bytes": TASK_BYTES, "cores": spark.sparkContext.defaultParallelism}
+    found = reliable(spark.read.format("byte_ranges").options(**dealt).load(folder))
     files = found.groupBy("path").agg(
         F.coalesce(F.max("mark"), F.when(F.bool_and("valid"), "UTF-8").otherwise(fallback_encoding)).alias("encoding"),
         _delimiter().alias("delimiter"), F.count(F.lit(1)).alias("n_ranges"), F.sum("quotes").alias("file_quotes"),

@@ -250,14 +250,15 @@ def header(text: Text, encoding: str, delimiter: str) -> list[str]:
 
 @dataclass
 class Ranges(InputPartition):
-    """Ranges that one task reads: part of a large file, or some small files."""
+    """Ranges that one task reads: part of a large file, or some small files. They are read one after another."""
 
     value: list[tuple[str, int, int, int]]
 
 
 class ByteRanges(DataSource):
     """`spark.read.format("byte_ranges").option("range_bytes", n).load(folder)`: one row per range of every file below
-    a folder, with what it says of its file's encoding and delimiter. Hidden and empty files are left out."""
+    a folder, with what it says of its file's encoding and delimiter. Hidden and empty files are left out. A task reads
+    ranges of `task_bytes` together, or less where that would leave some of `cores` without any; one range at least."""
 
     @classmethod
     def name(cls) -> str:
@@ -268,26 +269,31 @@ class ByteRanges(DataSource):
                 "heads array<bigint>, lines array<bigint>")
 
     def reader(self, schema) -> DataSourceReader:
-        return RangeReader(self.options["path"], int(self.options.get("range_bytes", 32 << 20)))
+        size = int(self.options.get("range_bytes", 32 << 20))
+        return RangeReader(self.options["path"], size, int(self.options.get("task_bytes", size)), int(self.options.get("cores", 1)))
 
 
 class RangeReader(DataSourceReader):
-    def __init__(self, root: str, range_bytes: int):
+    def __init__(self, root: str, range_bytes: int, task_bytes: int = 0, cores: int = 1):
         self.root, self.range_bytes = root, max(4, range_bytes // 2 * 2)
+        self.task_bytes, self.cores = task_bytes, cores
 
     def partitions(self) -> list[InputPartition]:
         store, path, prefix = filesystem(self.root)
         one = store.get_file_info(path)
         found = [one] if one.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
-        out: list[InputPartition] = []
-        together, held = [], 0
+        files = []
         for info in sorted((i for i in found if i.type == fs.FileType.File and i.size), key=lambda i: i.path):
             below = info.path[len(path) :] if info is not one else info.base_name
-            if any(part.startswith(("_", ".")) for part in below.split("/") if part):
-                continue
+            if not any(part.startswith(("_", ".")) for part in below.split("/") if part):
+                files.append(info)
+        most = max(self.range_bytes, min(self.task_bytes, -(-sum(i.size for i in files) // self.cores)))
+        out: list[InputPartition] = []
+        together, held = [], 0
+        for info in files:
             for start in range(0, info.size, self.range_bytes):
                 stop = min(info.size, start + self.range_bytes)
-                if together and held + stop - start > self.range_bytes:
+                if together and held + stop - start > most:
                     out.append(Ranges(together))
                     together, held = [], 0
                 together.append((prefix + info.path, start, stop, info.size))
