@@ -103,3 +103,39 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)], "a binary, b binary")
     got = {bytes(r["node"]): bytes(r["root"]) for r in minhash.components(edges).collect()}
     assert got == {bytes([i]): bytes([0]) for i in range(41)}
+
+
+def edited_copies(n=150, seed=5):
+    """Copies of one text on both sides of the threshold, so that all share buckets and many are no links."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(64)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in range(i % 6):
+            w[r.randrange(64)] = f"x{r.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_a_crowd_of_edited_copies_makes_few_rows_for_each(spark, monkeypatch):
+    counts = []
+    reliable = minhash.reliable
+
+    def counted(df):
+        out = reliable(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "reliable", counted)
+    rows = edited_copies()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == brute(rows)
+    assert max(counts) <= 64 * len(rows)  # 60 shingles or 40 bands for each, not 400 bands
+
+
+@pytest.mark.parametrize("tiles", [{"tile": 4}, {"tile": 8, "tiled": 16}])
+def test_tiles_and_long_bands_of_large_buckets_equal_all_pairs(spark, tiles):
+    rows = edited_copies(90) + [(1000 + i, t) for i, t in corpus()]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), replace(minhash.DEFAULT, crowded=2, **tiles)).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == brute(rows)

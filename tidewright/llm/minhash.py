@@ -5,12 +5,15 @@ Nodes are distinct shingle sets, so a group of copies is one node however many r
 buckets of equal bands, and no bucket is ever expanded into all its pairs:
 
 1. every member of a bucket is compared with the bucket's smallest member (a star);
-2. members of one bucket that still lie in different components are compared with each other, if the bucket holds no
-   more than `crowded` components;
-3. members of buckets with more components are counted shingle by shingle. Those that share a shingle which at most
-   `rare` members have are compared with each other. All others can only have their common shingles in common, which
-   leaves out texts around a passage and strongly edited copies of one text: what is left is dealt anew into longer
-   bands of the stored signatures, and 1 and 2 follow in these buckets, now whatever their size.
+2. members of buckets with more than `crowded` components are counted shingle by shingle. Those that share a shingle which
+   at most `rare` members have are compared with each other. All others can only have their common shingles in common,
+   which leaves out texts around a passage; what is left of a bucket is compared with its centre, the member with most
+   common and fewest own shingles;
+3. members of one bucket that still lie in different components, and have enough common shingles for a link, are compared
+   with each other inside the tasks: a bucket is cut into tiles of `tile` members, tile against tile, and only pairs whose
+   signatures agree become rows, each in the first bucket that both share. This step grows with the square of what is left
+   in a bucket; a bucket of which more than `tiled` members are left is dealt anew into longer bands of the stored
+   signatures, and these are cut into tiles instead.
 
 A pair inside one component needs no comparison, so the rounds find the same components as all pairs of all buckets.
 With 40 bands of 4 minima, two sets at similarity 0.75 share no bucket with probability (1 - 0.75^4)^40 = 2.5e-7. The 400
@@ -45,8 +48,10 @@ class Params:
     percent: int = 75  # link when 100 * intersection >= percent * union
     bands: int = 40
     rows: int = 4
-    crowded: int = 16  # components of a bucket that are compared pair by pair
+    crowded: int = 16  # components of a bucket whose members are compared without counting their shingles
     rare: int = 10  # a shingle of as many of the crowded members pairs them all
+    tile: int = 1024  # members of a bucket that meet in one step of a task
+    tiled: int = 1 << 15  # members of a bucket that are compared tile by tile, not by long bands
     long_bands: int = 400
     long_rows: int = 8
     seed: int = 8
@@ -106,10 +111,15 @@ def _profile(p: Params):
     return run
 
 
-def _agreement(p: Params):
-    """Pairs whose signatures agree in as many places as the threshold less six standard deviations."""
+def _least(p: Params) -> int:
+    """Places in which the signatures of a link agree: the threshold less six standard deviations."""
     n, share = p.bands * p.rows, p.percent / 100
-    least = int(n * share - 6 * (n * share * (1 - share)) ** 0.5)
+    return int(n * share - 6 * (n * share * (1 - share)) ** 0.5)
+
+
+def _agreement(p: Params):
+    """Pairs whose signatures agree in as many places as those of a link."""
+    n, least = p.bands * p.rows, _least(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,6 +148,64 @@ def _confirm(p: Params):
     return run
 
 
+MEMBER = "band long, lo int, hi int, tile int, set_key binary, root binary, size long, common long, signature binary, bands array<long>"
+
+
+def _tile_pairs(p: Params):
+    """Likely links between the members of a tile, or of two tiles, of one bucket; rows of a pair of tiles are neighbours.
+    Members of one component are not compared, nor those with too few common shingles, nor in any but the first of the
+    `bands` that both have (where these are given)."""
+    least = _least(p)
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, roots = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64).reshape(-1, 2) for c in ("set_key", "root"))
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(keys), -1)
+        band, lo, hi, tile, size, common = (rows.column(c).to_numpy() for c in ("band", "lo", "hi", "tile", "size", "common"))
+        own = rows.column("bands").combine_chunks()
+        listed = own.is_valid().to_numpy(zero_copy_only=False)
+        bands = np.zeros((len(keys), p.bands), np.int64)
+        bands[listed] = own.flatten().to_numpy().reshape(-1, p.bands)
+        edges = np.flatnonzero((np.diff(band) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+        for begin, end in zip([0, *edges], [*edges, len(keys)]):
+            place = np.arange(begin, end)
+            same = lo[begin] == hi[begin]
+            left = place if same else place[tile[begin:end] == lo[begin]]
+            right = place if same else place[tile[begin:end] == hi[begin]]
+            if not len(left) or not len(right):
+                continue
+            meet = (roots[left, None] != roots[None, right]).any(axis=2)
+            meet &= (100 + p.percent) * np.minimum(common[left, None], common[None, right]) >= p.percent * (size[left, None] + size[None, right])
+            if same:
+                meet = np.triu(meet, 1)
+            i, j = np.nonzero(meet)
+            for at in range(0, len(i), 1 << 15):
+                x, y = left[i[at : at + (1 << 15)]], right[j[at : at + (1 << 15)]]
+                keep = (signature[x] == signature[y]).sum(axis=1) >= least
+                x, y = x[keep], y[keep]
+                both = bands[x] == bands[y]
+                first = ~listed[x] | (bands[x, both.argmax(axis=1)] == band[begin])
+                a, b = (rows.column("set_key").take(pa.array(z[first])).combine_chunks() for z in (x, y))
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = list(zip(*(batch.column(c).to_pylist() for c in ("band", "lo", "hi"))))
+            cut = ids.index(ids[-1])  # the last group may go on in the next batch
+            if open_rows and (cut or ids[0] != tuple(open_rows[-1].column(c)[-1].as_py() for c in ("band", "lo", "hi"))):
+                yield from compare(pa.Table.from_batches([*open_rows, batch.slice(0, cut)]))
+                open_rows = []
+            elif cut:
+                yield from compare(pa.Table.from_batches([batch.slice(0, cut)]))
+            open_rows.append(batch.slice(cut))
+        if open_rows:
+            yield from compare(pa.Table.from_batches(open_rows))
+
+    return run
+
+
 def _long_bands(p: Params):
     """The bands of a signature that join only sets alike in most of their text: bytes at places drawn once for each."""
 
@@ -152,7 +220,7 @@ def _long_bands(p: Params):
                 drawn = signature[at : at + 1024][:, places].astype(np.uint64)
                 folded = words.mix((drawn * fold).sum(axis=2, dtype=np.uint64) * np.uint64(p.long_bands) + np.arange(p.long_bands, dtype=np.uint64))
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(folded.view(np.int64).ravel()), p.long_bands).cast(pa.list_(pa.int64()))
-                kept = ["set_key", "root", "size", "common"]
+                kept = ["set_key", "root", "size", "common", "signature"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), bands], names=[*kept, "bands"])
 
     return run
@@ -174,14 +242,15 @@ def _counted(many: DataFrame, sets: DataFrame, texts: DataFrame, p: Params) -> t
     """Of the sets `many` (set_key, root): the pairs (a, b) that share a rare shingle, and the sets that common shingles
     alone can link, with `size` and `common`, the number of their common ones."""
     grams = reliable(many.join(texts, "set_key").select("set_key", "text").mapInArrow(_shingles(p), "set_key binary, shingle long"))
-    rare = grams.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= p.rare)
-    rare = reliable(grams.join(rare, "shingle"))
-    rooted = rare.where("n > 1").join(many, "set_key").select("shingle", "set_key", "root")
+    rare = reliable(grams.groupBy("shingle").agg(F.count("*").alias("n"), F.min("set_key").alias("only")).where(F.col("n") <= p.rare))
+    shared = reliable(grams.join(rare.where("n > 1").select("shingle"), "shingle"))
+    rooted = shared.join(many, "set_key").select("shingle", "set_key", "root")
     pairs = rooted.select("shingle", F.col("set_key").alias("a"), F.col("root").alias("root_a")).join(
         rooted.select("shingle", F.col("set_key").alias("b"), F.col("root").alias("root_b")), "shingle")
     pairs = pairs.where("a < b and root_a <> root_b").select("a", "b").distinct()
-    own = rare.groupBy("set_key").agg(F.count("*").alias("own"))
-    out = many.join(sets.select("set_key", "signature", F.col("n_shingles").alias("size")), "set_key").join(own, "set_key", "left")
+    # a shingle of one set alone names it, so only shared ones are joined
+    own = rare.where("n = 1").select(F.col("only").alias("set_key")).union(shared.select("set_key")).groupBy("set_key").agg(F.count("*").alias("own"))
+    out = many.join(sets.select("set_key", F.col("n_shingles").alias("size")), "set_key").join(own, "set_key", "left")
     out = out.withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
     return pairs, reliable(out.where(100 * F.col("common") >= p.percent * F.col("size")))
 
@@ -191,7 +260,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, p: Params) ->
     side = lambda name: sets.select(
         F.col("set_key").alias(name), F.col("signature").alias(f"sig_{name}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b")
-    likely = reliable(likely.mapInArrow(_agreement(p), "a binary, b binary"))
+    return _confirmed(reliable(likely.mapInArrow(_agreement(p), "a binary, b binary")), texts, p)
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) of set keys whose full texts are links."""
     text = lambda name: texts.select(F.col("set_key").alias(name), F.col("text").alias(f"text_{name}"))
     both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
     return reliable(both.mapInArrow(_confirm(p), "a binary, b binary"))
@@ -208,15 +281,40 @@ def _rooted(crowd: DataFrame, found: DataFrame) -> DataFrame:
                     .withColumn("root", F.coalesce("root", "set_key")))
 
 
-def _across(rooted: DataFrame, groups: DataFrame, p: Params) -> DataFrame:
-    """The pairs of sets that share a band of `groups` (band, root), lie in different components and have enough common
-    shingles for a link. Sets of one component are never paired, nor are leaders, which have met all members."""
-    meet = groups.select("band", F.col("root").alias("root_a")).join(
-        groups.select("band", F.col("root").alias("root_b")), "band").where("root_a < root_b")
-    member = lambda s: rooted.where("set_key <> leader").select(
-        "band", F.col("root").alias(f"root_{s}"), F.col("set_key").alias(s), F.col("size").alias(f"size_{s}"), F.col("common").alias(f"common_{s}"))
-    pairs = meet.join(member("a"), ["band", "root_a"]).join(member("b"), ["band", "root_b"]).where(_enough(p))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _open(members: DataFrame) -> DataFrame:
+    """(band, n) of the buckets that hold members of several components."""
+    return reliable(members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+                    .where("least <> most").select("band", "n"))
+
+
+def _within(members: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
+    """Likely links (a, b) inside the buckets of `sizes` (band, n)."""
+    own = members.join(sizes, "band").withColumn("tiles", F.ceil(F.col("n") / p.tile).cast("int"))
+    own = own.withColumn("tile", F.pmod(F.xxhash64("set_key", F.lit(1)), "tiles").cast("int"))
+    one = own.where("tiles = 1").withColumn("other", F.lit(0))
+    several = own.where("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = one.union(several).select("band", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "set_key",
+                                      "root", "size", "common", "signature", "bands")
+    dealt = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    return dealt.mapInArrow(_tile_pairs(p), "a binary, b binary")
+
+
+def _left(members: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Likely links (a, b) of `members` (band, set_key, root, size, common) that lie in one bucket but in different
+    components."""
+    sizes = _open(members)
+    members = members.join(sets.select("set_key", "signature", "bands"), "set_key")
+    pairs = _within(members, sizes.where(F.col("n") <= p.tiled), p)
+    huge = sizes.where(F.col("n") > p.tiled).select("band")
+    if not huge.isEmpty():
+        # of several rows of a set those with most common shingles leave out least
+        again = members.join(huge, "band", "left_semi").groupBy("set_key").agg(
+            F.first("root").alias("root"), F.first("size").alias("size"), F.max("common").alias("common"), F.first("signature").alias("signature"))
+        again = again.select("set_key", "root", "size", "common", "signature").mapInArrow(
+            _long_bands(p), "set_key binary, root binary, size long, common long, signature binary, bands array<long>")
+        again = reliable(again.select(F.explode("bands").alias("band"), "set_key", "root", "size", "common", "signature", F.lit(None).cast("array<long>").alias("bands")))
+        pairs = pairs.union(_within(again, _open(again), p))
+    return reliable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def _enough(p: Params) -> Column:
@@ -226,19 +324,21 @@ def _enough(p: Params) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of an edge (a, b) can reach; roots themselves included.
 
-    Large-star hangs each node's larger neighbours on its smallest one, small-star its smaller ones, until nothing
-    changes. Each round is written to the shared folder. A hub's neighbours are only ever joined to one row, its
+    Large-star hangs each node's larger neighbours on its smallest one, small-star its smaller ones, until all hang on
+    their roots. Each round is written to the shared folder. A hub's neighbours are only ever joined to one row, its
     minimum, which Spark can split.
     """
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Whether each node hangs on one node only, on which none hangs in turn: b < a, so these are the roots."""
+        hangs = e.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("b", F.lit(0), F.lit(1)))
+        return hangs.groupBy("node").agg(F.sum("below").alias("below"), F.sum("above").alias("above")).where(
+            "below > 1 or below = 1 and above > 0").count() == 0
 
     edges = reliable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = mark(edges)
-    while True:
+    while not stars(edges):
         near = both(edges)
         least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -248,10 +348,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = reliable(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct())
-        now = mark(edges)
-        if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -273,27 +370,25 @@ def near_duplicates(docs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     found = components(links)
 
     rooted = _rooted(crowd, found)
-    groups = reliable(rooted.select("band", "root").distinct())
-    sizes = reliable(groups.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    few = groups.join(sizes.where(F.col("n") <= p.crowded).select("band"), "band")
-    # sets from crowded buckets, dealt anew
-    many = rooted.join(sizes.where(F.col("n") > p.crowded).select("band"), "band", "left_semi").select("set_key", "root").distinct()
-    rare_pairs, linkable = _counted(reliable(many), sets, texts, p)
-    again = linkable.select("set_key", "root", "size", "common", "signature").mapInArrow(
-        _long_bands(p), "set_key binary, root binary, size long, common long, bands array<long>")
-    long_crowd = _shared(again.select("set_key", "root", "size", "common", F.explode("bands").alias("band")))
-    leads = linkable.select(F.col("set_key").alias("leader"), F.col("root").alias("root_a"), F.col("size").alias("size_a"), F.col("common").alias("common_a"))
-    long_star = long_crowd.withColumnsRenamed({"root": "root_b", "size": "size_b", "common": "common_b"}).join(leads, "leader").where(
-        F.col("root_a") != F.col("root_b")).where(_enough(p)).select(F.col("leader").alias("a"), F.col("set_key").alias("b"))
-    second = reliable(_across(rooted, few, p).union(rare_pairs).union(long_star).distinct())
-    links = links.union(_verified(second, sets, texts, p))
+    sizes = reliable(rooted.select("band", "root").distinct().groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    few = rooted.join(sizes.where(F.col("n") <= p.crowded).select("band"), "band")
+    many = rooted.join(sizes.where(F.col("n") > p.crowded).select("band"), "band").select("band", "set_key", "root", "leader")
+    rare_pairs, linkable = _counted(reliable(many.select("set_key", "root").distinct()), sets, texts, p)
+    many = reliable(many.drop("root").join(linkable, "set_key"))
+    centre = many.groupBy("band").agg(F.max(F.struct(2 * F.col("common") - F.col("size"), "set_key", "root", "size", "common")).alias("centre"))
+    many = many.join(centre, "band")
+    spokes = many.withColumnsRenamed({"root": "root_b", "size": "size_b", "common": "common_b"}).select(
+        "*", *(F.col(f"centre.{c}").alias(f"{c}_a") for c in ("set_key", "root", "size", "common")))
+    spokes = spokes.where("root_a <> root_b and set_key <> leader and set_key_a <> leader").where(_enough(p)).select(
+        F.least("set_key_a", "set_key").alias("a"), F.greatest("set_key_a", "set_key").alias("b"))
+    links = links.union(_verified(rare_pairs.union(spokes).distinct(), sets, texts, p))
     found = components(links)
 
-    long_rooted = _rooted(long_crowd, found)
-    long_groups = reliable(long_rooted.select("band", "root").distinct())
-    split = long_groups.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    # pairs that have been compared are not compared again
-    rest = _verified(_across(long_rooted, long_groups.join(split, "band"), p).join(second, ["a", "b"], "left_anti"), sets, texts, p)
+    # leaders and centres have met all members of their buckets
+    members = ["band", "set_key", "size", "common"]
+    left = few.where("set_key <> leader").select(members).union(
+        many.where("set_key <> leader and set_key <> centre.set_key").select(members))
+    rest = _confirmed(_left(_rooted(left, found), sets, p), texts, p)
     if not rest.isEmpty():
         found = components(links.union(rest))
 
