@@ -139,3 +139,11 @@ def test_tiles_and_long_bands_of_large_buckets_equal_all_pairs(spark, tiles):
     rows = edited_copies(90) + [(1000 + i, t) for i, t in corpus()]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), replace(minhash.DEFAULT, crowded=2, **tiles)).collect()
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == brute(rows)
+
+
+def test_members_of_tiles_are_joined_once(spark):
+    rows = [(1, bytes([i]), bytes([i]), 9, 9, b"s", [0]) for i in range(6)]
+    members = spark.createDataFrame(rows, "band long, set_key binary, root binary, size long, common long, signature binary, bands array<long>")
+    sizes = spark.createDataFrame([(1, 6)], "band long, n long")
+    plan = minhash._within(members, sizes, replace(minhash.DEFAULT, tile=4))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1

@@ -291,9 +291,9 @@ def _within(members: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
     """Likely links (a, b) inside the buckets of `sizes` (band, n)."""
     own = members.join(sizes, "band").withColumn("tiles", F.ceil(F.col("n") / p.tile).cast("int"))
     own = own.withColumn("tile", F.pmod(F.xxhash64("set_key", F.lit(1)), "tiles").cast("int"))
-    one = own.where("tiles = 1").withColumn("other", F.lit(0))
-    several = own.where("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = one.union(several).select("band", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "set_key",
+    # a bucket of one tile meets itself; in one pass, so that members are joined once
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = own.select("band", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "set_key",
                                       "root", "size", "common", "signature", "bands")
     dealt = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     return dealt.mapInArrow(_tile_pairs(p), "a binary, b binary")
