@@ -199,3 +199,22 @@ def test_moves_are_unpacked_one_learner_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 12 * len(packed)
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    def sizes(shared, p, packed):
+        def run(batches):
+            for b in batches:
+                rest = [c for c in b.schema.names if c not in ("ids", "text")]
+                size = pa.array([b.nbytes / 2**20] * b.num_rows, pa.float64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), size], names=[*rest, "score"])
+
+        return run
+
+    monkeypatch.setattr(toxicity, "_scorer", sizes)
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id % 7, ' '), 1800) AS text", "'en' AS lang")  # 22 MB
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = [r["score"] for r in toxicity.classify(docs, labels, SMALL).select("score").collect()]
+    assert len(got) == 2000 and 0 < max(got) < 8
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == limit

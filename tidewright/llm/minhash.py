@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import reliable
+from ..session import in_small_batches, reliable
 from . import words
 from .labelled import text_key
 
@@ -351,6 +351,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+@in_small_batches
 def near_duplicates(docs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept; and
     text_key and group_key (null for empty sets, which are no group), with which a filter can find one row per group."""

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import reliable
+from ..session import in_small_batches, reliable
 from . import words
 from .labelled import held_out, share, text_key, training_labels
 from .linear import solve
@@ -215,6 +215,7 @@ def _score(kernel: Kernel, weights: np.ndarray, curve: tuple[np.ndarray, np.ndar
     return run
 
 
+@in_small_batches
 def classify(docs: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, text_key."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")

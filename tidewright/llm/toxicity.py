@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
-from ..session import reliable
+from ..session import in_small_batches, reliable
 from . import words
 from .labelled import held_out, share, text_key, training_labels
 
@@ -380,6 +380,7 @@ def thresholds(scored: DataFrame, p: Params) -> DataFrame:
     return best.withColumn("threshold", F.greatest("threshold", F.lit(p.lowest)))
 
 
+@in_small_batches
 def classify(docs: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, threshold (of its language), rejected, text_key."""
     spark = docs.sparkSession
@@ -399,7 +400,7 @@ def classify(docs: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> DataFra
     shared = spark.sparkContext.broadcast(model)
     checked = taught.where("fold").select("lang", "y", "ids").mapInArrow(_scorer(shared, p, True), "lang string, y double, score double")
     cuts = reliable(thresholds(checked, p))
-    scored = base.mapInArrow(_scorer(shared, p, False), "doc_id long, lang string, text_key binary, score double")
+    scored = reliable(base.mapInArrow(_scorer(shared, p, False), "doc_id long, lang string, text_key binary, score double"))
     return scored.join(cuts, "lang", "left").select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"),
         F.coalesce("threshold", F.lit(p.threshold)).alias("threshold"),
